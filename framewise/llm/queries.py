@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, urls
+from . import chat, decontaminate, fingerprint, pii, urls
 from .common import Workspace, table
 
 
@@ -13,6 +13,12 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op1"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extract(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_neighbours(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
     return out.drop("fp", "edited_fp")
@@ -34,5 +40,5 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op8_chat_format": op8_chat_format}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op8_chat_format": op8_chat_format}
 ORACLES: dict = {}
