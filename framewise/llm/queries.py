@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, pii, urls
+from . import chat, decontaminate, fingerprint, jaccard, pii, urls
 from .common import Workspace, table
 
 
@@ -30,6 +30,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), Workspace(spark, "op9")).drop("class_id")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -40,5 +44,5 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op8_chat_format": op8_chat_format}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join}
 ORACLES: dict = {}
