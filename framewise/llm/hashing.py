@@ -32,27 +32,45 @@ def _powers(base: int, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row, and where each text's words begin (one more entry at the end). Words
-    are runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased."""
-    data = b" ".join(texts).lower()
-    raw = np.frombuffer(data, np.uint8)
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of all texts in a row begin and end, running sums that give the hash of any stretch of bytes, and
+    where each text begins."""
+    raw = np.frombuffer(b" ".join(texts).lower(), np.uint8)
     n = len(raw)
+    total = np.zeros(n + 1, np.uint64)
+    text_starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    space = _SPACE[raw]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), total, text_starts
     edge = np.empty(n + 1, np.int8)
-    solid = (~space).view(np.int8)
+    solid = (~_SPACE[raw]).view(np.int8)
     edge[1:n] = solid[1:] - solid[:-1]
     edge[0], edge[n] = solid[0], -solid[-1]
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(int(_P), n, "up"), out=total[1:])
-    hashed = (total[ends] - total[starts]) * _powers(pow(int(_P), -1, 2**64), n, "down")[starts]
-    hashed = mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    text_starts = np.concatenate([[0], np.cumsum(lengths)])
-    return hashed, np.searchsorted(starts, text_starts)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), total, text_starts
+
+
+def _stretch(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    hashed = (total[ends] - total[starts]) * _powers(pow(int(_P), -1, 2**64), len(total), "down")[starts]
+    return mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's words begin (one more entry at the end). Words
+    are runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased."""
+    starts, ends, total, text_starts = _split(texts)
+    return _stretch(total, starts, ends), np.searchsorted(starts, text_starts)
+
+
+def word_features(texts: list[bytes], prefixes: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word of the texts and of its first bytes where it is longer, and the text that each is from."""
+    starts, ends, total, text_starts = _split(texts)
+    text = np.searchsorted(text_starts, starts, "right") - 1
+    hashed, of = [_stretch(total, starts, ends)], [text]
+    for k in prefixes:
+        longer = ends - starts > k
+        hashed.append(_stretch(total, starts[longer], starts[longer] + k) + np.uint64(k))
+        of.append(text[longer])
+    return np.concatenate(hashed), np.concatenate(of)
 
 
 def shingles(hashed: np.ndarray, k: int) -> np.ndarray:
