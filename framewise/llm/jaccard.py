@@ -188,7 +188,7 @@ def _links(sets: DataFrame, parts: DataFrame, work: Workspace, first: bool, num:
     return full.mapInPandas(_join_groups(num, den), "a long, b long").distinct()
 
 
-def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int = 90, den: int = 100, block: int = 512) -> DataFrame:
+def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int = 90, den: int = 100, block: int = 512, few: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of ``documents(doc_id, text)`` with a doc_id.
 
     A text's set is its distinct ``k``-word shingles (words without ASCII white space, A-Z lower-cased); with fewer words
@@ -197,7 +197,8 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
     doc_id with the same set, ``component_id`` the smallest one reachable by links. Rows that share a doc_id are one
     document; a null doc_id is left out; other columns are ignored; an empty table gives no rows.
 
-    Groups that share a hash are joined in blocks of about ``block`` sets, so no task holds an unbounded group.
+    The texts of sets that may be linked are read again: up to ``few`` of them by broadcasting their ids, else by a
+    shuffle. Groups that share a hash are joined in blocks of about ``block`` sets, so no task holds an unbounded group.
     """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n long, sig_a long, sig_b long, head binary"
@@ -213,7 +214,8 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
         posted = live.select("doc_id", "head").mapInPandas(_heads, "doc_id long, hash long")
         own = posted.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
         live = work.stage(live.join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) <= allowed).select("doc_id", "n", "head"), "live", "none")
-    sets = docs.join(live.select("doc_id"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True), schema)
+    ids = live.select("doc_id")
+    sets = docs.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True), schema)
     sets = work.stage(sets.select("doc_id", "n", F.col("head").alias("set")).dropDuplicates(["doc_id"]), "sets", "none")
     work.drop(live)
 

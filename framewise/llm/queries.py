@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, pii, tokens, toxicity, urls
+from . import chat, decontaminate, fingerprint, jaccard, mixing, pii, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -48,6 +48,11 @@ def token_store(documents: DataFrame, work: Workspace) -> DataFrame:
     return tokens.read_store(work, tokens.write_store(documents, work, path), tokens.wide_ids(path))
 
 
+def op10_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.fit_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op10"))
+    return mix.rates
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), Workspace(spark, "op9")).drop("class_id")
 
@@ -62,5 +67,5 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix}
 ORACLES: dict = {}
