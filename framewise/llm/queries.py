@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, mixing, pii, tokens, toxicity, urls
+from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, pii, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -19,6 +19,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring(table(spark, sf_dir, "documents"), Workspace(spark, "op3"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_neighbours(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
     return out.drop("fp", "edited_fp")
@@ -67,5 +71,5 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op3_line_templates": op3_line_templates, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix}
 ORACLES: dict = {}
