@@ -1,8 +1,60 @@
-"""Cleaning a corpus in stages, each an operator of ``framewise.llm``."""
+"""Cleaning a corpus in stages, each an operator of ``framewise.llm``.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return documents with their columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewise.llm import decontaminate, jaccard, mixing, queries, toxicity
+from framewise.llm.common import Workspace, table, without
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), Workspace(spark, "drop-toxic")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that n-gram links connect, the one with the smallest doc_id: five words and a similarity of 0.8."""
+    work = Workspace(spark, "one-of-each")
+    groups = jaccard.join_components(docs, work, k=5, num=80)
+    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")), work)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    work = Workspace(spark, "drop-leaks")
+    return without(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"), work), work)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by rates that bring the qualities of texts to target shares of nine tenths of the words."""
+    fitted = mixing.fit_rates(docs, table(spark, sf_dir, "labels"), Workspace(spark, "mix"), {"quality=1": 0.9, "quality=0": 0.1}, "concat('quality=', quality)", 0.9)
+    return mixing.kept(docs, fitted)
+
+
+def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in a content-addressed store; returns what is read back."""
+    return queries.token_store(docs, Workspace(spark, "store-tokens"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing to target weights", mix),
+    ("token store", store_tokens),
+]
+
+#: Models can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = work.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

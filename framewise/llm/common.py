@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +62,22 @@ def text_or_empty(column: str = "text") -> Column:
 
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without(documents: DataFrame, ids: DataFrame, work: Workspace, few: int = 2_000_000) -> DataFrame:
+    """The documents whose doc_id is not in ``ids(doc_id)``; up to ``few`` ids are broadcast, more are joined by a
+    shuffle. Documents without a doc_id stay."""
+    ids = work.stage(ids.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    return documents.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_anti").select(documents.columns)
+
+
+def with_column_from_text(documents: DataFrame, name: str, kind: pa.DataType, make: Callable[[list[str | None]], Iterable]) -> DataFrame:
+    """Every row of ``documents`` as it is, and a column that ``make`` gives for a batch of texts; a column of that name
+    is replaced."""
+    documents = documents.drop(name)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(name, pa.array(make(batch.column("text").to_pylist()), kind))
+
+    return documents.mapInArrow(read, T.StructType([*documents.schema.fields, T.StructField(name, from_arrow_type(kind))]))

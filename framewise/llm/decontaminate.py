@@ -34,7 +34,7 @@ def shingles_of(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def contained_items(documents: DataFrame, benchmark: DataFrame, work: Workspace, n: int = 5, share: float = 0.8) -> DataFrame:
+def contained_items(documents: DataFrame, benchmark: DataFrame, work: Workspace, n: int = 5, share: float = 0.8, few: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for every document that has at least ``share`` of the
     distinct ``n``-word shingles of an item.
 
@@ -66,7 +66,8 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, work: Workspace,
 
     # verification reads the texts of the documents that met an item, once each
     wanted = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    found = docs.join(wanted, "doc_id").select("doc_id", "items", words_of(F.col("text")).alias("words"))
+    # few documents leak, so their ids are sent to the texts; beyond ``few`` of them the texts are shuffled to the ids
+    found = docs.join(F.broadcast(wanted) if pairs.count() <= few else wanted.hint("merge"), "doc_id").select("doc_id", "items", words_of(F.col("text")).alias("words"))
     found = found.select("doc_id", "items", shingles_of(F.col("words"), n).alias("has"))
     checked = found.select("doc_id", "has", F.explode("items").alias("item_id")).join(items.select("item_id", "shingles"), "item_id")
     n_shared = F.size(F.array_intersect("shingles", "has"))

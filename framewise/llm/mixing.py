@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Workspace
+from .common import Workspace, with_column_from_text
 
 BITS = 16
 
@@ -87,19 +88,21 @@ def train_classifier(documents: DataFrame, labels: DataFrame, domain: str, work:
     return Classifier(domains, weights, bias)
 
 
-def _posteriors(model: Classifier, columns: list[str]) -> Callable:
+def posteriors_of(model: Classifier, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors and words of each text."""
+    soft, tokens = [np.zeros((0, len(model.domains)))], [np.zeros(0, np.int64)]
+    for block in hashing.blocks(hashing.encoded(texts)):
+        of, at, value, words = _hashed(block)
+        soft.append(softmax(np.stack([np.bincount(of, model.weights[at, c] * value, len(block)) for c in range(len(model.domains))], axis=1) + model.bias))
+        tokens.append(words)
+    return np.concatenate(soft), np.concatenate(tokens)
+
+
+def _posteriors(model: Classifier) -> Callable:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            soft, tokens = [np.zeros((0, len(model.domains)))], [np.zeros(0, np.int64)]
-            for block in hashing.blocks(hashing.encoded(batch["text"])):
-                of, at, value, words = _hashed(block)
-                z = np.stack([np.bincount(of, model.weights[at, c] * value, len(block)) for c in range(len(model.domains))], axis=1) + model.bias
-                soft.append(softmax(z))
-                tokens.append(words)
-            out = batch[columns].copy()
-            out["tokens"] = np.concatenate(tokens)
-            out["posteriors"] = [x.astype("<f4").tobytes() for x in np.concatenate(soft)]
-            yield out
+            soft, tokens = posteriors_of(model, batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": tokens, "posteriors": [x.astype("<f4").tobytes() for x in soft]})
 
     return read
 
@@ -139,7 +142,9 @@ class Mix:
     available: np.ndarray
     targets: np.ndarray
     reached: np.ndarray
-    steps: int
+    model: Classifier
+    history: np.ndarray
+    budget: float
 
 
 def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights: dict[str, float] | None = None, domain: str = "concat('quality=', quality, ' toxic=', toxic)", budget: float = 0.5, steps: int = 40, tolerance: float = 1e-3) -> Mix:
@@ -156,7 +161,7 @@ def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights:
     model = train_classifier(documents, labels, domain, work)
     k = len(model.domains)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    soft = work.stage(docs.mapInPandas(_posteriors(model, ["doc_id"]), "doc_id long, tokens long, posteriors binary"), "posteriors")
+    soft = work.stage(docs.mapInPandas(_posteriors(model), "doc_id long, tokens long, posteriors binary"), "posteriors")
 
     def total(residuals: np.ndarray, start: float, scale: np.ndarray, step: float) -> np.ndarray:
         partial = soft.mapInPandas(_totals(residuals, step, start, scale), ", ".join(f"m{i} double" for i in range(k)))
@@ -177,11 +182,17 @@ def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights:
         reached = total(np.array(residuals), budget, scale, step)
     history = np.array(residuals).reshape(-1, k)
     rates = soft.mapInPandas(_rates(history, step, budget, scale), "doc_id long, tokens long, rate double, posteriors array<double>")
-    return Mix(rates, model.domains, available, targets, reached, len(residuals))
+    return Mix(rates, model.domains, available, targets, reached, model, history, budget)
+
+
+def kept(documents: DataFrame, mix: Mix) -> DataFrame:
+    """The documents that their rates draw, with all their columns: one whose hash, as a number from 0 to 1, lies below
+    its rate. The rate follows from the text again, so texts are not shuffled to their rates; a null doc_id is drawn by
+    the hash of null."""
+    model, history, start, scale = mix.model, mix.history, mix.budget, np.maximum(mix.available, 1.0)
 
+    def rates(texts: list[str | None]) -> np.ndarray:
+        return rates_of(posteriors_of(model, texts)[0].astype("<f4").astype(float), history, 1.0, start, scale)
 
-def kept(documents: DataFrame, rates: DataFrame) -> DataFrame:
-    """The documents that their rates draw: one whose hash, as a number from 0 to 1, lies below its rate."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
-    chosen = rates.where("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate")).where(draw < F.col("rate"))
-    return documents.join(chosen.select("doc_id"), "doc_id", "left_semi")
+    return with_column_from_text(documents, "_rate", pa.float64(), rates).where(draw < F.col("_rate")).drop("_rate")

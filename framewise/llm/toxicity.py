@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Workspace
+from .common import Workspace, with_column_from_text
 
 
 @dataclass(frozen=True)
@@ -134,21 +135,23 @@ def fit(documents: DataFrame, labels: DataFrame, work: Workspace, most_positive:
     return Model(keys, weights, bias)
 
 
-def _score(model: Model, columns: list[str]) -> Callable:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = []
-            for block in hashing.blocks(hashing.encoded(batch["text"])):
-                of, at = distinct_features(block, model.keys)
-                z = np.bincount(of, model.weights[at], len(block)) + model.bias
-                scores.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield batch[columns].assign(score=np.concatenate(scores) if scores else np.zeros(0))
-
-    return read
+def scores_of(model: Model, texts: list[str | None]) -> np.ndarray:
+    out = [np.zeros(0)]
+    for block in hashing.blocks(hashing.encoded(texts)):
+        of, at = distinct_features(block, model.keys)
+        z = np.bincount(of, model.weights[at], len(block)) + model.bias
+        out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    return np.concatenate(out)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``documents(doc_id, text)``: 0 to 1, from the text alone. Null and empty texts
     have no features and get the model's bias; repeated rows and null doc_ids are scored like others; other columns are
     ignored; an empty table gives no rows."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_score(model, ["doc_id"]), "doc_id long, score double")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_column_from_text(docs, "score", pa.float64(), lambda texts: scores_of(model, texts)).select("doc_id", "score")
+
+
+def clean(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents that score below ``least``, with all their columns."""
+    return with_column_from_text(documents, "_toxicity", pa.float64(), lambda texts: scores_of(model, texts)).where(F.col("_toxicity") < least).drop("_toxicity")
