@@ -38,7 +38,8 @@ def fingerprints(texts: DataFrame, text: str, out: str, k: int = 3, keep: int =
 
     def numbered(x: Column, j: Column) -> Column:
         # equal k-mers are neighbours in the order of the text: only repeats look for the first of their run
-        again = F.shiftright(F.get(packed, j - 1), AT) == F.shiftright(x, AT)
+        # the size is asked first: it spares texts without repeats, and a column used twice is not computed in here
+        again = (F.size(F.col(c)) > 0) & (F.shiftright(F.get(packed, j - 1), AT) == F.shiftright(x, AT))
         n = F.when(again, j - F.array_position(F.col(c), F.shiftright(x, AT)).cast("int") + 1).otherwise(F.lit(0))
         return _pack(F.xxhash64(F.shiftright(x, AT), n), x)
 
