@@ -1,4 +1,10 @@
 """Every registered query with its twin in SQL."""
 
+from framewise.plans import cuts, layout, ledger, timeline
+
+PLANS = (cuts, timeline, layout, ledger)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
