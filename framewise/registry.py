@@ -1,8 +1,8 @@
 """Every registered query with its twin in SQL."""
 
-from framewise.plans import cuts, layout, ledger, timeline
+from framewise.plans import analytics, cuts, layout, ledger, timeline
 
-PLANS = (cuts, timeline, layout, ledger)
+PLANS = (cuts, timeline, layout, ledger, analytics)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _plan in PLANS:
