@@ -1,0 +1,66 @@
+"""Layouts and time rules against plain Python."""
+
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from framewise.operators import cuts, layout, timeline
+
+
+def test_windows_cover_and_share(spark):
+    df = spark.range(1, 81).select(F.col("id").alias("n"))
+    rows = layout.windows(df, "n", 12).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["n"], []).append((r["w_start"], r["w_end"]))
+    for n, spans in by.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == n
+        assert all(b - a <= 12 for a, b in spans)
+        assert max(b - a for a, b in spans) - min(b - a for a, b in spans) <= 1
+        assert all(left[1] - right[0] == 2 for left, right in zip(spans, spans[1:], strict=False))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12), st.integers(1, 20))
+def test_merging_leaves_no_short_segment(sizes, least):
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    frame = pd.DataFrame({"source_id": 1, "start": [e - s for e, s in zip(ends, sizes, strict=True)], "end": ends})
+    out = layout._merged(least)(frame)
+    assert out["start"].iloc[0] == 0 and out["end"].iloc[-1] == sum(sizes)
+    assert (out["start"].iloc[1:].tolist()) == out["end"].iloc[:-1].tolist()
+    assert len(out) == 1 or (out["end"] - out["start"]).min() >= least
+
+
+def test_cuts_of_the_known_case(spark):
+    p = [0.9, 0.5, 0.1, 0.4, 0.6, 0.6, 0.2, 0.35, 0.29, 0.5, 0.05, 0.7]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(p)], "source_id long, frame long, p float")
+    assert sorted(r["frame"] for r in cuts.peaks(df, 0.3).collect()) == [0, 4, 7, 9, 11]
+    assert sorted(r["cut"] for r in cuts.cuts(df, 0.3).collect()) == [1, 5, 8, 10]
+    assert sorted(r["frame"] for r in cuts.peaks(df, 0.28).collect()) == [0, 4, 9, 11]
+    assert cuts.detections(df.where("frame = 11"), 0.7).count() == 0  # float32 0.7 lies under 0.7
+
+
+def test_empty_frames(spark):
+    df = spark.createDataFrame([], "source_id long, frame long, pts long, p float, is_key boolean, error boolean")
+    assert cuts.shots(df).count() == 0
+    assert timeline.asof_keyframe(df).count() == 0
+    assert timeline.densified(timeline.places(df, 10)).count() == 0
+
+
+def test_nearest_place_ties_to_the_earlier(spark):
+    df = spark.createDataFrame([(1, 0, 0), (1, 1, 5), (1, 2, 15), (1, 3, 16)], "source_id long, frame long, pts long")
+    assert [r["place"] for r in timeline.places(df, 10).orderBy("frame").collect()] == [0, 0, 1, 2]
+
+
+def test_rescaling_rounds_half_away_from_zero(spark):
+    df = spark.createDataFrame([(1,), (-1,), (3,), (-3,), (4611686018427387904,)], "v long")
+    assert [r[0] for r in df.select(timeline.rescaled(F.col("v"), 1, 2)).collect()] == [1, -1, 2, -2, 2305843009213693952]
+
+
+def test_admission_keeps_order_and_pool():
+    rows = pd.DataFrame({"req_id": [1, 2, 3, 4], "came": [0.0, 0.0, 1.0, 1.0], "need": [6, 6, 3, 99], "service": [5.0, 5.0, 5.0, 1.0], "pool": 0})
+    out = layout.admitted(10, 8)(rows).set_index("req_id")
+    assert out.loc[4, "state"] == "rejected"
+    assert out.loc[2, "started"] == 5.0 and out.loc[3, "started"] == 5.0  # not overtaken
