@@ -8,19 +8,19 @@ holds a run of hashes that its sets share, a probe counts its overlap with the r
 subtree as soon as the remaining lengths can't reach the overlap that a link needs.
 
 Two passes: the first compares each set with what shares one of its smallest hashes and gives components at little cost;
-the second takes every prefix hash that lies in sets of different components. A link between texts that are in one
+the second takes every prefix hash that lies in sets of different components, of the sets that can still have a link to
+another component. A link between texts that are in one
 component by other links need not be looked at again, so a group of near copies costs about as many comparisons as it
 has members, and every component is still exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -127,12 +127,12 @@ def _read_sets(k: int, num: int, den: int, whole: bool):
     return read
 
 
-def _prefixes(num: int, den: int, most: int | None):
-    """Rows of sets to a row for each hash of their prefixes, or of the first ``most``."""
+def _prefixes(num: int, den: int, take: Callable[[int, int], int]):
+    """Rows of sets to a row for each of their first hashes: ``take`` says how many, from the size and the prefix."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [np.frombuffer(s, np.int64)[: most or n - -(-num * n // den) + 1] for n, s in zip(batch["n"], batch["set"], strict=True)]
+            parts = [np.frombuffer(s, np.int64)[: take(n, n - -(-num * n // den) + 1)] for n, s in zip(batch["n"], batch["set"], strict=True)]
             out = batch[["doc_id", "component", "n"]].loc[batch.index.repeat([len(x) for x in parts])].reset_index(drop=True)
             out["hash"] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield out
@@ -147,13 +147,13 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _join_groups(num: int, den: int):
-    """Rows sorted by (hash, block) to the links of each such group; a group is bounded by its block."""
+    """Rows sorted by (leader, block) to the links of each such group; a group is bounded by its block."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tree = None, None
         for batch in batches:
             links = []
-            for h, b, doc, comp, s in zip(batch["hash"], batch["block"], batch["doc_id"], batch["component"], batch["set"], strict=True):
+            for h, b, doc, comp, s in zip(batch["leader"], batch["block"], batch["doc_id"], batch["component"], batch["set"], strict=True):
                 if (h, b) != key:
                     links += tree.links if tree else []
                     key, tree = (h, b), PrefixTree(num, den)
@@ -166,25 +166,53 @@ def _join_groups(num: int, den: int):
     return join
 
 
-def _links(sets: DataFrame, parts: DataFrame, work: Workspace, first: bool, num: int, den: int, block: int) -> DataFrame:
-    """Links (a, b) between sets that share a hash of their prefixes; ``first``: of their two smallest, and of large
-    groups only with the group's smallest member and the members in one block. Else all of them: a large group is dealt
-    to every pair of its blocks. Hashes whose sets are all in one component are left out."""
-    rows = sets.join(parts, "doc_id").select("doc_id", "component", "n", "set")
-    light = rows.mapInPandas(_prefixes(num, den, 2 if first else None), "doc_id long, component long, n long, hash long")
+def _smallest(sets: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """(hash, doc_id, component) of the two smallest hashes of every set."""
+    return sets.join(parts, "doc_id").select("doc_id", "component", "n", "set").mapInPandas(_prefixes(num, den, lambda n, p: 2), "doc_id long, component long, n long, hash long").select("hash", "doc_id", "component")
+
+
+def _still_open(sets: DataFrame, parts: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
+    """(hash, doc_id, component) of the prefixes that a link between components can still come from.
+
+    A set can have such a link only if at most n - ceil(t n) of its hashes lie in no set of another component: asked first
+    of the smallest hashes, of twice the prefix, then of all. The prefixes are taken with the rarest hashes first, so they
+    hold what is a set's own, which needs no looking up, and few others."""
+    own = F.count("*") - F.count("c")
+    allowed = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
+    for whole in (False, True):
+        take = (lambda n, p: n) if whole else (lambda n, p: 2 * p)
+        rows = sets.join(parts, "doc_id").select("doc_id", "component", "n", "set").mapInPandas(_prefixes(num, den, take), "doc_id long, component long, n long, hash long")
+        rows = work.stage(rows, "hashes", "none")
+        shared = rows.groupBy("hash").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash", "c")
+        told = rows.join(shared, "hash", "left")
+        if not whole:
+            ids = told.groupBy("doc_id", "n").agg(own.alias("own")).where(F.col("own") <= allowed).select("doc_id")
+            sets = work.stage(sets.join(ids, "doc_id", "left_semi"), "open", "none")
+            work.drop(rows)
+    by = Window.partitionBy("doc_id").orderBy(F.col("c").asc_nulls_first(), "hash")
+    first = told.withColumn("i", F.row_number().over(by)).where((F.col("i") <= allowed + 1) & F.col("c").isNotNull())
+    return first.select("hash", "doc_id", "component")
+
+
+def _links(light: DataFrame, sets: DataFrame, work: Workspace, first: bool, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) between sets that share a hash of ``light(hash, doc_id, component)``.
+
+    Hashes whose sets are all in one component are left out. The groups of hashes with the same smallest member are one
+    group, as copies share many hashes, so that a set travels to few groups. A large group is dealt to every pair of its
+    blocks; ``first``: only its smallest member to every block."""
     light = work.stage(light, "prefixes", "none")
-    groups = light.groupBy("hash").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("leader")).where("lo < hi")
-    k = F.ceil(F.col("c") / block).cast("int")
-    placed = light.select("hash", "doc_id", "component").join(groups.select("hash", "leader", k.alias("k")), "hash")
+    groups = light.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("leader")).where("lo < hi")
+    met = work.stage(light.join(groups.select("hash", "leader"), "hash").select("leader", "doc_id").distinct(), "met", "none")
+    placed = met.join(met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("k")), "leader")
     own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
     every = F.sequence(F.lit(0), F.col("k") - 1)
     if first:
         to = F.when(F.col("doc_id") == F.col("leader"), every).otherwise(F.array(own))
     else:
         to = F.transform(every, lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
-    placed = placed.select("hash", "doc_id", "component", F.explode(to).alias("block"))
-    full = placed.join(sets, "doc_id").select("hash", "block", "doc_id", "component", "n", "set")
-    full = full.repartition("hash", "block").sortWithinPartitions("hash", "block", "n", "doc_id").drop("n")
+    placed = placed.select("leader", "doc_id", F.explode(to).alias("block"))
+    full = placed.join(sets, "doc_id").select("leader", "block", "doc_id", "component", "n", "set")
+    full = full.repartition("leader", "block").sortWithinPartitions("leader", "block", "n", "doc_id").drop("n")
     return full.mapInPandas(_join_groups(num, den), "a long, b long").distinct()
 
 
@@ -204,7 +232,8 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
     schema = "doc_id long, n long, sig_a long, sig_b long, head binary"
     heads = work.stage(docs.mapInPandas(_read_sets(k, num, den, False), schema), "heads", "none")
     same = ["n", "sig_a", "sig_b"]
-    classes = work.stage(heads.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
+    keys = work.stage(heads.select("doc_id", *same), "keys")
+    classes = work.stage(keys.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
     allowed = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
 
     # sets with more hashes of their own than a link allows are set aside; twice, as their partners go too
@@ -214,17 +243,20 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
         posted = live.select("doc_id", "head").mapInPandas(_heads, "doc_id long, hash long")
         own = posted.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
         live = work.stage(live.join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) <= allowed).select("doc_id", "n", "head"), "live", "none")
+    work.drop(heads)
     ids = live.select("doc_id")
     sets = docs.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True), schema)
     sets = work.stage(sets.select("doc_id", "n", F.col("head").alias("set")).dropDuplicates(["doc_id"]), "sets", "none")
     work.drop(live)
 
     parts = sets.select("doc_id", F.col("doc_id").alias("component"))
-    links = work.stage(_links(sets, parts, work, True, num, den, block), "links")
+    links = work.stage(_links(_smallest(sets, parts, num, den), sets.join(parts, "doc_id"), work, True, num, den, block), "links")
     parts = work.stage(sets.select("doc_id").join(connected_components(links, work), F.col("node") == F.col("doc_id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "parts")
-    links = links.unionByName(work.stage(_links(sets, parts, work, False, num, den, block), "links"))
-    parts = work.stage(connected_components(links, work), "parts")
+    more = work.stage(_links(_still_open(sets, parts, work, num, den), sets.join(parts, "doc_id"), work, False, num, den, block), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        parts = work.stage(sets.select("doc_id").join(connected_components(links, work), F.col("node") == F.col("doc_id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "parts")
     # a class has the component of its smallest document
-    classes = classes.join(parts, F.col("node") == F.col("class_id"), "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = heads.select("doc_id", *same).join(classes, same, "left")
+    classes = classes.join(parts.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = keys.join(classes, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -94,12 +94,12 @@ def judge(pages: DataFrame, rules: DataFrame, work: Workspace, redirects: DataFr
     named = own.where("host <> '' and page_id is not null")
     keys = named.select("page_id", canonical_key(F.col("url")).alias("key"), F.col("host"), F.col("path"))
     targets = named.select("page_id", F.explode("links").alias("to"))
-    if redirects is not None:
-        hops = redirects.select(canonical_key(F.col("source")).alias("key"), F.col("target").alias("to")).where("to is not null")
-        # hops between addresses that are no pages: every address gets a negative number of its own
-        chain = connected_components_of_keys(hops, work)
-        targets = targets.unionByName(keys.select("page_id", "key").join(chain, "key").select("page_id", "to"))
     targets = targets.select("page_id", canonical_key(F.col("to")).alias("key"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path"))
+    if redirects is not None:  # a redirect is a node of its own that has both addresses; numbers below all page_ids
+        below = min(pages.agg(F.min("page_id")).first()[0] or 0, 0) - 1
+        hops = redirects.where("source is not null and target is not null").select((below - F.monotonically_increasing_id()).alias("page_id"), F.array("source", "target").alias("ends"))
+        hops = work.stage(hops, "redirects").select("page_id", F.explode("ends").alias("to"))
+        targets = targets.unionByName(hops.select("page_id", canonical_key(F.col("to")).alias("key"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")))
     named = work.stage(with_rule(keys.unionByName(targets).distinct(), rules).select("page_id", "key", "decision"), "keys")
     least = named.groupBy("key").agg(F.min("page_id").alias("b"))
     edges = named.select("page_id", "key").join(least, "key").select(F.col("page_id").alias("a"), "b")
@@ -110,17 +110,3 @@ def judge(pages: DataFrame, rules: DataFrame, work: Workspace, redirects: DataFr
     out = out.join(parts.withColumnRenamed("node", "page_id"), "page_id", "left").join(flags, "component", "left")
     spread = F.when(F.col("blocked") & ~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("decision", spread).alias("verdict"), "component", (F.col("decision").isNull() & F.coalesce(F.col("blocked") & ~F.col("allowed"), F.lit(False))).alias("spread"))
-
-
-def connected_components_of_keys(hops: DataFrame, work: Workspace) -> DataFrame:
-    """(key, to) for each address of a redirect table: every address of its component, named by its smallest address."""
-    pairs = work.stage(hops.select("key", canonical_key(F.col("to")).alias("next"), "to"), "hops")
-    names = pairs.select(F.explode(F.array("key", "next")).alias("key")).distinct().withColumn("id", F.xxhash64("key"))
-    names = work.stage(names, "names")
-    edges = pairs.select(F.xxhash64("key").alias("a"), F.xxhash64("next").alias("b"))
-    parts = connected_components(edges, work).withColumnRenamed("node", "id")
-    placed = work.stage(names.join(parts, "id").select("key", "component"), "placed")
-    hubs = placed.groupBy("component").agg(F.min("key").alias("hub"))
-    ends = pairs.select("key", "to").unionByName(pairs.select(F.col("next").alias("key"), "to"))
-    star = placed.join(hubs, "component").select("key", F.concat(F.lit("http://"), "hub").alias("to"))
-    return star.unionByName(ends).distinct()
