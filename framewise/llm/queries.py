@@ -72,4 +72,32 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op3_line_templates": op3_line_templates, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix}
-ORACLES: dict = {}
+#: Words that DuckDB's patterns and Java's see alike: runs of letters and digits.
+OP1 = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null and text is not null),
+b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark where item_id is not null and text is not null),
+q as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) as s from b),
+x as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) as s from d),
+n as (select item_id, count(*) as n_shingles from q group by 1),
+m as (select doc_id, item_id, count(*) as n_shared from x join q using (s) group by 1, 2)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join n using (item_id) where 10 * n_shared >= 8 * n_shingles"""
+
+OP8 = r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f as (select *, regexp_matches(role || ': ' || text, '###[ \\]') or contains(role || ' ' || text, '</turn>') or contains(role, ': ') as coded from c),
+n as (select *, case when coded then 15 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) else 14 + length(role) + length(text) end as chars from f)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from n group by 1"""
+
+OP9 = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by 1),
+m as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from m join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, node) as (select doc_id, doc_id from w union select r.doc_id, e.b from r join e on r.node = e.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.node) as component_id from w left join n using (doc_id) join r using (doc_id) group by 1, 2"""
+
+#: The other operators' results can't be said in SQL: tests/llm holds them against brute force, exact round trips and
+#: held-out accuracy.
+ORACLES = {"op1_benchmark_leaks": OP1, "op8_chat_format": OP8, "op9_jaccard_join": OP9}
