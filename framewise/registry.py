@@ -1,8 +1,8 @@
 """Every registered query with its twin in SQL."""
 
-from framewise.plans import analytics, cuts, layout, ledger, streams, text, timeline
+from framewise.plans import analytics, cuts, frames, layout, ledger, streams, text, timeline
 
-PLANS = (cuts, timeline, layout, ledger, analytics, text, streams)
+PLANS = (cuts, timeline, layout, ledger, analytics, text, streams, frames)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _plan in PLANS:
