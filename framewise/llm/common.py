@@ -32,10 +32,15 @@ class Workspace:
     """Tables that one run of an operator writes to the shared folder and reads again.
 
     Writing cuts lineage: a lost executor costs the tasks that read the table, not the job that made it.
-    ``drop`` removes a table as soon as nothing that is still lazy reads it.
+    ``drop`` removes a table as soon as nothing that is still lazy reads it. Texts are long, so Python gets them in
+    smaller Arrow batches than Spark's own default; a session that has chosen a size keeps it.
     """
 
+    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(self.BATCH) == "10000":
+            spark.conf.set(self.BATCH, "2000")
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, label: str) -> str:

@@ -78,7 +78,8 @@ def edited_neighbours(documents: DataFrame, work: Workspace) -> DataFrame:
     The order needs ids alone: they are dealt by range, each range finds its followers, and the first row of every range
     (as many as partitions) joins the ranges. Texts move once by id, and a third of them once more as heads.
     """
-    docs = documents.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    docs = documents.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).drop("doc_id")
+    # the same columns in both joins below, so that the texts are shuffled once for both
     ids = docs.groupBy("id", "th").agg(F.max(F.length("text")).alias("n"))
     ids = work.stage(ids.repartitionByRange(F.desc("id"), F.desc("th")).withColumn("part", F.spark_partition_id()), "ids")
     key = F.struct("id", "th")
@@ -93,7 +94,7 @@ def edited_neighbours(documents: DataFrame, work: Workspace) -> DataFrame:
     heads = heads.select(F.col("own_id").alias("id"), F.col("own_th").alias("th"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
     both = docs.join(heads, ["id", "th"]).withColumn("n", F.length("text"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(F.col("n") / 3).cast("int")), F.col("head")))
-    both = both.select("id", "th", "doc_id", "n", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
+    both = both.select("id", "th", F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "n", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
     both = fingerprints(fingerprints(both, "text", "fp").drop("text"), "edited", "edited_fp").drop("edited")
     both = work.stage(both.dropDuplicates(["id", "th"]), "fingerprints")
     after = both.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("next_fp"))

@@ -97,7 +97,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
                 yield shingles(hashed[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+def blocks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[list[bytes]]:
     """The texts in lists of about ``limit`` bytes, so that the arrays stay small."""
     block, size = [], 0
     for t in texts:

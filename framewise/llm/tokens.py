@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import Workspace
 
 DIGEST = 16
 #: Words that the normaliser and the splitter of a lower-casing byte-level vocabulary take letter by letter.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 STORED = "row long, doc_id long, n_tokens long, ids_crc32 long, m int, root binary, digests binary, lengths binary, payload binary"
 
 
@@ -52,46 +53,41 @@ class WordEncoder:
     tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.kind = np.dtype("u4" if self.wide else "u2")  # little-endian machines
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def core(self, word: str) -> bytes:
-        found = self.cores.get(word)
+        found = self.known.get(word)
         if found is None:
-            shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            found = self.cores[word] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            found = self.known[word] = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def learn(self, piece: str) -> bytes:
-        plain = PLAIN.fullmatch(piece)
-        if plain:
-            ids = self.core(plain[1].lower()) + (self.core(plain[2]) if plain[2] else b"")
+        if piece.isascii() and piece.isalpha():
+            ids = self.core(piece.lower())
+        elif plain := PLAIN.fullmatch(piece):
+            ids = (self.core(plain[1].lower()) if plain[1] else b"") + (self.core(plain[2]) if plain[2] else b"")
         else:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
         self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > self.most or len(self.cores) > self.most:
-            known.clear()
-            self.cores.clear()
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            get, learn = known.get, self.learn
-            return b"".join([found if (found := get(p)) is not None else learn(p) for p in pieces])
+        if len(self.known) > self.most:
+            self.known.clear()
+        get, learn = self.known.get, self.learn
+        return b"".join([get(p) or learn(p) for p in text.replace("\n", " ").split(" ") if p])
 
 
 def cuts(ids: np.ndarray, bits: int, least: int, most: int) -> list[int]:

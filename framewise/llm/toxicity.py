@@ -49,22 +49,27 @@ def distinct_features(texts: list[bytes], keys: np.ndarray | None = None) -> tup
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial document counts of features among positives and unlabelled texts."""
+    """Partial document counts of features among positives and unlabelled texts, a block of texts at a time."""
     for batch in batches:
-        positive = batch["positive"].to_numpy(bool)
-        of, hashed = distinct_features(hashing.encoded(batch["text"]))
-        key, place = np.unique(hashed, return_inverse=True)
-        p = np.bincount(place, positive[of], len(key)).astype(np.int64)
-        u = np.bincount(place, ~positive[of], len(key)).astype(np.int64)
-        yield pd.DataFrame({"key": key.view(np.int64), "p": p, "u": u})
+        positive, at = batch["positive"].to_numpy(bool), 0
+        for block in hashing.blocks(hashing.encoded(batch["text"])):
+            mine = positive[at : at + len(block)]
+            at += len(block)
+            of, hashed = distinct_features(block)
+            key, place = np.unique(hashed, return_inverse=True)
+            p = np.bincount(place, mine[of], len(key)).astype(np.int64)
+            u = np.bincount(place, ~mine[of], len(key)).astype(np.int64)
+            yield pd.DataFrame({"key": key.view(np.int64), "p": p, "u": u})
 
 
 def _features(keys: np.ndarray) -> Callable:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            of, at = distinct_features(hashing.encoded(batch["text"]), keys)
-            cuts = np.searchsorted(of, np.arange(1, len(batch)))
-            yield pd.DataFrame({"positive": batch["positive"], "at": [x.astype("<i4").tobytes() for x in np.split(at, cuts)]})
+            rows = []
+            for block in hashing.blocks(hashing.encoded(batch["text"])):
+                of, at = distinct_features(block, keys)
+                rows += [x.astype("<i4").tobytes() for x in np.split(at, np.searchsorted(of, np.arange(1, len(block))))]
+            yield pd.DataFrame({"positive": batch["positive"], "at": rows})
 
     return read
 
