@@ -299,4 +299,4 @@ def test_rates_meet_the_targets(spark, work):
     right = [(r["posteriors"][0] > 0.5) == kinds[r["doc_id"]] for r in rows if r["doc_id"] < 600 and r["doc_id"] % 2 == 0]
     assert np.mean(right) > 0.95
     assert 0 < mixing.kept(docs, mix).count() < 602 and mixing.kept(docs, mix).columns == docs.columns
-    assert mixing.fit_rates(docs.limit(0), labels.limit(0), work).rates.count() == 0
+    assert mixing.fit_rates(docs.limit(0), labels.limit(0), work, domain="kind").rates.count() == 0
