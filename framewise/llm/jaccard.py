@@ -127,23 +127,29 @@ def _read_sets(k: int, num: int, den: int, whole: bool):
     return read
 
 
+def _spread(rows: pd.DataFrame, parts: list[np.ndarray], limit: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    """Each row again for each of its hashes, in frames of about ``limit`` rows: a batch of long texts has millions."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    frame = (np.cumsum(sizes) - sizes) // limit
+    for k in np.unique(frame).tolist():
+        some = np.flatnonzero(frame == k)
+        yield rows.iloc[np.repeat(some, sizes[some])].reset_index(drop=True).assign(hash=np.concatenate([parts[i] for i in some]))
+
+
 def _prefixes(num: int, den: int, take: Callable[[int, int], int]):
     """Rows of sets to a row for each of their first hashes: ``take`` says how many, from the size and the prefix."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [np.frombuffer(s, np.int64)[: take(n, n - -(-num * n // den) + 1)] for n, s in zip(batch["n"], batch["set"], strict=True)]
-            out = batch[["doc_id", "component", "n"]].loc[batch.index.repeat([len(x) for x in parts])].reset_index(drop=True)
-            out["hash"] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield out
+            yield from _spread(batch[["doc_id", "component", "n"]], parts)
 
     return read
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parts = [np.frombuffer(s, np.int64) for s in batch["head"]]
-        yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in parts]), "hash": np.concatenate(parts) if parts else np.zeros(0, np.int64)})
+        yield from _spread(batch[["doc_id"]], [np.frombuffer(s, np.int64) for s in batch["head"]])
 
 
 def _join_groups(num: int, den: int):
