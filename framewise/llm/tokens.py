@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class WordEncoder:
     tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -90,6 +91,12 @@ class WordEncoder:
         return b"".join([get(p) or learn(p) for p in text.replace("\n", " ").split(" ") if p])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a Python worker: the tasks after its first find the words that it knows."""
+    return WordEncoder(path)
+
+
 def cuts(ids: np.ndarray, bits: int, least: int, most: int) -> list[int]:
     """Ends of the chunks: where a hash of the last four ids has ``bits`` zeros, at ``least`` to ``most`` ids."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +117,7 @@ def cuts(ids: np.ndarray, bits: int, least: int, most: int) -> list[int]:
 
 def _encode(path: str, end_id: int, bits: int, least: int, most: int) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordEncoder(path), zstandard.ZstdCompressor(level=3)
+        encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=3)
         end, unit = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         for batch in batches:
             rows = []
