@@ -2,7 +2,8 @@
 
 Sets are the distinct shingle hashes of a text, ordered by value everywhere. Texts with equal sets are one class. A set
 can only be linked if most of its hashes occur in other sets, so sets with too many hashes of their own are set aside,
-exactly, before anything is joined. The rest meet by hashes of their prefixes: of two linked sets, each has among its
+exactly, before anything is joined; of the smallest hashes, a set may have as many more of its own as its head is longer
+than the shortest head of a set that it can be linked with. The rest meet by hashes of their prefixes: of two linked sets, each has among its
 first n - ceil(t n) + 1 hashes one that both have. What meets is joined by a prefix tree over the whole sets: a node
 holds a run of hashes that its sets share, a probe counts its overlap with the run once for all of them, and leaves a
 subtree as soon as the remaining lengths can't reach the overlap that a link needs.
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -33,6 +34,23 @@ def needed(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
+def head_length(n: int, num: int, den: int) -> int:
+    """How many of its smallest hashes are the head of a set of ``n``: twice the prefix."""
+    return min(n, 2 * (n - -(-num * n // den) + 1))
+
+
+def allowed_own(num: int, den: int) -> tuple[Column, Column]:
+    """Most hashes of a set of ``n`` that a set linked with it can lack, and most of its head that the other's head can.
+
+    If the other's head ends later, its head lacks only what the other set lacks; if it ends first, the hashes of this
+    head beyond its end are missing too, so the difference of the lengths is added. A partner has at least ceil(t n)
+    hashes, and no larger one has a shorter head."""
+    n, least = F.col("n"), lambda n: F.ceil(n * num / den - F.lit(1e-9)).cast("long")
+    head = lambda n: F.least(n, 2 * (n - least(n) + 1))
+    allowed = n - least(n)
+    return allowed, allowed + head(n) - head(least(n))
+
+
 class Node:
     """A run of hashes below its parent's; ``low`` and ``high`` are the sizes of the sets below."""
 
@@ -119,7 +137,7 @@ def _read_sets(k: int, num: int, den: int, whole: bool):
             rows = []
             for s in hashing.shingle_sets(hashing.encoded(batch["text"]), k):
                 n = len(s)
-                kept = n if whole else min(n, 2 * (n - -(-num * n // den) + 1))
+                kept = n if whole else head_length(n, num, den)
                 with np.errstate(over="ignore"):
                     rows.append((n, int(np.bitwise_xor.reduce(s).view(np.int64)) if n else 0, int(hashing.mix(s + np.uint64(1)).sum().view(np.int64)) if n else 0, s[:kept].tobytes()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "sig_a", "sig_b", "head"])], axis=1)
@@ -181,10 +199,10 @@ def _still_open(sets: DataFrame, parts: DataFrame, work: Workspace, num: int, de
     """(hash, doc_id, component) of the prefixes that a link between components can still come from.
 
     A set can have such a link only if at most n - ceil(t n) of its hashes lie in no set of another component: asked first
-    of the smallest hashes, of twice the prefix, then of all. The prefixes are taken with the rarest hashes first, so they
+    of the heads, with what their lengths differ by, then of all hashes. The prefixes are taken with the rarest hashes first, so they
     hold what is a set's own, which needs no looking up, and few others."""
     own = F.count("*") - F.count("c")
-    allowed = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
+    allowed, in_head = allowed_own(num, den)
     for whole in (False, True):
         take = (lambda n, p: n) if whole else (lambda n, p: 2 * p)
         rows = sets.join(parts, "doc_id").select("doc_id", "component", "n", "set").mapInPandas(_prefixes(num, den, take), "doc_id long, component long, n long, hash long")
@@ -192,7 +210,7 @@ def _still_open(sets: DataFrame, parts: DataFrame, work: Workspace, num: int, de
         shared = rows.groupBy("hash").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash", "c")
         told = rows.join(shared, "hash", "left")
         if not whole:
-            ids = told.groupBy("doc_id", "n").agg(own.alias("own")).where(F.col("own") <= allowed).select("doc_id")
+            ids = told.groupBy("doc_id", "n").agg(own.alias("own")).where(F.col("own") <= in_head).select("doc_id")
             sets = work.stage(sets.join(ids, "doc_id", "left_semi"), "open", "none")
             work.drop(rows)
     by = Window.partitionBy("doc_id").orderBy(F.col("c").asc_nulls_first(), "hash")
@@ -240,7 +258,7 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
     same = ["n", "sig_a", "sig_b"]
     keys = work.stage(heads.select("doc_id", *same), "keys")
     classes = work.stage(keys.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
-    allowed = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
+    _, in_head = allowed_own(num, den)
 
     # sets with more hashes of their own than a link allows are set aside; twice, as their partners go too
     live = heads.where("n > 0").join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").select("doc_id", "n", "head")
@@ -248,7 +266,7 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
     for _ in range(2):
         posted = live.select("doc_id", "head").mapInPandas(_heads, "doc_id long, hash long")
         own = posted.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-        live = work.stage(live.join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) <= allowed).select("doc_id", "n", "head"), "live", "none")
+        live = work.stage(live.join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) <= in_head).select("doc_id", "n", "head"), "live", "none")
     work.drop(heads)
     ids = live.select("doc_id")
     sets = docs.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True), schema)

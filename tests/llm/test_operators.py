@@ -265,6 +265,30 @@ def test_components_of_jaccard_links_are_those_of_brute_force(spark, work):
     assert jaccard.join_components(documents(spark, []), work).count() == 0
 
 
+def linked_components(texts, k, num):
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    found = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            found = [found[i] if f == found[j] else f for f in found] if found[i] < found[j] else [found[j] if f == found[i] else f for f in found]
+    return dict(enumerate(found))
+
+
+@pytest.mark.parametrize(("k", "num", "sizes"), [(3, 90, (11,)), (5, 80, (8,)), (3, 90, (12, 21, 31, 60)), (5, 80, (9, 14, 23, 40))])
+def test_pairs_with_heads_of_different_length_are_linked(spark, work, k, num, sizes):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i, n in enumerate(sizes * (20 // len(sizes))):  # isolated pairs: a text, and it with words added at one end
+        base, more = words(rng, n, 10**9), words(rng, max(1, n // 12), 10**9)
+        texts += [" ".join(base), " ".join([*base, *more] if i % 2 else [*more, *base])]
+    want = linked_components(texts, k, num)
+    rows = jaccard.join_components(documents(spark, texts), work, k=k, num=num).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want and len(set(want.values())) < len(texts)
+
+
 def test_prefix_tree_links_a_group_of_copies_with_few_comparisons():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
