@@ -3,9 +3,9 @@
 A line's tokens are its words; words with a digit are variable fields. The tree has a fixed depth: the number of tokens,
 then the first three tokens; a leaf holds templates, and a line joins the most similar template of its leaf (share of
 equal positions at least 0.8), whose differing positions become fields too, or starts one. Lines of templates that occur
-in many documents are dropped.
+in many documents are dropped; the more words a template has beside its fields, the fewer different texts it takes.
 
-Leaves are parsed apart. Only leaves that many documents reach are parsed at all, each different line once; a leaf of
+Leaves are parsed apart. Only leaves that enough documents reach are parsed at all, each different line once; a leaf of
 more lines than ``block`` is parsed in blocks, and the templates of its blocks are parsed again.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -56,7 +56,7 @@ def _keys(with_text: bool):
             out = pd.DataFrame(rows, columns=["id", "th", "i", "n", "lead", "line"])
             out["leaf"] = _hash([f"{n} {lead}".encode("utf-8", "surrogatepass") for n, lead in zip(out["n"], out["lead"], strict=True)])
             out["mask"] = _hash([x.encode("utf-8", "surrogatepass") for x in out["line"]])
-            yield out[["leaf", "mask", "line"]] if with_text else out[["id", "th", "i", "leaf", "mask"]]
+            yield out[["leaf", "mask", "line"]] if with_text else out[["id", "th", "i", "n", "leaf", "mask"]]
 
     return read
 
@@ -88,8 +88,10 @@ def _parse(share: float):
 
 
 def _templates(lines: DataFrame, work: Workspace, share: float, block: int) -> DataFrame:
-    """(mask, template) of ``lines(leaf, mask, line)``, each line once."""
+    """(leaf, mask, template, fixed) of ``lines(leaf, mask, line)``, each line once; the least ``fixed`` of a template is
+    the number of its words that are no fields."""
     parsed = "leaf long, mask long, template long, shape string"
+    fixed = F.size(F.filter(F.split("shape", " "), lambda x: x != FIELD)).alias("fixed")
 
     def parse(rows: DataFrame) -> DataFrame:
         rows = rows.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "mask")
@@ -100,28 +102,40 @@ def _templates(lines: DataFrame, work: Workspace, share: float, block: int) -> D
     split = first.join(sizes.where("k > 1").select("leaf"), "leaf", "left_semi")
     shapes = split.groupBy("leaf", "template").agg(F.max(F.struct(F.size(F.split("shape", re.escape(FIELD))).alias("fields"), "shape")).alias("s"))
     again = parse(shapes.select("leaf", F.lit(0).alias("block"), F.col("template").alias("mask"), F.col("s.shape").alias("line")))
-    again = again.select(F.col("mask").alias("template"), F.col("template").alias("joined"), "leaf")
-    return first.join(again, ["leaf", "template"], "left").select("leaf", "mask", F.coalesce("joined", "template").alias("template"))
+    again = again.select(F.col("mask").alias("template"), F.col("template").alias("joined"), "leaf", fixed.alias("left"))
+    first = first.select("leaf", "mask", "template", fixed)
+    return first.join(again, ["leaf", "template"], "left").select("leaf", "mask", F.coalesce("joined", "template").alias("template"), F.least("fixed", "left").alias("fixed"))
 
 
-def drop_recurring(documents: DataFrame, work: Workspace, least_documents: int = 10, share: float = 0.8, block: int = 5000) -> DataFrame:
+def _enough(words: str, least_documents: int, least_words: int) -> Column:
+    """Whether ``documents`` or ``texts`` suffice for a template of so many words: ``least_words`` in its texts together,
+    two different texts at least; or ``least_documents``, whatever it says."""
+    return (F.col("documents") >= least_documents) | (F.col("texts") >= F.greatest(F.lit(2), F.ceil(least_words / F.greatest(F.col(words), F.lit(1)))))
+
+
+def drop_recurring(documents: DataFrame, work: Workspace, least_documents: int = 10, share: float = 0.8, block: int = 5000, least_words: int = 100) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of ``documents(doc_id, text)`` without the lines whose template occurs in at
-    least ``least_documents`` documents.
+    least ``least_documents`` documents, or in so many different texts that its words beside the fields, counted once a
+    text, are ``least_words``: two texts for 50 words or more, three for 34, five for 20. Exact copies of a document are
+    one text, so they do not make its own lines recur.
 
     Lines end at ``\\n``; blank lines stay. Null or empty text: no lines, the text stays empty. A document is a pair of
     doc_id and text, so repeated rows are one document, given once; a null doc_id is one like others; other columns are
     ignored; an empty table gives no rows.
     """
     docs = documents.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    keys = work.stage(docs.select("id", "th", "text").mapInPandas(_keys(False), "id long, th long, i int, leaf long, mask long"), "keys")
-    reached = keys.select("leaf", "id", "th").distinct().groupBy("leaf").count().where(F.col("count") >= least_documents).select("leaf")
+    keys = work.stage(docs.select("id", "th", "text").mapInPandas(_keys(False), "id long, th long, i int, n int, leaf long, mask long"), "keys")
+    reached = keys.select("leaf", "n", "th", "id").distinct().groupBy("leaf", "n", "th").agg(F.count("*").alias("documents")).groupBy("leaf", "n").agg(F.sum("documents").alias("documents"), F.count("*").alias("texts"))
+    reached = reached.where(_enough("n", least_documents, least_words)).select("leaf").distinct()
     some = work.stage(keys.join(reached, "leaf", "left_semi"), "some")
     wanted = some.groupBy("leaf", "mask").agg(F.min(F.struct("id", "th", "i")).alias("at")).select("at.*").groupBy("id", "th").agg(F.collect_list("i").alias("wanted"))
     lines = docs.join(wanted, ["id", "th"]).select("id", "th", "text", "wanted").dropDuplicates(["id", "th"])
     lines = work.stage(lines.mapInPandas(_keys(True), "leaf long, mask long, line string"), "lines")
     templates = work.stage(_templates(lines, work, share, block), "templates")
     placed = some.join(templates, ["leaf", "mask"])
-    often = placed.select("leaf", "template", "id", "th").distinct().groupBy("leaf", "template").count().where(F.col("count") >= least_documents).select("leaf", "template")
+    often = placed.groupBy("leaf", "template", "th", "id").agg(F.min("fixed").alias("fixed")).groupBy("leaf", "template", "th").agg(F.count("*").alias("documents"), F.min("fixed").alias("fixed"))
+    often = often.groupBy("leaf", "template").agg(F.sum("documents").alias("documents"), F.count("*").alias("texts"), F.min("fixed").alias("fixed"))
+    often = often.where(_enough("fixed", least_documents, least_words)).select("leaf", "template")
     gone = placed.join(often, ["leaf", "template"], "left_semi").groupBy("id", "th").agg(F.collect_set("i").alias("gone"))
     out = docs.join(gone, ["id", "th"], "left").dropDuplicates(["id", "th"])
     all_lines = F.split("text", "\n", -1)

@@ -112,6 +112,25 @@ def test_recurring_templates_go(spark, work):
     assert lines.drop_recurring(documents(spark, texts[:5]), work).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+@pytest.mark.parametrize("block", [5000, 1])
+def test_passages_of_few_texts_go(spark, work, block):
+    rng = np.random.default_rng(9)
+    line = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(26, size=8)) for _ in range(n))
+    long, changed, middle, short = line(60), None, line(20), line(12)
+    changed = " ".join([*long.split()[:-2], "other", "end"])
+    numbers = [" ".join(str(x) for x in rng.integers(10**6, size=60)) for _ in range(3)]
+    shared = [[long], [changed, middle, short], [middle, short, numbers[0]], [middle, short, numbers[1]], [middle, numbers[2]], [middle]]
+    own = [line(70) for _ in range(7)]
+    texts = ["\n".join([o, *lines_, "tail"]) for o, lines_ in zip(own, [*shared, []], strict=True)]
+    texts += [texts[-1]] * 4  # exact copies are one text
+    rows = {r["doc_id"]: r for r in lines.drop_recurring(documents(spark, texts), work, block=block).collect()}
+    gone = {long, changed, middle, "tail"}  # the tail is in ten documents and more
+    for i, t in enumerate(texts):
+        assert rows[i]["text"] == "\n".join(x for x in t.split("\n") if x not in gone)
+    few = lines.drop_recurring(documents(spark, texts[:2]), work).collect()
+    assert {r["n_dropped"] for r in few} == {1} and all("tail" in r["text"] for r in few)
+
+
 # --- 4
 
 
