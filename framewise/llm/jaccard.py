@@ -18,6 +18,7 @@ has members, and every component is still exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -129,22 +130,65 @@ class PrefixTree:
             node = down
 
 
-def _read_sets(k: int, num: int, den: int, whole: bool):
-    """Rows of texts to rows of sets; ``head`` has all hashes, or the smallest of twice the prefix."""
+def normal(text: bytes) -> bytes:
+    """The words of a text, one space between two."""
+    return b" ".join(text.lower().split())
+
+
+def _read_sets(k: int, num: int, den: int, whole: bool, seed: int):
+    """Rows of texts to rows of sets; ``head`` has all hashes, or the smallest of twice the prefix. The signature is a
+    cryptographic digest of the words in order."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for s in hashing.shingle_sets(hashing.encoded(batch["text"]), k):
+            rows, texts = [], hashing.encoded(batch["text"])
+            for t, s in zip(texts, hashing.shingle_sets(texts, k, seed), strict=True):
                 n = len(s)
                 kept = n if whole else head_length(n, num, den)
-                with np.errstate(over="ignore"):
-                    rows.append((n, int(np.bitwise_xor.reduce(s).view(np.int64)) if n else 0, int(hashing.mix(s + np.uint64(1)).sum().view(np.int64)) if n else 0, s[:kept].tobytes()))
+                sign = np.frombuffer(blake2b(normal(t), digest_size=16).digest(), "<i8") if n and not whole else (0, 0)
+                rows.append((n, int(sign[0]), int(sign[1]), s[:kept].tobytes()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "sig_a", "sig_b", "head"])], axis=1)
 
     return read
 
 
+def shingles_of(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
+
+
+def _false_links(k: int, num: int, den: int):
+    """Rows of linked texts to those that are not linked by their shingles as they are written."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, had = None, set()
+        for batch in batches:
+            out = []
+            for a, b, s, t in zip(batch["a"], batch["b"], hashing.encoded(batch["text_a"]), hashing.encoded(batch["text_b"]), strict=True):
+                if last != b:
+                    last, had = b, shingles_of(t, k)
+                mine = shingles_of(s, k)
+                both = len(mine & had)
+                if both * den < num * (len(mine) + len(had) - both):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return read
+
+
+def false_links(links: DataFrame, docs: DataFrame, work: Workspace, k: int, num: int, den: int, block: int, few: int) -> DataFrame:
+    """The links (a, b) that the shingles of the texts do not bear out. A text with many links is sent to as many places
+    as its links fill blocks."""
+    ids = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if links.count() <= few else ids.hint("merge"), "doc_id", "left_semi")
+    texts = work.stage(texts, "linked")
+    parts = links.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    there = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    here = links.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("part"))
+    here = here.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return here.join(there, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInPandas(_false_links(k, num, den), "a long, b long")
+
+
 def _spread(rows: pd.DataFrame, parts: list[np.ndarray], limit: int = 1 << 17) -> Iterator[pd.DataFrame]:
     """Each row again for each of its hashes, in frames of about ``limit`` rows: a batch of long texts has millions."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -240,21 +284,40 @@ def _links(light: DataFrame, sets: DataFrame, work: Workspace, first: bool, num:
     return full.mapInPandas(_join_groups(num, den), "a long, b long").distinct()
 
 
-def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int = 90, den: int = 100, block: int = 512, few: int = 2_000_000) -> DataFrame:
+def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int = 90, den: int = 100, block: int = 512, few: int = 2_000_000, tries: int = 3) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of ``documents(doc_id, text)`` with a doc_id.
 
     A text's set is its distinct ``k``-word shingles (words without ASCII white space, A-Z lower-cased); with fewer words
     the whole sequence is one; a null, empty or blank text has the empty set, is linked with nothing and is a class and
     component of its own. Two texts are linked if den * intersection >= num * union. ``class_id`` is the smallest
-    doc_id with the same set, ``component_id`` the smallest one reachable by links. Rows that share a doc_id are one
-    document; a null doc_id is left out; other columns are ignored; an empty table gives no rows.
+    doc_id with the same words in the same order, ``component_id`` the smallest one reachable by links. Rows that share a
+    doc_id are one document, of the smallest of their texts; a null doc_id is left out; other columns are ignored; an empty table
+    gives no rows.
+
+    Shingles are compared by 64-bit hashes; then every link is held against the shingles themselves, and if one is not
+    borne out, all is done again with another seed, up to ``tries`` times, then it is an error. What the hashes can still
+    do is to count two shingles of one text as one, at a chance of n * n / 2 ** 65.
 
     The texts of sets that may be linked are read again: up to ``few`` of them by broadcasting their ids, else by a
     shuffle. Groups that share a hash are joined in blocks of about ``block`` sets, so no task holds an unbounded group.
     """
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    often = work.stage(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    if not often.isEmpty():
+        often = F.broadcast(often) if often.count() <= few else often.hint("merge")
+        one = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = docs.join(often, "doc_id", "left_anti").unionByName(one)
+    for seed in range(tries):
+        found, links = _components(docs, work, k, num, den, block, few, seed)
+        if links is None or false_links(links, docs, work, k, num, den, block, few).isEmpty():
+            return found
+    raise RuntimeError("links of shingle hashes are not borne out by the shingles")
+
+
+def _components(docs: DataFrame, work: Workspace, k: int, num: int, den: int, block: int, few: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """The result of ``join_components`` by hashes of one seed, and the links that made its components."""
     schema = "doc_id long, n long, sig_a long, sig_b long, head binary"
-    heads = work.stage(docs.mapInPandas(_read_sets(k, num, den, False), schema), "heads", "none")
+    heads = work.stage(docs.mapInPandas(_read_sets(k, num, den, False, seed), schema), "heads", "none")
     same = ["n", "sig_a", "sig_b"]
     keys = work.stage(heads.select("doc_id", *same), "keys")
     classes = work.stage(keys.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
@@ -262,15 +325,14 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
 
     # sets with more hashes of their own than a link allows are set aside; twice, as their partners go too
     live = heads.where("n > 0").join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").select("doc_id", "n", "head")
-    live = live.dropDuplicates(["doc_id"])
     for _ in range(2):
         posted = live.select("doc_id", "head").mapInPandas(_heads, "doc_id long, hash long")
         own = posted.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
         live = work.stage(live.join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) <= in_head).select("doc_id", "n", "head"), "live", "none")
     work.drop(heads)
     ids = live.select("doc_id")
-    sets = docs.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True), schema)
-    sets = work.stage(sets.select("doc_id", "n", F.col("head").alias("set")).dropDuplicates(["doc_id"]), "sets", "none")
+    sets = docs.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_semi").mapInPandas(_read_sets(k, num, den, True, seed), schema)
+    sets = work.stage(sets.select("doc_id", "n", F.col("head").alias("set")), "sets", "none")
     work.drop(live)
 
     parts = sets.select("doc_id", F.col("doc_id").alias("component"))
@@ -283,4 +345,5 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
     # a class has the component of its smallest document
     classes = classes.join(parts.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = keys.join(classes, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out, None if links.isEmpty() else links
