@@ -3,14 +3,16 @@
 A rolling hash over the ids of a document cuts them into chunks, so equal passages make equal chunks; a chunk is named by
 its digest and stored once, with the first document (by doc_id) that has it. Files, all Parquet:
 
-``store``     a row for each document: digests of its chunks in order, the chunks that it is first to have (compressed
+``store``     a row for each document, in ascending doc_id: digests of its chunks in order, the chunks that it is first to have (compressed
               ids, little-endian, 16 bits for vocabularies of up to 65,536 ids, else 32), which of its chunks are
               borrowed from earlier documents and which are lent to later ones
 ``recipes``   in ascending doc_id: start among all ids, number of ids, Merkle root of the chunk digests
-``manifest``  Merkle levels over the recipes: of up to 1,024 documents, of each part of the order
+``manifest``  a Merkle tree over the recipes in order: nodes of 1,024 recipes or nodes of the level below, up to one
+              corpus root
 
 Reading rebuilds every document, borrowed chunks included, and checks each chunk against its digest, each document
-against its root and each block of recipes against the manifest.
+against the number, place, size and root that its recipe has, and the recipes against the whole tree. A row that is
+missing, added or altered in any of the files is an error.
 """
 
 from __future__ import annotations
@@ -50,15 +52,16 @@ def merkle(leaves: list[bytes]) -> bytes:
 class WordEncoder:
     """Ids of texts, word by word: white space parts the words of these vocabularies, so a word's ids can be kept.
 
-    ``most`` bounds what is kept. Plain words go to the model at once; any other stretch goes through the whole
-    tokenizer.
+    ``most`` bounds what is kept. Plain words go to the model at once; any other stretch, also one that holds the
+    string of a special token, goes through the whole tokenizer, so ids are those of ``encode(text,
+    add_special_tokens=False)``: such a string is that token, as the library reads it.
     """
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("u4" if self.wide else "u2")  # little-endian machines
@@ -75,7 +78,9 @@ class WordEncoder:
         return found
 
     def learn(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
+        if any(x in piece for x in self.special):
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        elif piece.isascii() and piece.isalpha():
             ids = self.core(piece.lower())
         elif plain := PLAIN.fullmatch(piece):
             ids = (self.core(plain[1].lower()) if plain[1] else b"") + (self.core(plain[2]) if plain[2] else b"")
@@ -180,7 +185,7 @@ def _chunks(which: str) -> Callable:
 
 
 def _rebuild(wide: bool) -> Callable:
-    """Documents to their ids' number and checksum, from their chunks; anything that doesn't agree is an error."""
+    """Documents to number, checksum and root of their ids, from their chunks; chunks that don't agree are an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -190,12 +195,13 @@ def _rebuild(wide: bool) -> Callable:
                 pieces = [p["payload"] for p in row["pieces"]] if "pieces" in row else list(_pieces(row).values())
                 parts = [opener.decompress(p) for p in pieces]
                 told = [digest(p) for p in parts]
-                if b"".join(told) != row["digests"] or merkle(told) != row["root"]:
+                if b"".join(told) != row["digests"]:
                     raise ValueError(f"document {row['doc_id']} can't be rebuilt from its chunks")
                 ids = np.frombuffer(b"".join(parts), "<u4" if wide else "<u2")
-                rows.append((row["row"], len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "n_tokens", "ids_crc32"])
+                rows.append((row["row"], row["doc_id"], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), merkle(told)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "n_tokens", "ids_crc32", "root"])
 
     return read
 
@@ -206,59 +212,83 @@ def _each_digest(df: DataFrame, *others: str) -> DataFrame:
 
 
 def running_start(sizes: DataFrame, order: list[str], size: str, work: Workspace) -> DataFrame:
-    """Adds start, the sum of ``size`` over all rows before in ascending ``order``, with the part and place of each row.
-    Ranges are summed apart; only a number for each range is brought together."""
+    """Adds start, the sum of ``size`` over all rows before in ascending ``order``, and place, their number.
+    Ranges are summed apart; only two numbers for each range are brought together."""
     dealt = work.stage(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dealt")
-    sums = {r["part"]: r["s"] for r in dealt.groupBy("part").agg(F.sum(size).alias("s")).collect()}  # one a partition
-    before, offsets = 0, []
+    sums = {r["part"]: (r["s"], r["n"]) for r in dealt.groupBy("part").agg(F.sum(size).alias("s"), F.count("*").alias("n")).collect()}  # one a partition
+    before, rows, offsets = 0, 0, []
     for part in sorted(sums):
-        offsets.append((part, before))
-        before += sums[part]
-    offsets = work.spark.createDataFrame(offsets, "part int, before long")
+        offsets.append((part, before, rows))
+        before, rows = before + sums[part][0], rows + sums[part][1]
+    offsets = work.spark.createDataFrame(offsets, "part int, before long, rows long")
     window = Window.partitionBy("part").orderBy(*order)
     inside = F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    placed = dealt.withColumn("inside", inside).withColumn("place", F.row_number().over(window) - 1)
-    return placed.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
-
-
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """A digest for every block of up to 1,024 recipes in order."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("root").alias("root")))), lambda x: x["root"]), "")
-    return recipes.groupBy("part", F.floor(F.col("place") / 1024).alias("block")).agg(F.sha2(whole, 256).alias("digest"))
-
-
-def write_store(documents: DataFrame, work: Workspace, tokenizer: str, end_id: int = 1, bits: int = 10, least: int = 64, most: int = 8192) -> str:
+    placed = dealt.withColumn("inside", inside).withColumn("nth", F.row_number().over(window) - 1)
+    placed = placed.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("inside")).withColumn("place", F.col("rows") + F.col("nth"))
+    return placed.drop("before", "rows", "inside", "nth", "part")
+
+
+def _manifest(recipes: DataFrame, n: int, fan: int = 1024) -> DataFrame:
+    """(level, node, digest) of the Merkle tree over ``n`` recipes in order; its last level has one node."""
+    said = F.concat_ws(":", F.col("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("start"), F.col("n_tokens"), F.hex("root"))
+    below, level, levels = recipes.select("place", said.alias("leaf")), 0, []
+    while level == 0 or n > 1:
+        level, n = level + 1, -(-n // fan)
+        leaves = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), ",")
+        nodes = below.groupBy(F.floor(F.col("place") / fan).alias("node")).agg(F.sha2(leaves, 256).alias("digest"))
+        levels.append(nodes.select(F.lit(level).alias("level"), "node", "digest"))
+        below = nodes.select(F.col("node").alias("place"), F.col("digest").alias("leaf"))
+    whole = levels[0]
+    for nodes in levels[1:]:
+        whole = whole.unionByName(nodes)
+    return whole
+
+
+def corpus_root(work: Workspace, folder: str) -> str | None:
+    """The digest that all files of a store follow from; None for an empty store."""
+    top = work.spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("level")).select("digest").first()
+    return top["digest"] if top else None
+
+
+def write_store(documents: DataFrame, work: Workspace, tokenizer: str, end_id: int = 1, bits: int = 10, least: int = 64, most: int = 8192, few: int = 2_000_000) -> str:
     """Writes the store of ``documents(doc_id, text)`` and returns its folder.
 
     Null or empty text: the end id alone. Repeated rows and rows that share a doc_id are stored each (their chunks once),
     in an arbitrary order among themselves; a null doc_id comes first. Other columns are ignored; an empty table makes an
-    empty store.
+    empty store. Which chunks are borrowed is broadcast to the documents up to ``few`` of them, else joined by a shuffle.
     """
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = work.stage(docs.mapInArrow(_encode(tokenizer, end_id, bits, least, most), STORED), "encoded", "none")
     keys = _each_digest(encoded.select("row", "doc_id", "m", "digests"), "doc_id")
     shared = keys.groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "row", "i")).alias("owner")).where("c > 1")
     refs = keys.join(shared.select("digest", "owner"), "digest").select("row", "i", ((F.col("row") == F.col("owner.row")) & (F.col("i") == F.col("owner.i"))).alias("own"))
+    refs = work.stage(refs, "refs")
     flags = refs.groupBy("row").agg(F.collect_list(F.when(~F.col("own"), F.col("i"))).alias("borrowed"), F.collect_list(F.when(F.col("own"), F.col("i"))).alias("lent"))
     some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
-    flagged = encoded.join(flags.select("row", some("borrowed"), some("lent")), "row", "left")
-    flagged.mapInArrow(_strip, flagged.schema).write.option("compression", "none").parquet(f"{work.root}/store")
+    flags = flags.select("row", some("borrowed"), some("lent"))
+    flagged = encoded.join(F.broadcast(flags) if refs.count() <= few else flags.hint("merge"), "row", "left")
+    # stripped before the shuffle that brings the rows in order, so a chunk moves once
+    flagged.mapInArrow(_strip, flagged.schema).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").write.option("compression", "none").parquet(f"{work.root}/store")
     recipes = running_start(encoded.select("doc_id", "row", "n_tokens", "m", "root"), ["doc_id", "row"], "n_tokens", work)
-    recipes.sortWithinPartitions("doc_id", "row").write.option("compression", "zstd").parquet(f"{work.root}/recipes")
-    _manifest(work.spark.read.parquet(f"{work.root}/recipes")).write.parquet(f"{work.root}/manifest")
+    recipes.repartitionByRange("place").sortWithinPartitions("place").write.option("compression", "zstd").parquet(f"{work.root}/recipes")
+    recipes = work.spark.read.parquet(f"{work.root}/recipes")
+    _manifest(recipes, recipes.count()).coalesce(1).write.parquet(f"{work.root}/manifest")
     work.drop(encoded)
     return work.root
 
 
-def read_store(work: Workspace, folder: str, wide: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, rebuilt from the files and verified."""
+def read_store(work: Workspace, folder: str, wide: bool = False, root: str | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, rebuilt from the files and verified; with ``root``, also
+    against that corpus root. What does not agree is an error (ValueError; inside a task it fails the job)."""
     spark = work.spark
     store, recipes = spark.read.parquet(f"{folder}/store"), spark.read.parquet(f"{folder}/recipes")
-    told = _manifest(recipes).withColumnRenamed("digest", "now").join(spark.read.parquet(f"{folder}/manifest"), ["part", "block"], "full")
+    told = _manifest(recipes, recipes.count()).withColumnRenamed("digest", "now").join(spark.read.parquet(f"{folder}/manifest"), ["level", "node"], "full")
     if not told.where(~F.col("now").eqNullSafe(F.col("digest"))).isEmpty():
         raise ValueError("recipes differ from their manifest")
+    if root is not None and corpus_root(work, folder) != root:
+        raise ValueError("the store is not that of this corpus root")
     held = ["row", "doc_id", "m", "root", "digests", "lengths", "borrowed", "lent", "payload"]
-    result = "row long, n_tokens long, ids_crc32 long"
+    result = "row long, doc_id long, n_tokens long, ids_crc32 long, root binary"
     complete = store.where("borrowed is null").select(*held).mapInArrow(_rebuild(wide), result)
     chunk = "row long, i int, digest binary, payload binary"
     lent = store.where("lent is not null").select(*held).mapInArrow(_chunks("lent"), chunk).select("digest", "payload")
@@ -267,9 +297,14 @@ def read_store(work: Workspace, folder: str, wide: bool = False) -> DataFrame:
     fetched = asked.join(lent, "digest").select("row", "i", "payload")
     own = partial.select(*held).mapInArrow(_chunks("own"), chunk).select("row", "i", "payload")
     pieces = own.unionByName(fetched).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "payload"))).alias("pieces"))
-    rebuilt = partial.select("row", "doc_id", "root", "digests").join(pieces, "row", "left").select("row", "doc_id", "root", "digests", F.coalesce("pieces", F.array().cast("array<struct<i:int,payload:binary>>")).alias("pieces"))
-    counted = complete.unionByName(rebuilt.mapInArrow(_rebuild(wide), result))
-    return recipes.select("row", "doc_id", "start").join(counted, "row", "left").select("doc_id", "start", "n_tokens", "ids_crc32")
+    rebuilt = partial.select("row", "doc_id", "digests").join(pieces, "row", "left").select("row", "doc_id", "digests", F.coalesce("pieces", F.array().cast("array<struct<i:int,payload:binary>>")).alias("pieces"))
+    counted = complete.unionByName(rebuilt.mapInArrow(_rebuild(wide), result)).toDF("row", "held_id", "held_tokens", "ids_crc32", "held_root")
+    same = F.col("doc_id").eqNullSafe(F.col("held_id")) & F.col("n_tokens").eqNullSafe(F.col("held_tokens")) & F.col("root").eqNullSafe(F.col("held_root"))
+    out = work.stage(recipes.join(counted, "row", "full").select("doc_id", "start", "n_tokens", "ids_crc32", (same & F.col("place").isNotNull()).alias("same")), "read")
+    wrong = out.where(~F.coalesce("same", F.lit(False))).select("doc_id").first()
+    if wrong:
+        raise ValueError(f"the ids of document {wrong['doc_id']} are not those of its recipe")
+    return out.drop("same")
 
 
 def wide_ids(tokenizer: str) -> bool:

@@ -100,6 +100,21 @@ def test_contexts_of_seeds_discover_identifiers(spark, work):
     assert pii.extract(documents(spark, texts).limit(0), work).count() == 0
 
 
+def test_hostile_texts_cost_no_more_than_their_length(spark, work):
+    texts = ["x@y" + ".zz" * 100_000, " ".join(f"u{i}@m.example.com" for i in range(20_000)), " ".join(map(str, range(50_000))), "a" * 10**6 + " 12345", "1.2." * 100_000, "+1" + " " * 200_000 + "2"]
+    rows = {r["doc_id"]: (r["b"], r["n"]) for r in pii.extract(documents(spark, texts), work).select("doc_id", F.try_element_at("base", F.lit(-1)).alias("b"), F.size("base").alias("n")).collect()}
+    assert rows[0][1] == 1 and rows[0][0]["end"] == len(texts[0]) and rows[1][1] == 20_000 and rows[1][0]["end"] == len(texts[1])
+    assert rows[2][1] == rows[3][1] == rows[5][1] == 0 and rows[4][1] == 100_000 // 2
+
+
+def test_discovered_identifiers_induce_patterns(spark, work):
+    ids = [f"AB{i}-99X{i}" for i in range(8)]
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f"the secret token: {key(i)} end" for i in range(40)] + [f"the secret token: {x} end" for x in ids] + [f"badge number: {x} seen" for x in ids] + ["badge number: QQ77-1 seen", "an other 12-abcdef word"]
+    rows = [r["s"] for r in pii.extract(documents(spark, texts), work, confidence=0.5).select("doc_id", pii.listed(F.col("spans")).alias("s")).orderBy("doc_id").collect()]
+    assert all(s.startswith("id:18:") for s in rows[40:48]) and all(s.startswith("id:14:") for s in rows[48:57]) and rows[57] == ""
+
+
 # --- 3
 
 
@@ -215,12 +230,11 @@ def test_store_returns_every_id(spark, work):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = np.random.default_rng(4)
     long = " ".join(words(rng, 6000))
-    texts = ["Hello, World! it's naïve—ÉCOLE", None, "", " \n\t ", long, long, long + " tail", "<|endoftext|> x", "日本語 ΣΑΣ İ ﬁ á", "a" * 3000, "Don't stop... 12,5%"]
+    texts = ["Hello, World! it's naïve—ÉCOLE", None, "", " \n\t ", long, long, long + " tail", "<|endoftext|> x", "a <|endoftext|><|startoftext|>b", "日本語 ΣΑΣ İ ﬁ á", "a" * 3000, "Don't stop... 12,5%"]
     docs = documents(spark, texts)
     folder = tokens.write_store(docs, work, path)
     rows = {r["doc_id"]: r for r in tokens.read_store(work, folder).collect()}
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     at = 0
     for i, t in enumerate(texts):
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -228,10 +242,42 @@ def test_store_returns_every_id(spark, work):
         at += len(ids)
     store = spark.read.parquet(f"{folder}/store")
     assert store.where("borrowed is not null").count() >= 2
+    ids_in_order = [r["doc_id"] for r in store.select("doc_id").collect()]
+    assert ids_in_order == sorted(ids_in_order)
+    root = tokens.corpus_root(work, folder)
+    assert tokens.read_store(work, folder, root=root).count() == len(texts)
+    with pytest.raises(ValueError, match="corpus root"):
+        tokens.read_store(work, folder, root="0" * 64)
     empty = Workspace(spark, "empty")
     assert tokens.read_store(empty, tokens.write_store(docs.limit(0), empty, path)).count() == 0
 
 
+@pytest.mark.parametrize("change", ["swap", "drop", "chunk", "recipe", "manifest", "order"])
+def test_altered_stores_are_refused(spark, work, change):
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(10)
+    shared = " ".join(words(rng, 3000))
+    made = [tokens.write_store(documents(spark, [f"{shared} {x}", *(f"{x} {i}" * 5 for i in range(4)), shared]), Workspace(spark, x), path) for x in ("one", "two")]
+    folder = work.path("altered")
+    for name in ("store", "recipes", "manifest"):
+        df = spark.read.parquet(f"{made[change == 'swap' and name == 'store']}/{name}")
+        if change == "drop" and name == "store":
+            df = df.where("doc_id <> 2")
+        if change == "chunk" and name == "store":
+            df = df.withColumn("digests", F.when(F.col("doc_id") == 1, F.reverse(F.col("digests").cast("string")).cast("binary")).otherwise(F.col("digests")))
+        if change == "recipe" and name == "recipes":
+            df = df.withColumn("start", F.col("start") + (F.col("doc_id") == 3).cast("long"))
+        if change == "manifest" and name == "manifest":
+            df = df.where("level > 1")
+        if change == "order" and name == "recipes":
+            df = df.withColumn("row", F.when(F.col("doc_id") == 1, F.lit(10**9)).otherwise(F.col("row")))
+        df.write.parquet(f"{folder}/{name}")
+    with pytest.raises(Exception, match="recipe|rebuilt"):
+        tokens.read_store(work, folder).count()
+    assert tokens.read_store(work, made[0]).count() == 6
+
+
 # --- 8
 
 
@@ -308,6 +354,29 @@ def test_pairs_with_heads_of_different_length_are_linked(spark, work, k, num, si
     assert {r["doc_id"]: r["component_id"] for r in rows} == want and len(set(want.values())) < len(texts)
 
 
+def test_words_that_collide_under_polynomials_stay_apart(spark, work):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(documents(spark, [one, other, one.upper()]), work).collect()}
+    assert rows == {0: 0, 1: 1, 2: 0}
+
+
+def test_links_of_colliding_hashes_are_found_out(spark, work, monkeypatch):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f "]
+    docs = documents(spark, texts)
+    links = spark.createDataFrame([(1, 0), (2, 0)], "a long, b long")
+    assert [tuple(r) for r in jaccard.false_links(links, docs, work, 3, 90, 100, 1, 10).collect()] == [(1, 0)]
+    seen, true = [], jaccard.false_links
+    monkeypatch.setattr(jaccard, "false_links", lambda *a: seen.append(1) or true(*a) if seen else seen.append(1) or links)
+    near = documents(spark, [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))])
+    assert {r["component_id"] for r in jaccard.join_components(near, work).collect()} == {0} and len(seen) == 2
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark, work):
+    df = spark.createDataFrame([(5, "b b b"), (5, "a a a"), (5, "a a a"), (None, "a a a"), (7, "A a a"), (8, "b b b")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.join_components(df, work).collect()) == [(5, 5), (7, 5), (8, 8)]
+
+
 def test_prefix_tree_links_a_group_of_copies_with_few_comparisons():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
