@@ -1,9 +1,12 @@
 """Order MinHash fingerprints of documents (DataFrame functions only).
 
-A text's symbols are its runs of up to twelve non-space characters; its k-mers are three symbols, numbered by their
-occurrence in the text. One hash of (k-mer, occurrence) deals them into buckets by its first bits; each bucket keeps its
-smallest hashes, puts them in the order of the text and hashes that tuple. Two texts agree in a bucket if its smallest
-k-mers are the same and stand in the same order, so moved passages count as changes, as in edit distance.
+A text's symbols are its runs of up to twelve non-space characters; a longer run, and one of a script without spaces,
+gives its characters, so that an inserted one changes what stands around it and no more. White space only parts symbols.
+The k-mers are three symbols, numbered by their occurrence in the text. One hash of (k-mer, occurrence) deals them into
+buckets by its first bits, one permutation cut into parts in place of one a part, as every k-mer is then hashed once;
+each bucket keeps its smallest hashes, puts them in the order of the text and hashes that tuple. Two texts agree in a
+bucket if its smallest k-mers are the same and stand in the same order, so moved passages count as changes, as in edit
+distance. A text of few k-mers leaves buckets empty; likeness is the share among the buckets in use.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 
-SYMBOL = r"\S{1,12}"
-#: Bits of a packed number that hold a position in the text; the rest holds a hash.
-AT = 24
+#: Characters of scripts that put no spaces between words.
+ALONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SYMBOL = rf"[^\s{ALONE}]{{1,12}}+(?![^\s{ALONE}])|\S"
+#: Bits of a packed number that hold a position in the text; the rest holds a hash. The longest text that Spark holds has
+#: fewer than 2 ** 31 bytes, so no more symbols.
+AT = 31
 LOW = (1 << AT) - 1
 
 
