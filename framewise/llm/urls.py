@@ -10,8 +10,8 @@ from .components import connected_components
 
 #: The rules of the registered query, (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Query parameters that only track a visit.
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
+#: Addresses of more path segments are taken as they are written.
+SEGMENTS = 1000
 
 
 def rest_of(url: Column) -> Column:
@@ -27,42 +27,69 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    names = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    left = F.aggregate(
+        F.filter(F.slice(names, 2, F.size(names)), lambda x: x != "."),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x != "..", F.array_append(done, x)).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))),
+    )
+    dotted = F.rlike(path, F.lit(r"/\.{1,2}(?:/|$)"))
+    return F.when(dotted & (F.size(parts) <= SEGMENTS), F.concat(F.lit("/"), F.array_join(left, "/"))).otherwise(path)
+
+
 def canonical_key(url: Column) -> Column:
-    """One name for the spellings of an address: no scheme, no www. or m., no fragment, no tracking parameters, no
-    trailing slash or .html."""
-    rest = F.regexp_replace(rest_of(url), r"#[\s\S]*$", "")
-    query = F.regexp_replace(F.regexp_extract(rest, r"\?([\s\S]*)$", 1), f"(?:^|&){TRACKING}", "")
-    query = F.regexp_replace(query, r"^&", "")
-    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(?:\.html?|/)$", "")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-
-
-def resolved(href: Column, url: Column) -> Column:
-    """Absolute address of a link on a page."""
-    scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    base = F.concat(scheme, F.lit("://"), F.regexp_extract(rest_of(url), r"^[^/?#]*", 0))
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    """One name for the spellings of an address that are the same by the rules of addresses alone: scheme and host in
+    lower case, no fragment, no default port, no dot segments, ``/`` for an empty path. What else names the same page,
+    a link or a redirect has to say."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.when(scheme == "http", F.regexp_replace(host_of(url), ":80$", "")).when(scheme == "https", F.regexp_replace(host_of(url), ":443$", "")).otherwise(host_of(url))
+    path = path_of(url)
+    query = F.regexp_extract(rest_of(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(plain_path(path)), query)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """Absolute address of a link, seen from the address ``base``."""
+    href = F.trim(href)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest_of(base), r"^[^/?#]*", 0))
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
     return (
-        F.when(F.instr(href, "://") > 0, href)
+        F.when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(base, href))
-        .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(site, href))
+        .when((href == "") | F.startswith(href, F.lit("#")), base)
+        .when(F.startswith(href, F.lit("?")), F.concat(site, path_of(base), href))
+        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), href))
     )
 
 
-def links_in(html: Column) -> Column:
-    """Targets of canonical links and of meta refresh redirects in a page."""
-    lower = F.coalesce(html, F.lit(""))
-    tags = F.regexp_extract_all(lower, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)rel\s*=\s*[\"']?canonical\b")))
-    refresh = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")))
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not; empty without it."""
+    at = rf"(?i)[\s\"'/]{name}\s*=\s*"
+    value = F.coalesce(F.nullif(F.regexp_extract(tag, at + r'"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(tag, at + r"'([^']*)'", 1), F.lit("")), F.regexp_extract(tag, at + r"([^\s\"'>]+)", 1))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "&quot;", '"'), "&#0*39;|&apos;", "'"), "&amp;|&#0*38;|&#[xX]0*26;", "&")
+
+
+def links_in(html: Column, url: Column) -> Column:
+    """Absolute targets of the canonical links and meta refresh redirects in a page, seen from its ``base`` if it has
+    one."""
+    page = F.coalesce(html, F.lit(""))
+    tags = F.regexp_extract_all(page, F.lit(r"(?i)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    canonical = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)^<link")) & F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)^<meta")) & (F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh"))
+    bases = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)^<base")) & (_attribute(t, "href") != ""))
+    base = F.when(F.size(bases) > 0, resolved(_attribute(F.get(bases, 0), "href"), url)).otherwise(url)
     found = F.concat(
-        F.transform(canonical, lambda t: F.regexp_extract(t, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(canonical, lambda t: _attribute(t, "href")),
+        F.transform(refresh, lambda t: F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?i)url\s*=\s*(.*)$", 1), "^[\"']|[\"']$", "")),
     )
-    marked = F.rlike(lower, F.lit(r"(?i)canonical|http-equiv"))
-    return F.when(marked, F.filter(found, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    marked = F.rlike(page, F.lit(r"(?i)canonical|http-equiv"))
+    return F.when(marked, F.transform(F.filter(found, lambda x: F.trim(x) != ""), lambda x: resolved(x, base))).otherwise(F.array().cast("array<string>"))
 
 
 def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
@@ -78,35 +105,41 @@ def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.join(best.select("host", "path", "best.rule", "best.decision"), ["host", "path"], "left")
 
 
+def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """(row, url) of every address that a row of ``pages(row, url, links)`` has or links to, and of both addresses of
+    each row of ``redirects(row, source, target)``."""
+    named = pages.select("row", "url").unionByName(pages.select("row", F.explode("links").alias("url")))
+    if redirects is not None:
+        named = named.unionByName(redirects.where("source is not null and target is not null").select("row", F.explode(F.array("source", "target")).alias("url")))
+    return named.where(host_of(F.col("url")) != "")
+
+
 def judge(pages: DataFrame, rules: DataFrame, work: Workspace, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, component, spread) of ``pages(page_id, url, html)``.
 
-    Pages that share an address key, or link to it by a canonical link, a meta refresh or a row of
-    ``redirects(source, target)``, are one component. A page that a rule fits has that rule's verdict. Any other page is
-    blocked if a page or target of its component is blocked by a rule and none is explicitly allowed; else allowed.
-    ``spread`` tells that the verdict came from the component.
+    Pages with the same address, and pages and addresses that a canonical link, a meta refresh or a row of
+    ``redirects(source, target)`` connects, are one component. A page that a rule fits has that rule's verdict. Any other
+    page is blocked if a page or target of its component is blocked by a rule and none is explicitly allowed; else
+    allowed. ``spread`` tells that the verdict came from the component, ``component`` is a number of its own.
 
-    A null url or one without ``://``: host and path are empty, no rule and no alias. Null html: no links. Rows repeat
-    as they come; a null page_id is judged by its rule alone. Other columns are ignored.
+    A null url or one without ``://``: host and path are empty, no rule, no alias and no component. Null html: no links.
+    Rows repeat as they come; a null page_id is a page like another. Other columns are ignored; an empty table gives no
+    rows.
     """
-    own = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), links_in(F.col("html")).alias("links"))
-    own = work.stage(own.withColumn("links", F.transform("links", lambda x: resolved(x, F.col("url")))), "pages")
-    named = own.where("host <> '' and page_id is not null")
-    keys = named.select("page_id", canonical_key(F.col("url")).alias("key"), F.col("host"), F.col("path"))
-    targets = named.select("page_id", F.explode("links").alias("to"))
-    targets = targets.select("page_id", canonical_key(F.col("to")).alias("key"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path"))
-    if redirects is not None:  # a redirect is a node of its own that has both addresses; numbers below all page_ids
-        below = min(pages.agg(F.min("page_id")).first()[0] or 0, 0) - 1
-        hops = redirects.where("source is not null and target is not null").select((below - F.monotonically_increasing_id()).alias("page_id"), F.array("source", "target").alias("ends"))
-        hops = work.stage(hops, "redirects").select("page_id", F.explode("ends").alias("to"))
-        targets = targets.unionByName(hops.select("page_id", canonical_key(F.col("to")).alias("key"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")))
-    named = work.stage(with_rule(keys.unionByName(targets).distinct(), rules).select("page_id", "key", "decision"), "keys")
-    least = named.groupBy("key").agg(F.min("page_id").alias("b"))
-    edges = named.select("page_id", "key").join(least, "key").select(F.col("page_id").alias("a"), "b")
-    parts = work.stage(connected_components(edges, work), "components")
-    told = named.where("decision is not null").join(parts.withColumnRenamed("node", "page_id"), "page_id")
+    own = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), links_in(F.col("html"), F.col("url")).alias("links"))
+    own = work.stage(own, "pages")
+    if redirects is not None:
+        # a redirect is a node of its own, numbered below all pages
+        redirects = work.stage(redirects.select((-1 - F.monotonically_increasing_id()).alias("row"), "source", "target"), "redirects")
+    named = alias_edges(own, redirects).select("row", canonical_key(F.col("url")).alias("key"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    named = work.stage(with_rule(named.distinct(), rules).select("row", "key", "decision"), "keys")
+    # rows with the same address are linked to the first of them
+    least = named.groupBy("key").agg(F.min("row").alias("b"))
+    edges = named.select("row", "key").join(least, "key").select(F.col("row").alias("a"), "b")
+    parts = work.stage(connected_components(edges, work).withColumnRenamed("node", "row"), "components")
+    told = named.where("decision is not null").join(parts, "row")
     flags = told.groupBy("component").agg(F.bool_or(F.col("decision") == "allow").alias("allowed"), F.bool_or(F.col("decision") == "block").alias("blocked"))
-    out = with_rule(own.drop("links", "url"), rules)
-    out = out.join(parts.withColumnRenamed("node", "page_id"), "page_id", "left").join(flags, "component", "left")
+    out = with_rule(own.select("row", "page_id", "host", "path"), rules)
+    out = out.join(parts, "row", "left").join(flags, "component", "left")
     spread = F.when(F.col("blocked") & ~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("decision", spread).alias("verdict"), "component", (F.col("decision").isNull() & F.coalesce(F.col("blocked") & ~F.col("allowed"), F.lit(False))).alias("spread"))
