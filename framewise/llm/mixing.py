@@ -3,11 +3,13 @@
 A classifier trained on the labelled table gives every document a posterior over domains. Nonnegative document rates are
 then fitted so that each domain's expected tokens, the sum of rate * tokens * posterior, meet their target: least squares
 by projected gradient. Only one number a domain goes to the driver in each step; a document's rate follows from the
-residuals of the steps so far, so nothing of the corpus is kept between steps but its staged posteriors.
+residuals of the steps so far, so nothing of the corpus is kept between steps but its staged posteriors and, now and
+then, rates. A rate above one stands for copies.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Workspace, with_column_from_text
+from .common import Workspace, free_name, with_column_from_text
 
 BITS = 16
 
@@ -107,30 +109,44 @@ def _posteriors(model: Classifier) -> Callable:
     return read
 
 
-def rates_of(soft: np.ndarray, residuals: np.ndarray, step: float, start: float, scale: np.ndarray) -> np.ndarray:
-    """Rates after the steps whose residuals are given: each step goes along the posteriors and is cut at zero."""
-    r = np.full(len(soft), start)
-    for residual in residuals:
-        r = np.maximum(0.0, r - step * (soft @ (residual / scale)))
-    return r
+@dataclass(frozen=True)
+class Steps:
+    """What a document's rate follows from: the steps' residuals over what each domain has, and the bounds of a rate."""
+
+    scaled: np.ndarray  # (steps, domains)
+    start: float
+    most: float | None
+
+    def rates(self, soft: np.ndarray, rates: np.ndarray | None = None) -> np.ndarray:
+        """Rates after these steps, from ``start`` or given rates: each goes along the posteriors and is cut at the
+        bounds."""
+        r = np.full(len(soft), self.start) if rates is None else rates
+        for residual in self.scaled:
+            r = np.clip(r - soft @ residual, 0.0, self.most)
+        return r
+
 
+def _soft(batch: pd.DataFrame, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["posteriors"]), "<f4").reshape(len(batch), k).astype(float)
 
-def _totals(residuals: np.ndarray, step: float, start: float, scale: np.ndarray) -> Callable:
+
+def _totals(steps: Steps, k: int, started: bool) -> Callable:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                soft = np.frombuffer(b"".join(batch["posteriors"]), "<f4").reshape(len(batch), -1).astype(float)
-                mass = (rates_of(soft, residuals, step, start, scale) * batch["tokens"].to_numpy()) @ soft
-                yield pd.DataFrame([mass], columns=[f"m{i}" for i in range(len(mass))])
+                soft = _soft(batch, k)
+                r = steps.rates(soft, batch["rate"].to_numpy() if started else None)
+                yield pd.DataFrame([(r * batch["tokens"].to_numpy()) @ soft], columns=[f"m{i}" for i in range(k)])
 
     return read
 
 
-def _rates(residuals: np.ndarray, step: float, start: float, scale: np.ndarray) -> Callable:
+def _rates(steps: Steps, k: int, started: bool, listed: bool) -> Callable:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            soft = np.frombuffer(b"".join(batch["posteriors"]), "<f4").reshape(len(batch), -1).astype(float) if len(batch) else np.zeros((0, len(scale)))
-            yield batch[["doc_id", "tokens"]].assign(rate=rates_of(soft, residuals, step, start, scale), posteriors=list(soft))
+            soft = _soft(batch, k)
+            r = steps.rates(soft, batch["rate"].to_numpy() if started else None)
+            yield batch[["doc_id", "tokens"]].assign(rate=r, posteriors=list(soft) if listed else batch["posteriors"])
 
     return read
 
@@ -143,17 +159,28 @@ class Mix:
     targets: np.ndarray
     reached: np.ndarray
     model: Classifier
-    history: np.ndarray
-    budget: float
+    steps: Steps
+    tolerance: float
+
+    @property
+    def unmet(self) -> dict[str, float]:
+        """Domains whose expected tokens miss their target by more than the tolerance, and by what share of it (of all
+        targets where it is zero)."""
+        base = np.where(self.targets > 0, self.targets, max(self.targets.sum(), 1e-9))
+        off = (self.reached - self.targets) / base
+        return {d: float(x) for d, x in zip(self.domains, off, strict=True) if abs(x) > self.tolerance}
 
 
-def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights: dict[str, float] | None = None, domain: str = "concat('quality=', quality, ' toxic=', toxic)", budget: float = 0.5, steps: int = 40, tolerance: float = 1e-3) -> Mix:
+def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights: dict[str, float] | None = None, domain: str = "concat('quality=', quality, ' toxic=', toxic)", budget: float = 0.5, steps: int = 200, tolerance: float = 1e-3, most: float | None = None, every: int = 10) -> Mix:
     """Rates for every row of ``documents(doc_id, text)``: (doc_id, tokens, rate, posteriors).
 
     ``weights`` are the target shares of the domains (missing ones get none; without it, the square roots of what is
-    there), ``budget`` the share of all tokens to be used. Tokens are words. Each step subtracts, from every rate, the
-    posteriors' product with the residuals scaled by what the domains have, times a step length that can't overshoot;
-    the fit ends when every residual is below ``tolerance`` of the budget, or after ``steps``.
+    there), ``budget`` the share of all tokens to be used, ``most`` the largest rate if there is one. Tokens are words.
+    Each step subtracts, from every rate, the posteriors' product with the residuals scaled by what the domains have,
+    which can't overshoot; the fit ends when every domain is within ``tolerance`` of its target, when a step changes
+    no domain by a hundredth of that, or after ``steps``. What is then still missed, as no rates can give it or as
+    ``most`` stands against it, is in ``Mix.unmet`` by domain and logged as a warning. Rates are written after ``every``
+    steps, so a step costs the same however many came before.
 
     Null or empty text has no tokens: its rate says what a document like it would get. A null doc_id, repeated rows and
     other columns are rows like others or ignored; an empty table gives no rows.
@@ -162,37 +189,50 @@ def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights:
     k = len(model.domains)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     soft = work.stage(docs.mapInPandas(_posteriors(model), "doc_id long, tokens long, posteriors binary"), "posteriors")
+    none = Steps(np.zeros((0, k)), budget, most)
 
-    def total(residuals: np.ndarray, start: float, scale: np.ndarray, step: float) -> np.ndarray:
-        partial = soft.mapInPandas(_totals(residuals, step, start, scale), ", ".join(f"m{i} double" for i in range(k)))
+    def total(rows: DataFrame, steps: Steps, started: bool) -> np.ndarray:
+        partial = rows.mapInPandas(_totals(steps, k, started), ", ".join(f"m{i} double" for i in range(k)))
         return np.array([x or 0.0 for x in partial.agg(*[F.sum(f"m{i}") for i in range(k)]).first()])
 
-    none = np.zeros((0, k))
-    available = total(none, 1.0, np.ones(k), 0.0)
+    available = total(soft, Steps(none.scaled, 1.0, None), False)
     share = np.array([weights.get(d, 0.0) for d in model.domains]) if weights else np.sqrt(available)
     targets = budget * available.sum() * share / share.sum() if share.sum() else np.zeros(k)
     # rates move along D = diag(1 / available): the curvature along posteriors is then at most 1
-    scale, step, residuals = np.maximum(available, 1.0), 1.0, []
-    reached = budget * available
+    scale, base = np.maximum(available, 1.0), np.where(targets > 0, targets, max(targets.sum(), 1e-9))
+    now, started, done, since = soft, False, [], []
+    reached = budget * available if most is None or budget <= most else total(soft, Steps(np.zeros((1, k)), budget, most), False)
     for _ in range(steps):
-        residual = reached - targets
-        if np.abs(residual).max(initial=0.0) <= tolerance * max(targets.sum(), 1e-9):
+        if np.abs((reached - targets) / base).max(initial=0.0) <= tolerance:
+            break
+        since.append((reached - targets) / scale)
+        if len(since) == every:
+            held = now.mapInPandas(_rates(Steps(np.array(since), budget, most), k, started, False), "doc_id long, tokens long, rate double, posteriors binary")
+            now, started, done, since = work.stage(held, "rates"), True, done + since, []
+        before, reached = reached, total(now, Steps(np.array(since).reshape(-1, k), budget, most), started)
+        if np.abs((reached - before) / base).max(initial=0.0) <= tolerance / 100:
             break
-        residuals.append(residual)
-        reached = total(np.array(residuals), budget, scale, step)
-    history = np.array(residuals).reshape(-1, k)
-    rates = soft.mapInPandas(_rates(history, step, budget, scale), "doc_id long, tokens long, rate double, posteriors array<double>")
-    return Mix(rates, model.domains, available, targets, reached, model, history, budget)
+    rates = now.mapInPandas(_rates(Steps(np.array(since).reshape(-1, k), budget, most), k, started, True), "doc_id long, tokens long, rate double, posteriors array<double>")
+    mix = Mix(rates, model.domains, available, targets, reached, model, Steps(np.array(done + since).reshape(-1, k), budget, most), tolerance)
+    if mix.unmet:
+        logging.getLogger(__name__).warning("targets missed, as shares: %s", mix.unmet)
+    return mix
 
 
 def kept(documents: DataFrame, mix: Mix) -> DataFrame:
-    """The documents that their rates draw, with all their columns: one whose hash, as a number from 0 to 1, lies below
-    its rate. The rate follows from the text again, so texts are not shuffled to their rates; a null doc_id is drawn by
-    the hash of null."""
-    model, history, start, scale = mix.model, mix.history, mix.budget, np.maximum(mix.available, 1.0)
+    """The documents that their rates draw, with all their columns: the whole part of a rate as so many copies, and one
+    more where a hash of the doc_id, as a number from 0 to 1, lies below what is left of it. The rate follows from the
+    text again, so texts are not shuffled to their rates; a null doc_id is drawn by the hash of null."""
+    model, steps = mix.model, mix.steps
 
     def rates(texts: list[str | None]) -> np.ndarray:
-        return rates_of(posteriors_of(model, texts)[0].astype("<f4").astype(float), history, 1.0, start, scale)
+        return steps.rates(posteriors_of(model, texts)[0].astype("<f4").astype(float))
 
+    name = free_name(documents, "_rate")
+    rate = F.col(name)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
-    return with_column_from_text(documents, "_rate", pa.float64(), rates).where(draw < F.col("_rate")).drop("_rate")
+    copies = F.floor(rate).cast("int") + (draw < rate - F.floor(rate)).cast("int")
+    drawn = with_column_from_text(documents, name, pa.float64(), rates).withColumn(name, copies).where(rate > 0)
+    if steps.most is None or steps.most > 1:
+        drawn = drawn.withColumn(name, F.explode(F.sequence(F.lit(1), rate)))
+    return drawn.drop(name)

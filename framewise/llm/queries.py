@@ -54,7 +54,7 @@ def token_store(documents: DataFrame, work: Workspace) -> DataFrame:
 
 def op10_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.fit_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op10"))
-    return mix.rates
+    return mix.rates.withColumn("unmet", F.to_json(F.create_map(*[F.lit(x) for d, v in sorted(mix.unmet.items()) for x in (d, v)])) if mix.unmet else F.lit("{}"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
