@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that setting is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that setting is unset, a local master (tests) gets a temporary one; on a
+    cluster that is an error, as executors could not read what others write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = getattr(spark.sparkContext, "_framewise_shared", None)
         if not found:
@@ -69,17 +72,46 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def without(documents: DataFrame, ids: DataFrame, work: Workspace, few: int = 2_000_000) -> DataFrame:
-    """The documents whose doc_id is not in ``ids(doc_id)``; up to ``few`` ids are broadcast, more are joined by a
-    shuffle. Documents without a doc_id stay."""
-    ids = work.stage(ids.select("doc_id").where("doc_id is not null").distinct(), "gone")
-    return documents.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), "doc_id", "left_anti").select(documents.columns)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with more underscores in front, as no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_key(documents: DataFrame, work: Workspace, name: str, few: int = 2_000_000) -> DataFrame:
+    """Adds ``name``, a long that is the doc_id where one row alone has it. Rows without a doc_id and rows that share one
+    get a negative number from doc_id and text instead, so only rows with equal ones share it. Which doc_ids are shared is
+    broadcast up to ``few`` of them, else joined by a shuffle."""
+    mark = free_name(documents, "_shared")
+    shared = work.stage(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark)), "shared")
+    own = -F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 61)) - (1 << 61)
+    if shared.isEmpty():
+        return documents.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), own))
+    shared = F.broadcast(shared) if shared.count() <= few else shared.hint("merge")
+    marked = documents.join(shared, F.col("doc_id") == F.col(mark), "left")
+    return marked.withColumn(name, F.when(F.col("doc_id").isNull() | F.col(mark).isNotNull(), own).otherwise(F.col("doc_id").cast("long"))).drop(mark)
+
+
+def one_row_each(documents: DataFrame, key: str, work: Workspace, few: int = 2_000_000) -> DataFrame:
+    """One row for each ``key``; only rows that share theirs are shuffled."""
+    twice = work.stage(documents.groupBy(key).count().where("count > 1").select(key), "twice")
+    if twice.isEmpty():
+        return documents
+    twice = F.broadcast(twice) if twice.count() <= few else twice.hint("merge")
+    return documents.join(twice, key, "left_anti").unionByName(documents.join(twice, key, "left_semi").dropDuplicates([key]))
+
+
+def without(documents: DataFrame, ids: DataFrame, work: Workspace, key: str = "doc_id", few: int = 2_000_000) -> DataFrame:
+    """The documents whose ``key`` is not in ``ids(key)``; up to ``few`` ids are broadcast, more are joined by a
+    shuffle. Documents without a key stay."""
+    ids = work.stage(ids.select(key).where(F.col(key).isNotNull()).distinct(), "gone")
+    return documents.join(F.broadcast(ids) if ids.count() <= few else ids.hint("merge"), key, "left_anti").select(documents.columns)
 
 
 def with_column_from_text(documents: DataFrame, name: str, kind: pa.DataType, make: Callable[[list[str | None]], Iterable]) -> DataFrame:
-    """Every row of ``documents`` as it is, and a column that ``make`` gives for a batch of texts; a column of that name
-    is replaced."""
-    documents = documents.drop(name)
+    """Every row of ``documents`` as it is, and a column that ``make`` gives for a batch of texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -127,8 +127,8 @@ def test_recurring_templates_go(spark, work):
     assert lines.drop_recurring(documents(spark, texts[:5]), work).agg(F.sum("n_dropped")).first()[0] == 0
 
 
-@pytest.mark.parametrize("block", [5000, 1])
-def test_passages_of_few_texts_go(spark, work, block):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_passages_of_few_texts_go(spark, work, few):
     rng = np.random.default_rng(9)
     line = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(26, size=8)) for _ in range(n))
     long, changed, middle, short = line(60), None, line(20), line(12)
@@ -138,7 +138,7 @@ def test_passages_of_few_texts_go(spark, work, block):
     own = [line(70) for _ in range(7)]
     texts = ["\n".join([o, *lines_, "tail"]) for o, lines_ in zip(own, [*shared, []], strict=True)]
     texts += [texts[-1]] * 4  # exact copies are one text
-    rows = {r["doc_id"]: r for r in lines.drop_recurring(documents(spark, texts), work, block=block).collect()}
+    rows = {r["doc_id"]: r for r in lines.drop_recurring(documents(spark, texts), work, few=few).collect()}
     gone = {long, changed, middle, "tail"}  # the tail is in ten documents and more
     for i, t in enumerate(texts):
         assert rows[i]["text"] == "\n".join(x for x in t.split("\n") if x not in gone)
@@ -146,6 +146,47 @@ def test_passages_of_few_texts_go(spark, work, block):
     assert {r["n_dropped"] for r in few} == {1} and all("tail" in r["text"] for r in few)
 
 
+def recurring(texts, least_documents=10, least_words=100):
+    """What ``drop_recurring`` says, by dictionaries: ``texts`` are pairs of doc_id and text."""
+    docs, where = dict.fromkeys((d, t or "") for d, t in texts), {}
+    for d, t in docs:
+        for i, line in enumerate(t.split("\n")):
+            tokens = re.sub(r"\S*\d\S*", "<*>", line).split()
+            if tokens:
+                free = list(range(3, len(tokens)))
+                cut = [range(0, 0), *(range(3 + -(-len(free) * j // 8), 3 + -(-len(free) * (j + 1) // 8)) for j in range(8) if free)]
+                for out in cut:
+                    rest = tuple(None if p in out else x for p, x in enumerate(tokens))
+                    where.setdefault(rest, []).append((d, t, i))
+    gone = {}
+    for rest, places in where.items():
+        fixed = sum(x not in (None, "<*>") for x in rest)
+        if len({p[:2] for p in places}) >= least_documents or len({p[1] for p in places}) >= max(2, -(-least_words // max(fixed, 1))):
+            for d, t, i in places:
+                gone.setdefault((d, t), set()).add(i)
+    return {(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ()))): len(gone.get((d, t), ())) for d, t in docs}
+
+
+def test_dropped_lines_are_those_of_brute_force(spark, work):
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join(["abc", "def", "gh", "i", "jkl", "7"][rng.integers(6)] for _ in range(n))
+    pool = [some(int(n)) for n in rng.integers(1, 8, 40)] + [" ".join(words(rng, 60)).replace("w", "v") for _ in range(4)] + [" ".join("x" * int(c) for c in rng.integers(1, 9, 55)) for _ in range(4)]
+    texts = []
+    for d in range(60):
+        parts = [pool[rng.integers(len(pool))] for _ in range(rng.integers(0, 6))] + [some(9) for _ in range(2)]
+        if d % 3 == 0 and parts:
+            part = parts[0].split(" ")
+            part[rng.integers(len(part))] = "other"
+            parts[0] = " ".join(part)
+        texts.append((d if d % 7 else None, "\n".join(parts)))
+    texts += [texts[5], texts[5], (5, texts[8][1]), (90, None), (91, ""), (92, " \n\n"), (93, ("same line again\n" * 3000)[:-1]), (94, "y " * 50_000)]
+    df = spark.createDataFrame([(*t, 1, "clash", 2) for t in texts], "doc_id long, text string, i int, leaf string, id int")
+    want = recurring(texts)
+    rows = lines.drop_recurring(df, work).collect()
+    assert {(r["doc_id"], r["text"]): r["n_dropped"] for r in rows} == want and len(rows) == len({(d, t or "") for d, t in texts}) and sum(want.values()) > 20
+    assert lines.drop_recurring(df.limit(0), work).count() == 0
+
+
 # --- 4
 
 
@@ -161,6 +202,55 @@ def test_order_minhash_follows_order_and_edits(spark, work):
     assert fp[5] == fp[6] == [] and len(fp[7]) == 1 and len(fp[8]) > 1
 
 
+def edit_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_likeness_falls_with_edit_distance(spark):
+    rng = np.random.default_rng(13)
+    base = words(rng, 150)
+    texts = [base]
+    for edits in (0, 1, 3, 6, 12, 25, 50, 100):
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(edits):
+                at, what = rng.integers(len(copy)), rng.integers(4)
+                if what == 0:
+                    copy.insert(at, f"n{rng.integers(10**6)}")
+                elif what == 1:
+                    copy.pop(at)
+                elif what == 2:
+                    copy[at] = f"n{rng.integers(10**6)}"
+                else:  # a block moves
+                    part = copy[at : at + 5]
+                    del copy[at : at + 5]
+                    to = rng.integers(len(copy))
+                    copy[to:to] = part
+            texts.append(copy)
+    far = np.array([edit_distance(base, t) / max(len(base), len(t)) for t in texts])
+    df = documents(spark, [" ".join(t) for t in texts])
+    fp = {r["doc_id"]: r["fp"] for r in fingerprint.fingerprints(df, "text", "fp").collect()}
+    both = df.sparkSession.createDataFrame([(i, fp[0], fp[i]) for i in fp], "i long, a array<int>, b array<int>")
+    near = np.array([r[0] for r in both.orderBy("i").select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()])
+    rank = lambda x: np.argsort(np.argsort(x))
+    assert np.corrcoef(rank(far), rank(-near))[0, 1] > 0.9 and near[0] == 1 and (near[far == 0] == 1).all()
+    assert near[(far > 0) & (far < 0.03)].min() > 0.5 and near[far > 0.5].max() < 0.2
+
+
+def test_an_insertion_changes_what_stands_around_it(spark):
+    rng = np.random.default_rng(14)
+    runs = ["".join(chr(0x4E00 + c) for c in rng.integers(3000, size=2000)), "".join("ABCDEFabcdef0123456789+/"[c] for c in rng.integers(24, size=2000)), "https://a.b/" + "/".join(f"p{c}" for c in rng.integers(1000, size=400))]
+    for run in runs:
+        fp = {r["doc_id"]: set(r["fp"]) for r in fingerprint.fingerprints(documents(spark, [run, run[:700] + "Q" + run[700:]]), "text", "fp").collect()}
+        assert len(fp[0] & fp[1]) >= 0.9 * len(fp[0])
+
+
 def test_edited_texts_follow_descending_ids(spark, work):
     texts = ["abcdefghi", "xy", "", None, "0123456789" * 3]
     rows = {r["doc_id"]: r for r in fingerprint.edited_neighbours(documents(spark, texts, 10), work).collect()}
@@ -181,7 +271,7 @@ def test_block_decisions_reach_aliases(spark, work):
     link = '<link rel="canonical" href="{}">'
     pages = [
         (1, "http://bad.example.com/de/1", ""), (2, "https://other.net/a", link.format("http://bad.example.com/de/1")), (3, "https://third.net/b", '<meta http-equiv="refresh" content="0;url=https://other.net/a">'),
-        (4, "https://www.third.net/b/", None), (5, "https://free.net/", ""), (6, None, None), (7, "no scheme", ""), (8, "http://good.ORG/x#y", link.format("/de/1")), (9, "https://mixed.net/", link.format("http://good.org/x") + link.format("http://bad.example.com/de/1")),
+        (4, "HTTPS://THIRD.net:443/x/../b#part", None), (12, "https://www.third.net/b/", ""), (5, "https://free.net/", ""), (6, None, None), (7, "no scheme", ""), (8, "http://good.ORG/x#y", link.format("/de/1")), (9, "https://mixed.net/", link.format("http://good.org/x") + link.format("http://bad.example.com/de/1")),
         (10, "http://a.example.org/es/1?q", ""), (11, "http://a.example.org/en/12", ""),
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -194,12 +284,61 @@ def test_block_decisions_reach_aliases(spark, work):
     assert rows[1]["rule"] == "com/de/" and rows[11]["rule"] == "example.org/en/1" and rows[8]["rule"] == "org/"
     assert verdicts[2] == verdicts[3] == verdicts[4] == verdicts[9] == "allow"
     alone = {r["page_id"]: r["verdict"] for r in urls.judge(df.where("page_id not in (8, 9)"), rules, work).collect()}
-    assert alone[2] == alone[3] == alone[4] == "block" and alone[5] == alone[6] == alone[7] == "allow"
-    hops = spark.createDataFrame([("http://free.net", "http://hop.net/1"), ("http://hop.net/1", "http://x.com/de/2")], "source string, target string")
+    assert alone[2] == alone[3] == alone[4] == "block" and alone[12] == alone[5] == alone[6] == alone[7] == "allow"
+    hops = spark.createDataFrame([("https://free.net", "http://hop.net/1"), ("http://hop.net/1", "http://x.com/de/2")], "source string, target string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge(df.where("page_id = 5"), rules, work, hops).collect()} == {5: "block"}
     assert urls.judge(df.limit(0), rules, work).count() == 0
 
 
+def test_links_are_read_as_browsers_read_them(spark):
+    cases = {
+        '<link href="x.html" rel="alternate canonical">': "https://a.b/c/x.html", "<LINK REL=canonical HREF='../y?p=1&amp;q=2'>": "https://a.b/c/../y?p=1&q=2", '<base href="/z/"><link rel="canonical" href="w">': "https://a.b/z/w",
+        '<link rel="canonical" href="?k=1">': "https://a.b/c/d?k=1", '<link rel="canonical" href="//o.p/q">': "https://o.p/q", '<link rel="canonicals" href="no">': None, '<a rel="canonical" href="no">': None,
+        "<meta http-equiv=refresh content=\"5; URL='/r'\">": "https://a.b/r", '<meta name="refresh" content="0;url=no">': None, '<link rel="canonical" href="">': None, '<link rel="canonical" href=" http://t.u ">': "http://t.u",
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "html string").select("html", urls.links_in(F.col("html"), F.lit("https://a.b/c/d?e#f")).alias("links"))
+    assert {r["html"]: (r["links"] or [None])[0] for r in df.collect()} == cases
+    same = {"http://A.b": "http://a.b/", "HTTP://a.B:80/#x": "http://a.b/", "https://a.b:80/": "https://a.b:80/", "http://a.b/c/../d/./e/..": "http://a.b/d/", "http://a.b/../..": "http://a.b/", "http://a.b/c..d?../x": "http://a.b/c..d?../x", "http://a.b/" + "x/" * 2000 + "..": "http://a.b/" + "x/" * 2000 + ".."}
+    df = spark.createDataFrame([(u,) for u in same], "u string")
+    assert {r[0]: r[1] for r in df.select("u", urls.canonical_key(F.col("u"))).collect()} == same
+
+
+def test_verdicts_are_those_of_union_find(spark, work):
+    rng = np.random.default_rng(11)
+    hosts = ["a.org", "b.example.org", "c.com", "d.net", "e.net", "f.io"]
+    address = lambda: f"http://{hosts[rng.integers(6)]}/{['de', 'fr', 'es', 'x', 'y'][rng.integers(5)]}/{rng.integers(12)}"
+    pages = [(i % 170 if i % 9 else None, address() if i % 31 else None, f'<link rel="canonical" href="{address()}">' * int(rng.random() < 0.35)) for i in range(240)]
+    hops = [(address(), address()) for _ in range(20)] + [(None, address())]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    edges = [(u, h.split('"')[3]) for _, u, h in pages if u and h] + [(a, b) for a, b in hops if a]
+    for a, b in edges:
+        parent[find(a)] = find(b)
+
+    def rule(u):
+        host, _, path = u[7:].partition("/")
+        fits = [(len(h + p), v == "allow", v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[2] if fits else None
+
+    met = {}
+    for u in {u for _, u, _ in pages if u} | {x for e in edges for x in e}:
+        met.setdefault(find(u), set()).add(rule(u))
+    want = []
+    for page, u, _ in pages:
+        told = (rule(u) or ("block" if "block" in met[find(u)] and "allow" not in met[find(u)] else "allow")) if u else "allow"
+        want.append((page if page is not None else -1, u or "", told))
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, host string, row int")
+    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    rows = urls.judge(df, rules, work, spark.createDataFrame(hops, "source string, target string")).collect()
+    got = sorted((r["page_id"] if r["page_id"] is not None else -1, r["host"] + r["path"], r["verdict"]) for r in rows)
+    assert got == sorted((p, u[7:], v) for p, u, v in want) and any(r["spread"] for r in rows)
+
+
 # --- 6
 
 
