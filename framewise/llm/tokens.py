@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,11 @@ from . import hashing
 from .common import Workspace
 
 DIGEST = 16
-#: Words that the normaliser and the splitter of a lower-casing byte-level vocabulary take letter by letter.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Words that the normaliser and the splitter of a lower-casing byte-level vocabulary take letter by letter, and signs
+#: that stay together behind them.
+WORD, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
+ONE = re.compile(f"{WORD[:-1]}+|{SIGNS[:-1]}+")
+PARTS = f"^(?P<word>{WORD})(?P<signs>{SIGNS})$"
 STORED = "row long, doc_id long, n_tokens long, ids_crc32 long, m int, root binary, digests binary, lengths binary, payload binary"
 
 
@@ -52,16 +56,17 @@ def merkle(leaves: list[bytes]) -> bytes:
 class WordEncoder:
     """Ids of texts, word by word: white space parts the words of these vocabularies, so a word's ids can be kept.
 
-    ``most`` bounds what is kept. Plain words go to the model at once; any other stretch, also one that holds the
-    string of a special token, goes through the whole tokenizer, so ids are those of ``encode(text,
+    ``most`` bounds what is kept. All that is not known goes through the tokenizer, so ids are those of ``encode(text,
     add_special_tokens=False)``: such a string is that token, as the library reads it.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(ONE.fullmatch(x) or any(c.isspace() for c in x) for x in self.special):
+            raise ValueError("a special token that is a word, or has white space, can't be found word by word")
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("u4" if self.wide else "u2")  # little-endian machines
@@ -70,30 +75,52 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def core(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            found = self.known[word] = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
-
     def learn(self, piece: str) -> bytes:
-        if any(x in piece for x in self.special):
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        elif piece.isascii() and piece.isalpha():
-            ids = self.core(piece.lower())
-        elif plain := PLAIN.fullmatch(piece):
-            ids = (self.core(plain[1].lower()) if plain[1] else b"") + (self.core(plain[2]) if plain[2] else b"")
+        """Ids of a piece. One of letters or of signs alone is a single word to the splitter and goes to the model at once,
+        its bytes shown as the letters that the vocabulary has for them; any other goes through the whole tokenizer."""
+        if ONE.fullmatch(piece):
+            shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         else:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
         self.known[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def parts(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Pieces between white space as a word in lower case and the signs behind it, one of which may be empty; a piece
+        that is not made so stays whole."""
+        split = pc.extract_regex(pieces, PARTS)
+        word, signs = pc.utf8_lower(split.field("word")), split.field("signs")
+        plain = split.is_valid()
+        return pc.if_else(plain, word, pieces), pc.if_else(plain, signs, "")
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``end_id`` behind each, and where each text's begin (one more entry at the end).
+        Arrow finds the different words, so Python sees each of them once."""
         if len(self.known) > self.most:
             self.known.clear()
-        get, learn = self.known.get, self.learn
-        return b"".join([get(p) or learn(p) for p in text.replace("\n", " ").split(" ") if p])
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        halves = [x.dictionary_encode() for x in self.parts(coded.dictionary)]
+        get, learn, found, shift, refs = self.known.get, self.learn, [], 0, []
+        for half in halves:
+            found += [get(p) or (learn(p) if p else b"") for p in half.dictionary.to_pylist()]
+            refs.append(half.indices.to_numpy() + shift)
+            shift = len(found)
+        flat = np.frombuffer(b"".join(found), self.kind)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        begin = np.cumsum(length) - length
+        at = np.stack(refs, axis=1)[coded.indices.to_numpy()].ravel()
+        size = length[at]
+        some = np.flatnonzero(size)
+        at, size = at[some], size[some]
+        stop = np.cumsum(size)
+        ids = flat[np.repeat(begin[at] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        # where the pieces of each text end, in ids
+        ends = np.concatenate([[0], stop])
+        offsets = 2 * (pieces.offsets.to_numpy() - pieces.offsets[0].as_py())
+        bounds = ends[np.searchsorted(some, offsets)]
+        return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
 @lru_cache(maxsize=1)
@@ -102,41 +129,62 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def cuts(ids: np.ndarray, bits: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks: where a hash of the last four ids has ``bits`` zeros, at ``least`` to ``most`` ids."""
+def marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places behind which a hash of the last four ids has ``bits`` zeros; the first three ids of all have fewer before."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h = x.copy()
     for j, factor in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93), 1):
-        h[j:] ^= x[:-j] * np.uint64(factor) if len(x) > j else h[j:]
-    marks = np.flatnonzero(hashing.mix(h) >> np.uint64(64 - bits) == 0) + 1
+        h[j:] ^= x[:-j] * np.uint64(factor)
+    return np.flatnonzero(hashing.mix(h) >> np.uint64(64 - bits) == 0) + 1
+
+
+def cuts(marked: list[int], n: int, least: int, most: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids: at marks, with ``least`` to ``most`` ids each; the last may be shorter."""
     ends, last = [], 0
-    for mark in [*marks.tolist(), len(ids)]:
+    for mark in [*marked, n]:
         while mark - last > most:
             last += most
             ends.append(last)
-        if mark - last >= least or (mark == len(ids) and mark > last):
+        if mark - last >= least or (mark == n and mark > last):
             ends.append(mark)
             last = mark
     return ends
 
 
+def _blocks(texts: pa.Array, limit: int = 1 << 23) -> Iterator[pa.Array]:
+    """Texts in stretches of about ``limit`` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def _encode(path: str, end_id: int, bits: int, least: int, most: int) -> Callable:
+    if least < 4:
+        raise ValueError("chunks of under four ids would depend on the document before")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=3)
-        end, unit = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                raw = encoder.encode(text.as_py() or "") + end
-                ids = np.frombuffer(raw, encoder.kind)
-                at, digests, payloads = 0, [], []
-                for stop in cuts(ids, bits, least, most):
-                    part = raw[at * unit : stop * unit]
-                    digests.append(digest(part))
-                    payloads.append(packer.compress(part))
-                    at = stop
-                crc = zlib.crc32(ids.astype("<u4").tobytes())
-                rows.append((len(ids), crc, len(digests), merkle(digests), b"".join(digests), np.array([len(p) for p in payloads], "<i4").tobytes(), b"".join(payloads)))
+            for texts in _blocks(batch.column("text")):
+                ids, bounds = encoder.encode(texts, end_id)
+                raw, wide, unit = ids.tobytes(), memoryview(ids.astype("<u4").tobytes()), encoder.kind.itemsize
+                marked = marks(ids, bits)
+                near = np.searchsorted(marked, bounds, "right").tolist()
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    at, digests, payloads = a, [], []
+                    inside = (marked[near[k] : near[k + 1]] - a).tolist() if near[k] < near[k + 1] else []
+                    for stop in cuts(inside, b - a, least, most):
+                        part = raw[at * unit : (a + stop) * unit]
+                        digests.append(digest(part))
+                        payloads.append(packer.compress(part))
+                        at = a + stop
+                    lengths = np.fromiter(map(len, payloads), "<i4", len(payloads)).tobytes()
+                    rows.append((b - a, zlib.crc32(wide[4 * a : 4 * b]), len(digests), merkle(digests), b"".join(digests), lengths, b"".join(payloads)))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], [f.split(" ")[0] for f in STORED.split(", ")])
