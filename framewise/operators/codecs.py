@@ -27,6 +27,14 @@ def e2m1(x: Column) -> Column:
     return F.signum(x) * best
 
 
+def e4m3(x: Column) -> Column:
+    """The nearest number that an eight-bit e4m3 code can say, ties to even, at most 448: three bits behind the leading
+    one, and steps of 2 ** -9 below 2 ** -6."""
+    power = F.greatest(F.floor(F.log2(F.greatest(F.abs(x), F.lit(2.0**-20)))), F.lit(-6).cast("long"))
+    step = F.pow(F.lit(2.0), power - 3)
+    return F.least(F.greatest(F.rint(x / step) * step, F.lit(-448.0)), F.lit(448.0))
+
+
 def rotated(v: str, n: int) -> Column:
     """Walsh-Hadamard transform of n = 2^k values over sqrt(n): the sign of a term is the parity of the common bits."""
     idx = F.sequence(F.lit(0), F.lit(n - 1))

@@ -1,20 +1,26 @@
-"""Layouts: balanced overlapping windows, tile grids, run choice, merging short segments, overlap weights."""
+"""Layouts: balanced overlapping windows, tile grids, run choice, merging short segments, overlap weights, budgets."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.sources.shared import Store
+
 #: Which place in a latent group a frame is best taken from, best first.
 PREFERENCE = (-1, 3, 2, 0, 1)
 
 
 def windows(shots: DataFrame, length: str, cap: int, shared: int = 2) -> DataFrame:
     """Adds window, w_start, w_end: the fewest windows of at most ``cap`` that share ``shared`` places, lengths that
-    differ by at most one, the longer ones first. A closed form, so each shot is exploded where it is."""
+    differ by at most one, the longer ones first. A closed form, so each shot is exploded where it is. A ``cap`` under
+    2 * shared + 1 is refused: a place would lie in three windows."""
+    if cap < 2 * shared + 1:
+        raise ValueError(f"windows of at most {cap} can't share {shared} places with each neighbour")
     n = F.greatest(F.ceil((F.col(length) - shared) / (cap - shared)), F.lit(1)).cast("long")
     base = shots.withColumn("_n", n).withColumn("_b", F.floor((F.col(length) + shared * (F.col("_n") - 1)) / F.col("_n"))).withColumn("_r", (F.col(length) + shared * (F.col("_n") - 1)) % F.col("_n"))
     each = base.withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
@@ -55,27 +61,71 @@ def ramp(n: Column) -> Column:
     return F.when(n == 1, F.array(F.lit(0.5))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: 0.5 - 0.5 * F.cos(F.pi() * i / (n - 1))))
 
 
-def _merged(least: int):
-    def merge(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values("start")
-        bounds = [*pieces["start"].tolist(), int(pieces["end"].iloc[-1])]
-        while len(bounds) > 2:
-            sizes = [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
-            i = min(range(len(sizes)), key=lambda j: (sizes[j], j))
-            if sizes[i] >= least:
-                break
-            left = i > 0 and (i == len(sizes) - 1 or sizes[i - 1] <= sizes[i + 1])
-            del bounds[i if left else i + 1]
-        return pd.DataFrame({"source_id": pieces["source_id"].iloc[0], "segment": range(len(bounds) - 1), "start": bounds[:-1], "end": bounds[1:]})
+def merged_bounds(bounds: list[int], least: int) -> list[int]:
+    """The bounds that are left of one run of segments. Neighbours are linked and the short segments wait in a heap, so
+    each merge costs a logarithm."""
+    sizes = [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
+    left, right = list(range(-1, len(sizes) - 1)), [*range(1, len(sizes)), -1]
+    waiting = [(n, i) for i, n in enumerate(sizes) if n < least]
+    heapq.heapify(waiting)
+    alive = [True] * len(sizes)
+    while waiting:
+        n, i = heapq.heappop(waiting)
+        if not alive[i] or sizes[i] != n or (left[i] < 0 and right[i] < 0):
+            continue
+        # the segment at the left of the bound that goes takes the other one in
+        into = left[i] if right[i] < 0 or (left[i] >= 0 and sizes[left[i]] <= sizes[right[i]]) else i
+        other = right[into]
+        sizes[into] += sizes[other]
+        alive[other] = False
+        right[into] = right[other]
+        if right[other] >= 0:
+            left[right[other]] = into
+        if sizes[into] < least:
+            heapq.heappush(waiting, (sizes[into], into))
+    return [*(b for b, kept in zip(bounds, alive, strict=False) if kept), bounds[-1]]
+
+
+def _merge_runs(least: int):
+    """Rows of segments sorted by (source_id, run, start) to the segments that are left of each run."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, bounds, end = None, [], 0
+
+        def done() -> list[tuple]:
+            kept = merged_bounds([*bounds, end], least)
+            return [(key[0], a, b) for a, b in zip(kept, kept[1:], strict=False)]
+
+        for batch in batches:
+            out = []
+            for source, run, start, stop in zip(batch["source_id"], batch["run"], batch["start"], batch["end"], strict=True):
+                if (source, run) != key:
+                    out += done() if bounds else []
+                    key, bounds = (source, run), []
+                bounds.append(start)
+                end = stop
+            yield pd.DataFrame(out, columns=["source_id", "start", "end"], dtype="int64")
+        if bounds:
+            yield pd.DataFrame(done(), columns=["source_id", "start", "end"], dtype="int64")
 
     return merge
 
 
 def merge_short(segments: DataFrame, least: int) -> DataFrame:
     """(source_id, segment, start, end): the shortest segment under ``least`` goes to its shorter neighbour, the left one
-    on a tie, until none is left or one remains. Each step depends on the one before, so a source is one group; it
-    holds only the bounds of its segments."""
-    return segments.select("source_id", "start", "end").groupBy("source_id").applyInPandas(_merged(least), "source_id long, segment long, start long, end long")
+    on a tie, until none is left or one remains.
+
+    The bound between two segments that are long enough never goes, and nothing passes it. So a source falls into runs
+    at such bounds; runs of one segment stay as they are, and the others are merged each for itself, dealt over the
+    tasks by source and run."""
+    by = Window.partitionBy("source_id").orderBy("start")
+    short = (F.col("end") - F.col("start")) < least
+    cut = ~short & ~F.lag(short, 1, True).over(by)
+    runs = segments.select("source_id", "start", "end", F.count_if(cut).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = runs.withColumn("_n", F.count("*").over(Window.partitionBy("source_id", "run")))
+    many = runs.where("_n > 1").drop("_n").repartition("source_id", "run").sortWithinPartitions("source_id", "run", "start")
+    left = runs.where("_n = 1").select("source_id", "start", "end").unionByName(many.mapInPandas(_merge_runs(least), "source_id long, start long, end long"))
+    return left.select("source_id", (F.row_number().over(by) - 1).cast("long").alias("segment"), "start", "end")
 
 
 def blended(rows: DataFrame, keys: tuple[str, ...], at: str, weight: str, value: str) -> DataFrame:
@@ -83,60 +133,70 @@ def blended(rows: DataFrame, keys: tuple[str, ...], at: str, weight: str, value:
     return rows.groupBy(*keys, at).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("blended"))
 
 
-def admitted(pool: int, queue: int):
-    """Function for applyInPandas over requests (req_id, came, need, service) of one pool: FIFO admission. A request
-    waits until what it needs is free and nobody waits before it; one that comes to a full queue, or needs more than the
-    pool, is turned away."""
-
-    def admit(requests: pd.DataFrame) -> pd.DataFrame:
-        rows, running, last = [], [], 0.0
-        waiting: list[float] = []
-        for r in requests.sort_values(["came", "req_id"]).itertuples():
-            waiting = [t for t in waiting if t > r.came]
-            if r.need > pool or len(waiting) >= queue:
-                rows.append((r.req_id, "rejected", None))
-                continue
-            start = max(r.came, last)
-            while sum(n for end, n in running if end > start) + r.need > pool:
-                start = min(end for end, _ in running if end > start)
-            running = [(end, n) for end, n in running if end > r.came]
-            running.append((start + r.service, r.need))
-            last = start
-            if start > r.came:
-                waiting.append(start)
-            rows.append((r.req_id, "admitted", start))
-        return pd.DataFrame(rows, columns=["req_id", "state", "started"])
-
-    return admit
-
-
-def hull_steps(options: pd.DataFrame) -> pd.DataFrame:
-    """Lower convex hull of one item's options (item, bytes, error) as steps of falling gain a byte."""
-    points: list[tuple[int, float]] = []
-    for b, e in sorted(set(zip(options["bytes"], options["error"], strict=True))):
-        if points and e >= points[-1][1]:
-            continue
-        while len(points) > 1 and (points[-2][1] - points[-1][1]) * (b - points[-1][0]) <= (points[-1][1] - e) * (points[-1][0] - points[-2][0]):
-            points.pop()
-        points.append((b, e))
-    rows = [(options["item"].iloc[0], i, b2 - b1, (e1 - e2) / (b2 - b1), b2, e2) for i, ((b1, e1), (b2, e2)) in enumerate(zip(points, points[1:], strict=False), 1)]
-    return pd.DataFrame(rows, columns=["item", "step", "more", "gain", "bytes", "error"])
-
-
-def greedy_steps(budget: int):
-    """Function for mapInPandas over steps in falling gain: takes each step that still fits and follows the item's last
-    taken one; a step that is too large is skipped and so are the item's later ones."""
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, done = budget, {}
-        for batch in batches:
-            taken = []
-            for r in batch.itertuples():
-                ok = done.get(r.item, 0) == r.step - 1 and r.more <= left
-                if ok:
-                    left -= r.more
-                    done[r.item] = r.step
-                taken.append(ok)
-            yield batch[taken]
-
-    return take
+def pool_load(requests: DataFrame, keys: list[str], pool: int) -> DataFrame:
+    """(keys, peak, over) of ``requests(keys, came, left, need)``: the most that is in use at once, and at how many
+    moments more than the pool is. What leaves at a moment is free for what comes at it. A running sum over the comings
+    and goings of each key."""
+    events = requests.select(*keys, F.col("came").alias("_at"), F.col("need").alias("_more")).unionByName(requests.select(*keys, F.col("left").alias("_at"), (-F.col("need")).alias("_more")))
+    moments = events.groupBy(*keys, "_at").agg(F.sum("_more").alias("_more"))
+    by = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    used = moments.withColumn("_used", F.sum("_more").over(by))
+    return used.groupBy(*keys).agg(F.max("_used").alias("peak"), F.count_if(F.col("_used") > pool).alias("over"))
+
+
+def envelope(options: DataFrame, store: Store) -> DataFrame:
+    """(item, bytes, error) of the options that are best at some price a byte: the corners of the lower convex envelope
+    of each item's ``options(item, bytes, error)``, from the cheapest on.
+
+    First only options stay that are better than all cheaper ones. Then each round takes out what lies on or above the
+    line between its neighbours; no such point can be a corner, so all go at once, and a round without one ends it."""
+    by = Window.partitionBy("item").orderBy("bytes")
+    one = options.groupBy("item", "bytes").agg(F.min("error").alias("error"))
+    cheaper = F.min("error").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    left = store.stage(one.withColumn("_best", cheaper).where(F.col("_best").isNull() | (F.col("error") < F.col("_best"))).drop("_best"), "pareto")
+    while True:
+        near = left.withColumn("_b0", F.lag("bytes").over(by)).withColumn("_e0", F.lag("error").over(by)).withColumn("_b1", F.lead("bytes").over(by)).withColumn("_e1", F.lead("error").over(by))
+        inner = (F.col("error") - F.col("_e0")) * (F.col("_b1") - F.col("_b0")) >= (F.col("_e1") - F.col("_e0")) * (F.col("bytes") - F.col("_b0"))
+        marked = store.stage(near.select("item", "bytes", "error", F.coalesce(inner, F.lit(False)).alias("_inner")), "envelope")
+        left = marked.where("not _inner").drop("_inner")
+        if marked.where("_inner").isEmpty():
+            return left
+
+
+def chosen_options(options: DataFrame, budget: int, store: Store) -> DataFrame:
+    """(item, bytes, error): one option an item with ``bytes`` within ``budget`` together. Each item starts with its
+    cheapest option, which the budget must hold; then steps along the envelopes are taken by falling drop of error a
+    byte (ties by item); a step that does not fit is left out with the item's later ones, cheaper ones still come.
+
+    What is left of the budget only falls, so a step that is too large once stays so. Each round drops those, and then
+    takes all steps before the first that does not fit: a running sum over ranges of steps in order, of which only one
+    number each comes to the driver."""
+    corners = envelope(options, store)
+    by = Window.partitionBy("item").orderBy("bytes")
+    steps = corners.select("item", "bytes", "error", (F.col("bytes") - F.lag("bytes").over(by)).alias("more"), ((F.lag("error").over(by) - F.col("error")) / (F.col("bytes") - F.lag("bytes").over(by))).alias("gain"))
+    steps = store.stage(steps, "steps")
+    first = steps.where("more is null").select("item", "bytes", "error")
+    left = budget - (first.agg(F.sum("bytes")).first()[0] or 0)
+    if left < 0:
+        raise ValueError(f"the cheapest options take {budget - left} bytes, over the budget of {budget}")
+    order = [F.desc("gain"), F.asc("item"), F.asc("bytes")]
+    todo, taken = steps.where("more is not null"), first
+    while True:
+        blocked = F.max((F.col("more") > left).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        todo = todo.withColumn("_out", blocked).where("_out = 0").drop("_out")
+        todo = store.stage(todo.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "todo")
+        sums = sorted(todo.groupBy("_part").agg(F.sum("more").alias("s")).collect(), key=lambda r: r["_part"])  # one a range
+        if not sums:
+            break
+        before, offsets = 0, []
+        for r in sums:
+            offsets.append((r["_part"], before))
+            before += r["s"]
+        inside = F.sum("more").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        running = todo.withColumn("_inside", inside).join(F.broadcast(store.spark.createDataFrame(offsets, "_part int, _before long")), "_part").withColumn("_sum", F.col("_before") + F.col("_inside"))
+        running = store.stage(running.drop("_part", "_before", "_inside"), "running")
+        now = running.where(F.col("_sum") <= left)
+        taken = store.stage(taken.unionByName(now.select("item", "bytes", "error")), "taken")
+        spent = now.agg(F.sum("more")).first()[0] or 0
+        todo, left = running.where(F.col("_sum") > left).drop("_sum"), left - spent
+    return taken.groupBy("item").agg(F.max_by("error", "bytes").alias("error"), F.max("bytes").alias("bytes")).select("item", "bytes", "error")

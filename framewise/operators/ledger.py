@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.sources.shared import Store
+
 
 def left_to_do(units: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return units.join(done.select(*keys).distinct(), keys, "left_anti")
@@ -36,3 +38,29 @@ def digest(lines: Column) -> Column:
 def problems(**rules: Column) -> Column:
     """Names of the rules that a row breaks, in the given order."""
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+
+
+def running_base(rows: DataFrame, order: list[str], size: str, store: Store) -> DataFrame:
+    """Adds base: the sum of ``size`` over all rows before in ``order``, one order over the whole table. Ranges are
+    summed apart, and one number a range is brought together."""
+    dealt = store.stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    before, offsets = 0, []
+    for r in sorted(dealt.groupBy("_part").agg(F.sum(size).alias("s")).collect(), key=lambda r: r["_part"]):  # one a range
+        offsets.append((r["_part"], before))
+        before += r["s"]
+    offsets = store.spark.createDataFrame(offsets, "_part int, _before long")
+    inside = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn("base", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
+def closure(edges: DataFrame, roots: DataFrame, store: Store) -> DataFrame:
+    """(root, node): each of ``roots(root)`` and all that it needs, by ``edges(a, b)``, a needs b. Each round joins only
+    what the round before found; the last finds nothing new, however long the chains, and rings end too."""
+    edges = store.stage(edges.where("a is not null and b is not null").distinct(), "edges")
+    new = store.stage(roots.where("root is not null").select("root", F.col("root").alias("node")).distinct(), "found")
+    found = new
+    while not new.isEmpty():
+        reached = new.join(edges, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        new = store.stage(reached.join(found, ["root", "node"], "left_anti"), "found")
+        found = found.unionByName(new)
+    return found

@@ -63,8 +63,15 @@ def bootstrap(block: int, draws: int, seed: int = 0):
         group = rows["grp"].iloc[0]
         rng = np.random.default_rng([seed, int(group)])
         n, size = len(v), min(block, len(v))
-        starts = rng.integers(0, n - size + 1, (draws, math.ceil(n / size)))
-        means = v[(starts[:, :, None] + np.arange(size)).reshape(draws, -1)[:, :n]].mean(axis=1)
+        # a draw's sum is that of its blocks, which differences of running sums give; the last block is cut to length
+        whole, rest, before = n // size, n % size, np.concatenate([[0.0], np.cumsum(v)])
+        means = np.empty(draws)
+        for k in range(draws):  # one draw at a time: memory for one a group, however long it is
+            starts = rng.integers(0, n - size + 1, math.ceil(n / size))
+            ends = starts + size
+            if rest:
+                ends[whole] = starts[whole] + rest
+            means[k] = (before[ends] - before[starts]).sum() / n
         low, high = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame({"grp": [group], "mean": [v.mean()], "low": [low], "high": [high]})
 

@@ -11,6 +11,11 @@ def by_source() -> WindowSpec:
     return Window.partitionBy("source_id").orderBy("frame")
 
 
+def from_end() -> WindowSpec:
+    """A frame and all after it: a window from the first row on in falling order, which is a running one."""
+    return Window.partitionBy("source_id").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def exact(x: Column | int) -> Column:
     """An integer wide enough for products of 64-bit numbers."""
     return (F.lit(x) if isinstance(x, int) else x).cast("decimal(38,0)")
@@ -35,8 +40,9 @@ def asof_keyframe(frames: DataFrame) -> DataFrame:
 
 
 def first_from_keyframe(frames: DataFrame) -> DataFrame:
-    """(source_id, key_pts, frame): for each keyframe time the first frame at or after it."""
-    by = Window.partitionBy("source_id").orderBy("pts").rangeBetween(0, Window.unboundedFollowing)
+    """(source_id, key_pts, frame): for each keyframe time the first frame at or after it. What follows is read from the
+    end, so that each window is a running one."""
+    by = Window.partitionBy("source_id").orderBy(F.desc("pts")).rangeBetween(Window.unboundedPreceding, 0)
     return frames.withColumn("first", F.min("frame").over(by)).where("is_key").select("source_id", F.col("pts").alias("key_pts"), F.col("first").alias("frame")).distinct()
 
 
@@ -58,8 +64,8 @@ def discontinuity(frames: DataFrame, forward: int, back: int, tolerance: int = 1
 
 def selects(frames: DataFrame) -> DataFrame:
     """(source_id, frame, exact): whether times from the frame's own on select exactly it and those after."""
-    before, after = by_source().rowsBetween(Window.unboundedPreceding, -1), by_source().rowsBetween(0, Window.unboundedFollowing)
-    ok = F.coalesce(F.max("pts").over(before) < F.col("pts"), F.lit(True)) & (F.min("pts").over(after) == F.col("pts"))
+    before = by_source().rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.coalesce(F.max("pts").over(before) < F.col("pts"), F.lit(True)) & (F.min("pts").over(from_end()) == F.col("pts"))
     return frames.select("source_id", "frame", ok.alias("exact"))
 
 
@@ -111,10 +117,30 @@ def holes(placed: DataFrame) -> DataFrame:
 
 def running(frames: DataFrame) -> DataFrame:
     """(source_id, frame, highest, lowest_after, error_after)."""
-    rest = by_source().rowsBetween(0, Window.unboundedFollowing)
+    rest = from_end()
     return frames.select("source_id", "frame", F.max("pts").over(by_source().rowsBetween(Window.unboundedPreceding, 0)).alias("highest"), F.min("pts").over(rest).alias("lowest_after"), F.bool_or("error").over(rest).alias("error_after"))
 
 
 def constant_rate(frames: DataFrame, allowed: int = 1000) -> DataFrame:
     """Sources whose steps differ by at most ``allowed``."""
     return steps(frames).where(F.col("most") - F.col("least") <= allowed)
+
+
+def slices(frames: DataFrame, keys: list[str], at: str = "i", first: int = 5, then: int = 4) -> DataFrame:
+    """Adds slice, and the rows that pad each shot to ``first`` or that and a multiple of ``then`` frames (one frame
+    stays alone): its last frame again. ``at`` counts the frames of a shot from 0."""
+    by = Window.partitionBy(*keys)
+    n = F.max(at).over(by) + 1
+    whole = F.when(n == 1, F.lit(1)).otherwise(F.greatest(F.lit(first), first + F.ceil((n - first) / then) * then))
+    last = F.col(at) == F.col("_n") - 1
+    places = F.when(last, F.sequence(F.col(at), F.col("_whole") - 1)).otherwise(F.array(F.col(at)))
+    out = frames.withColumn("_n", n).withColumn("_whole", whole.cast("long")).withColumn("_place", F.explode(places))
+    out = out.withColumn("padded", F.col("_place") >= F.col("_n")).withColumn(at, F.col("_place"))
+    return out.withColumn("slice", F.when(F.col(at) < first, F.lit(0)).otherwise(F.floor((F.col(at) - first) / then) + 1).cast("long")).drop("_n", "_whole", "_place")
+
+
+def causal(sliced: DataFrame, keys: list[str], value: str, reach: int = 2, at: str = "i") -> DataFrame:
+    """Adds causal: the mean of a frame and up to ``reach`` before it in its shot, across slices; a shot begins without
+    a memory. ``framewise.streaming.detector.causal_slices`` gives the same slice by slice."""
+    by = Window.partitionBy(*keys).orderBy(at).rowsBetween(-reach, 0)
+    return sliced.withColumn("causal", F.avg(value).over(by))

@@ -91,14 +91,15 @@ def _(spark, d):
     return c.groupBy("p_brand").agg(F.array_join(F.transform(each, lambda x: F.concat(x["p_type"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("listing"))
 
 
-@query("jn09_seed_pairs", f"""with {FRAMES_SQL}, s as (select event_type as clip, source_id as seed, frame, cast(floor(value) as bigint) as v from frames where frame < 40)
+@query("jn09_seed_pairs", f"""with {FRAMES_SQL}, s as (select event_type as clip, source_id as seed, frame, cast(floor(value) as bigint) as v from frames)
 select a.clip, a.seed as a, b.seed as b, count(*) as n, cast(sum(abs(a.v - b.v)) as bigint) as difference from s a join s b on a.clip = b.clip and a.frame = b.frame and a.seed < b.seed and b.seed <= a.seed + 5 group by 1, 2, 3""")
 def _(spark, d):
-    s = frames(spark, d).where("frame < 40").select(F.col("event_type").alias("clip"), F.col("source_id").alias("seed"), "frame", F.floor("value").alias("v"))
-    a, b = s.alias("a"), s.alias("b")
-    # the seeds of a study are few; here those within five of each other are one study
-    j = a.join(b, (F.col("a.clip") == F.col("b.clip")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.seed") < F.col("b.seed")) & (F.col("b.seed") <= F.col("a.seed") + 5))
-    return j.groupBy(F.col("a.clip").alias("clip"), F.col("a.seed").alias("a"), F.col("b.seed").alias("b")).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a.v") - F.col("b.v"))).alias("difference"))
+    """All pairs of the seeds of a study, which are those within five of each other: each seed is dealt to the five before
+    it, so the band is an equality."""
+    s = frames(spark, d).select(F.col("event_type").alias("clip"), F.col("source_id").alias("b"), "frame", F.floor("value").alias("v"))
+    other = s.withColumn("a", F.explode(F.array(*[F.col("b") - k for k in range(1, 6)])))
+    j = s.select("clip", F.col("b").alias("a"), "frame", F.col("v").alias("w")).join(other, ["clip", "a", "frame"])
+    return j.groupBy("clip", "a", "b").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("w") - F.col("v"))).alias("difference"))
 
 
 @query("jn10_paired_difference", "with c as (select l_suppkey, l_returnflag, avg(l_quantity) as q from lineitem group by 1, 2) select a.l_suppkey, a.l_returnflag as variant, round(a.q - b.q, 6) as difference from c a join c b on a.l_suppkey = b.l_suppkey where b.l_returnflag = 'N' and a.l_returnflag <> 'N'")
@@ -227,3 +228,12 @@ def _(spark, d):
     k = (4 - (n - 1) % 4) % 4
     cut = F.slice("v", F.lit(1), n.cast("int"))
     return vectors(spark, d).select("vec_id", F.size(F.concat(cut, F.array_repeat(F.element_at(cut, -1), k.cast("int")))).cast("long").alias("length"))
+
+
+@query("sc12_fp8_rows", f"""with {VECTORS_SQL}, s as (select vec_id, v, list_max(list_transform(v, lambda x: abs(x))) / 448 as scale from vectors), c as (select vec_id, scale, unnest(range(0, 64)) as i, unnest(v) / scale as y from s),
+p as (select *, pow(2.0::double, greatest(floor(log2(greatest(abs(y), 0.00000095367431640625::double))), -6) - 3) as step from c) select vec_id, i, round(least(greatest(round_even(y / step, 0) * step, -448), 448) * scale, 9) + 0.0 as x from p""")
+def _(spark, d):
+    """Rows in eight bits by a scale each, and back."""
+    s = vectors(spark, d).withColumn("scale", K.absmax("v") / 448)
+    c = s.select("vec_id", "scale", F.posexplode("v").alias("i", "x"))
+    return c.select("vec_id", F.col("i").cast("long").alias("i"), (F.round(K.e4m3(F.col("x") / F.col("scale")) * F.col("scale"), 9) + 0.0).alias("x"))

@@ -9,6 +9,7 @@ from framewise.operators import cuts as C
 from framewise.operators import layout as L
 from framewise.plans.cuts import RUNS
 from framewise.sources.bindings import VECTORS_SQL, frames, table, vectors
+from framewise.sources.shared import Store
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,7 +84,15 @@ def _(spark, d):
     return n.select("n", F.posexplode(L.ramp(F.col("n"))).alias("i", "weight")).select("n", F.col("i").cast("long").alias("i"), F.round("weight", 6).alias("weight"))
 
 
-@query("st04_merged_segments")
+#: One merge a step; a source's bounds are a list.
+MERGED = RUNS.replace("with ", "with recursive ", 1) + """, b0 as (select source_id, list_append(list(start order by start), max("end")) as b from shots group by 1),
+m(source_id, b) as (select source_id, b from b0 union all select source_id, list_filter(b, lambda x: x <> b[case when i > 1 and (i = len(z) or z[i - 1] <= z[i + 1]) then i else i + 1 end])
+ from (select *, list_position(z, list_min(z)) as i from (select source_id, b, list_transform(range(1, len(b)), lambda k: b[k + 1] - b[k]) as z from m where len(b) > 2)) where list_min(z) < 5),
+f as (select source_id, arg_min(b, len(b)) as b from m group by 1), e as (select source_id, b, unnest(range(1, len(b))) as k from f)
+select source_id, k - 1 as segment, b[k] as start, b[k + 1] as "end" from e"""
+
+
+@query("st04_merged_segments", MERGED)
 def _(spark, d):
     return L.merge_short(C.shots(frames(spark, d)), 5)
 
@@ -108,19 +117,31 @@ def _(spark, d):
     return L.blended(ins, ("vec_id",), "i", "w", "x").select("vec_id", "i", (F.round("blended", 6) + 0.0).alias("mean"))
 
 
-@query("st08_admission")
+@query("st08_pool_load", """with r as (select o_custkey, epoch(o_orderdate) // 86400 as came, epoch(o_orderdate) // 86400 + 90 as gone, cast(floor(o_totalprice) as bigint) as need from orders),
+e as (select o_custkey, came as at_day, need as more from r union all select o_custkey, gone, -need from r), s as (select o_custkey, at_day, sum(more) as more from e group by 1, 2), u as (select o_custkey, sum(more) over (partition by o_custkey order by at_day) as used from s)
+select o_custkey, cast(max(used) as bigint) as peak, count(*) filter (where used > 300000) as over from u group by 1""")
 def _(spark, d):
-    c = table(spark, d, "conversations")
-    reqs = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("req_id"), (F.col("turn") * 1.0).alias("came"), F.length("text").cast("long").alias("need"), (F.length("text") / 500.0).alias("service"), (F.col("conv_id") % 16).alias("pool"))
-    return reqs.groupBy("pool").applyInPandas(lambda p: L.admitted(3000, 8)(p), "req_id long, state string, started double")
+    """What orders hold of a customer's limit, each for ninety days."""
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    r = table(spark, d, "orders").select("o_custkey", day.alias("came"), (day + 90).alias("left"), F.floor("o_totalprice").alias("need"))
+    return L.pool_load(r, ["o_custkey"], 300_000)
+
+
+KNAPSACK = """with recursive o as (select p_partkey % 40 as item, p_size * 100 as bytes, min(cast(round(p_retailprice * 100) as bigint)) as error from part group by 1, 2),
+pareto as (select * from (select *, min(error) over (partition by item order by bytes rows between unbounded preceding and 1 preceding) as best from o) where best is null or error < best),
+hull as (select item, bytes, error from pareto p where not exists (select 1 from pareto a join pareto b on a.item = b.item where a.item = p.item and a.bytes < p.bytes and b.bytes > p.bytes and (p.error - a.error) * (b.bytes - a.bytes) >= (b.error - a.error) * (p.bytes - a.bytes))),
+st as (select *, bytes - lag(bytes) over w as more, (lag(error) over w - error) / (bytes - lag(bytes) over w) as gain from hull window w as (partition by item order by bytes)),
+seq as (select *, row_number() over (order by gain desc, item, bytes) as k from st where more is not null),
+r(k, rest, gone, taken) as (select cast(0 as bigint), cast(60000 - sum(bytes) as bigint), cast([] as bigint[]), false from st where more is null
+ union all select s.k, r.rest - case when s.more <= r.rest and not list_contains(r.gone, s.item) then s.more else 0 end, case when s.more <= r.rest or list_contains(r.gone, s.item) then r.gone else list_append(r.gone, s.item) end, s.more <= r.rest and not list_contains(r.gone, s.item) from r join seq s on s.k = r.k + 1),
+got as (select item, bytes, error from st where more is null union all select item, bytes, error from seq join r using (k) where taken)
+select item, max(bytes) as bytes, min(error) as error from got group by 1"""
 
 
-@query("st05_knapsack")
+@query("st05_knapsack", KNAPSACK)
 def _(spark, d):
-    options = table(spark, d, "part").select((F.col("p_partkey") % 40).alias("item"), (F.col("p_size") * 100).cast("long").alias("bytes"), F.col("p_retailprice").alias("error"))
-    steps = options.groupBy("item").applyInPandas(L.hull_steps, "item long, step long, more long, gain double, bytes long, error double")
-    # the greedy pass is sequential over steps; there are few of them: one list of hull steps an item of the format table
-    return steps.coalesce(1).sortWithinPartitions(F.desc("gain"), "item", "step").mapInPandas(L.greedy_steps(60_000), steps.schema)
+    options = table(spark, d, "part").select((F.col("p_partkey") % 40).alias("item"), (F.col("p_size") * 100).alias("bytes"), F.round(F.col("p_retailprice") * 100).cast("long").alias("error"))
+    return L.chosen_options(options, 60_000, Store(spark, "st05"))
 
 
 @query("wn17_deadline", """with u as (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as cost from orders), s as (select *, sum(cost) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) - cost as begin from u)

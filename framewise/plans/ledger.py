@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators import ledger as G
 from framewise.sources.bindings import FRAMES_SQL, frames, table
+from framewise.sources.shared import Replay, Store, Units, checked_write, read_manifest
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,9 +26,10 @@ def _(spark, d):
     return G.left_to_do(o, o.where("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
-@query("jn13_leftovers", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("jn13_leftovers", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
 def _(spark, d):
-    return G.left_to_do(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
+    named = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return G.left_to_do(table(spark, d, "customer"), named, ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("jn14_still_wanted", "select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
@@ -36,9 +38,11 @@ def _(spark, d):
     return G.still_wanted(table(spark, d, "customer"), big, ["c_custkey"]).select("c_custkey", "c_nationkey")
 
 
-@query("set03_except", "select c_nationkey as nation from customer except select s_nationkey from supplier where s_acctbal > 0")
+@query("set03_except", "select c_nationkey as nation, c_mktsegment as segment from customer except select c_nationkey, c_mktsegment from customer where c_acctbal < 1000")
 def _(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).subtract(table(spark, d, "supplier").where("s_acctbal > 0").select("s_nationkey"))
+    every = table(spark, d, "customer")
+    kinds = lambda df: df.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return kinds(every).subtract(kinds(every.where("c_acctbal < 1000")))
 
 
 @query("set04_intersect", "select c_nationkey as nation from customer where c_acctbal > 9000 intersect select s_nationkey from supplier")
@@ -119,8 +123,10 @@ def _(spark, d):
 
 @query("snk08_manifest", """select o_custkey, cast(count(*) as bigint) as segments, sha256(string_agg('seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || ':' || o_orderstatus, ',' order by 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || ':' || o_orderstatus)) as content from orders group by 1""")
 def _(spark, d):
+    """A job's manifest, written whole and then named; what is returned is read from its files."""
     name = F.concat(F.lit("seg_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(":"), "o_orderstatus")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("segments"), F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256).alias("content"))
+    made = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("segments"), F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256).alias("content"))
+    return checked_write(Store(spark, "snk08"), made, "manifest")
 
 
 @query("prj14_names", "select o_orderkey, 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') as name, 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || '.partial' as partial from orders")
@@ -129,9 +135,63 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", name.alias("name"), F.concat(name, F.lit(".partial")).alias("partial"))
 
 
-@query("snk09_checksums", "select doc_id, sha256(text) as sha256, md5(text) as md5 from documents")
+@query("snk09_checksums", "select doc_id, sha256(text) as sha256, md5(text) as md5, true as same from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    """Checksums are written beside the texts; the texts are read again and held against them."""
+    store, docs = Store(spark, "snk09"), table(spark, d, "documents").select("doc_id", "text")
+    told = lambda df: df.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    listed, kept = checked_write(store, told(docs), "checksums"), checked_write(store, docs, "texts")
+    again = told(kept).select("doc_id", F.col("sha256").alias("s"), F.col("md5").alias("m"))
+    return listed.join(again, "doc_id", "left").select("doc_id", "sha256", "md5", (F.col("s").eqNullSafe(F.col("sha256")) & F.col("m").eqNullSafe(F.col("md5"))).alias("same"))
+
+
+@query("snk01_checked_frames", f"with {FRAMES_SQL} select source_id, frame // 64 as segment, count(*) as frames, cast(sum(event_id) as bigint) as ids from frames group by 1, 2")
+def _(spark, d):
+    """Frames in segments: written beside their place, counted and summed against the source, then named."""
+    f = frames(spark, d).select("source_id", "frame", "pts", "value", "event_id", F.floor(F.col("frame") / 64).alias("segment"))
+    kept = checked_write(Store(spark, "snk01"), f.repartition("source_id", "segment").sortWithinPartitions("source_id", "frame"), "frames")
+    return kept.groupBy("source_id", "segment").agg(F.count("*").alias("frames"), F.sum("event_id").alias("ids"))
+
+
+@query("snk02_numbered_outputs", f"with {FRAMES_SQL} select source_id, frame, 'segment=' || cast(frame // 100 as varchar) as folder, md5(props) as md5 from frames")
+def _(spark, d):
+    """Frames by the folder of their segment, with what their file says of them when it is read again."""
+    store = Store(spark, "snk02")
+    f = frames(spark, d).select("source_id", "frame", "props", F.floor(F.col("frame") / 100).alias("segment"))
+    store.write(f.repartition("segment", F.pmod("source_id", F.lit(16))).sortWithinPartitions("source_id", "frame"), "outputs", "segment")
+    read = spark.read.parquet(store.path("outputs"))
+    return read.select("source_id", "frame", F.regexp_extract(F.input_file_name(), r"/(segment=\d+)/", 1).alias("folder"), F.md5("props").alias("md5"))
+
+
+@query("snk16_unit_store", "select o_orderstatus as unit, cast(count(*) as bigint) as rows, case when o_orderstatus = 'F' then 'consumed' else 'kept' end as state from orders group by 1")
+def _(spark, d):
+    """Units saved, one taken and consumed: its rows are gone, its line in the ledger stays."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    units = Units(Store(spark, "snk16"), o.schema)
+    for unit in ("F", "O", "P"):  # the states of an order
+        units.save(unit, o.where(F.col("o_orderstatus") == unit))
+    units.take("F")
+    units.consume("F")
+    return units.ledger().select("unit", "rows", "state")
+
+
+@query("src20_replay", f"with {FRAMES_SQL}, k as (select min(source_id) as k from frames) select source_id, frame, value, 'first' as pass from frames union all select source_id, frame, value, 'again' from frames, k where source_id = k and frame >= 10")
+def _(spark, d):
+    """A source's first pass, and again from a place in one of its keys."""
+    f = frames(spark, d).select("source_id", "frame", "value")
+    replay = Replay(Store(spark, "src20"), f, "source_id", "frame")
+    first = replay.first()
+    return first.withColumn("pass", F.lit("first")).unionByName(replay.again(first.agg(F.min("source_id")).first()[0], 10).withColumn("pass", F.lit("again")))
+
+
+@query("src15_manifest", "select n_nationkey % 2 + 2 as version, n_nationkey, n_name as name, cast(n_regionkey as bigint) as start, cast(n_nationkey as bigint) as stop from nation")
+def _(spark, d):
+    """Manifests of two versions, written as JSON and read back by the reader that refuses any other."""
+    n = table(spark, d, "nation").select((F.col("n_nationkey") % 2 + 2).alias("version"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), F.array(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long")).alias("layout"))
+    path = Store(spark, "src15").path("manifests")
+    # a file for each manifest, as a job writes its own
+    n.repartition(25, "key").write.option("maxRecordsPerFile", 1).json(path)
+    return read_manifest(spark, path, "key long, name string, layout array<long>").select(F.col("version").cast("int").alias("version"), F.col("key").cast("int").alias("n_nationkey"), "name", F.col("layout")[0].alias("start"), F.col("layout")[1].alias("stop"))
 
 
 @query("ag09_disk_totals", "with s as (select o_custkey, count(*) as n, sum(case when o_orderstatus = 'F' then cast(floor(o_totalprice) as bigint) end) as done, count(case when o_orderstatus = 'F' then 1 end) as k from orders group by 1) select o_custkey, cast(done as bigint) as done, round(done + (n - k) * (done / k), 2) as expected from s where k > 0")
@@ -146,12 +206,19 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.when(F.bool_and(F.col("l_linenumber") < 13), F.sum(F.col("l_quantity").cast("long"))).alias("seconds"))
 
 
-@query("jn19_closure", """with recursive edge as (select n_nationkey as a, (n_nationkey * 2 + 1) % 25 as b from nation where n_nationkey < 12), reach(root, node) as (select n_nationkey, n_nationkey from nation union select r.root, e.b from reach r join edge e on r.node = e.a) select root, cast(count(*) as bigint) as needs from reach group by 1""")
+NEEDS = """pair as (select a.l_suppkey as a, b.l_suppkey as b from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey where a.l_linenumber = 2 and b.l_linenumber = 1 and a.l_suppkey <> b.l_suppkey),
+edge as (select a, min(b) as b from pair group by 1 union select a, max(b) from pair group by 1)"""
+
+
+@query("jn19_closure", f"with recursive {NEEDS}, reach(root, node) as (select s_suppkey, s_suppkey from supplier union select r.root, e.b from reach r join edge e on r.node = e.a) select root, cast(count(*) as bigint) as needs, max(node) as last from reach group by 1")
 def _(spark, d):
-    table(spark, d, "nation").createOrReplaceTempView("framewise_nation")
-    return spark.sql("""with recursive reach(root, node, depth) as (select n_nationkey, n_nationkey, 0 from framewise_nation
-        union all select r.root, (r.node * 2 + 1) % 25, depth + 1 from reach r where r.node < 12 and depth < 26)
-        select root, count(distinct node) as needs from reach group by root""")
+    """What each supplier needs, over a table of edges: the first and the last of those that it follows in an order."""
+    i = table(spark, d, "lineitem")
+    at = lambda n, name: i.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_suppkey").alias(name))
+    pair = at(2, "a").join(at(1, "b"), "l_orderkey").where("a <> b").groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    edges = pair.select("a", F.explode(F.array("lo", "hi")).alias("b"))
+    found = G.closure(edges, table(spark, d, "supplier").select(F.col("s_suppkey").alias("root")), Store(spark, "jn19"))
+    return found.groupBy("root").agg(F.count("*").alias("needs"), F.max("node").alias("last"))
 
 
 @query("jn18_lookup", "select s_suppkey, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
@@ -177,11 +244,10 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(packets, "o_orderkey", "left").select("o_orderkey", F.coalesce("packets", zero).alias("packets"), F.coalesce("bytes", zero).alias("bytes"))
 
 
-@query("src23_global_numbers", "with o as (select l_orderkey, count(*) as n from lineitem group by 1) select l_orderkey, n, cast(sum(n) over (partition by l_orderkey % 50 order by l_orderkey rows between unbounded preceding and current row) - n as bigint) as base from o")
+@query("src23_global_numbers", "with o as (select l_orderkey, count(*) as n from lineitem group by 1) select l_orderkey, n, cast(sum(n) over (order by l_orderkey rows between unbounded preceding and current row) - n as bigint) as base from o")
 def _(spark, d):
-    by = Window.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return o.withColumn("base", F.sum("n").over(by) - F.col("n"))
+    return G.running_base(o, ["l_orderkey"], "n", Store(spark, "src23"))
 
 
 @query("src01_declared", f"with {FRAMES_SQL} select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, nullif(coalesce(json_extract_string(props, '$.colour'), ''), '') as colour from frames")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators import cuts as C
+from framewise.operators import timeline as T
+from framewise.plans.cuts import RUNS
 from framewise.sources.bindings import FRAMES_SQL, frames, table
+from framewise.sources.shared import Store
 from framewise.streaming import detector as S
 
 QUERIES, ORACLES = {}, {}
@@ -22,30 +23,50 @@ def query(name: str, sql: str):
     return keep
 
 
-def replayed(spark: SparkSession, rows: DataFrame, order: str, batches: int, make) -> DataFrame:
-    """Runs ``make`` over ``rows`` as a stream of files in ``order`` and returns what its sink holds. Files lie in the
-    folder of spark.checkpoint.dir, so a restarted query goes on where it was."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    for i in range(batches):  # a file a batch, in order
-        rows.where((F.col(order) >= i * 20) & ((F.col(order) < (i + 1) * 20) | F.lit(i == batches - 1))).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    sink = make(stream)
-    run = sink.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(sink.schema).parquet(f"{root}/out")
+def replayed(rows: DataFrame, order: str, make, batches: int = 4) -> DataFrame:
+    """Runs ``make`` over ``rows`` as a stream of ``batches`` in ``order`` and returns what its sink holds. The rows are
+    written once, by batch; then the files of one batch after the other come to the stream, which each time goes on from
+    its checkpoint, all in the folder of spark.checkpoint.dir. A batch has as many files as its size asks for."""
+    spark = rows.sparkSession
+    store = Store(spark, "stream")
+    top = rows.agg(F.max(order)).first()[0] or 0
+    kept = store.write(rows.withColumn("batch", F.floor(F.col(order) * batches / (top + 1)).cast("int")), "rows", "batch")
+    for i in range(batches):
+        kept.where(F.col("batch") == i).drop("batch").write.mode("append").parquet(store.path("in"))
+        sink = make(spark.readStream.schema(rows.schema).parquet(store.path("in")))
+        run = sink.writeStream.format("parquet").option("path", store.path("out")).option("checkpointLocation", store.path("state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return store.read(sink, "out")
 
 
-@query("ss01_push_detector", f"with {FRAMES_SQL} select source_id, frame, round(avg(value) over (partition by source_id order by frame rows between 2 preceding and 2 following), 6) as score from frames where source_id < 12")
-def _(spark, d):
-    f = frames(spark, d).where("source_id < 12").select("source_id", "frame", "value")
+@query("ss01_push_detector", f"with {FRAMES_SQL} select source_id, frame, round(avg(value) over (partition by source_id order by frame rows between 2 preceding and 2 following), 6) as score from frames")
+def ss01_push_detector(spark, d):
+    f = frames(spark, d).select("source_id", "frame", "value")
     ends = f.groupBy("source_id").agg(F.max("frame").alias("end"))
     rows = f.join(ends, "source_id").select("source_id", "frame", "value", (F.col("frame") == F.col("end")).alias("last"))
-    return replayed(spark, rows, "frame", 4, S.pushed).select("source_id", "frame", F.round("score", 6).alias("score"))
+    return replayed(rows, "frame", S.pushed).select("source_id", "frame", F.round("score", 6).alias("score"))
 
 
-@query("ss10_request_states", """with s as (select conv_id, turn, case role when 'system' then 'starting' when 'user' then 'running' when 'assistant' then 'ready' else 'failed' end as state from conversations where conv_id < 40),
+@query("ss10_request_states", """with s as (select conv_id, turn, case role when 'system' then 'starting' when 'user' then 'running' when 'assistant' then 'ready' else 'failed' end as state from conversations),
 c as (select *, cast(lag(state, 1, 'new') over (partition by conv_id order by turn) <> state as int) as changed from s) select conv_id, turn, state, cast(sum(changed) over (partition by conv_id order by turn) as bigint) as changes from c""")
-def _(spark, d):
-    rows = table(spark, d, "conversations").where("conv_id < 40").select("conv_id", "turn", "role")
-    return replayed(spark, rows, "turn", 2, S.lifecycle)
+def ss10_request_states(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return replayed(rows, "turn", S.lifecycle, 2)
+
+
+SLICED = RUNS + """, idx as (select source_id, shot, frame - min(frame) over (partition by source_id, shot) as i, value from marked), e as (select source_id, shot, max(i) + 1 as n from idx group by 1, 2),
+w as (select *, case when n = 1 then 1 else greatest(5, 5 + cast(ceil((n - 5) / 4.0) as bigint) * 4) end as whole from e),
+pad as (select source_id, shot, unnest(range(n, whole)) as i, n from w), every as (select source_id, shot, i, value, false as padded from idx union all select p.source_id, p.shot, p.i, x.value, true from pad p join idx x on x.source_id = p.source_id and x.shot = p.shot and x.i = p.n - 1)
+select source_id, shot, case when i < 5 then 0 else (i - 5) // 4 + 1 end as slice, i, padded, round(avg(value) over (partition by source_id, shot order by i rows between 2 preceding and current row), 6) as causal from every"""
+
+
+@query("ss02_shot_slices", SLICED)
+def ss02_shot_slices(spark, d):
+    """Shots in slices of five, then four frames, each slice with what the one before left it; the last is padded."""
+    i = F.col("frame") - F.min("frame").over(Window.partitionBy("source_id", "shot"))
+    idx = C.with_shot(frames(spark, d)).select("source_id", "shot", i.alias("i"), "value")
+    sliced = T.slices(idx, ["source_id", "shot"])
+    ends = F.max("i").over(Window.partitionBy("source_id", "shot"))
+    rows = Store(spark, "slices").stage(sliced.withColumn("last", F.col("i") == ends), "rows")
+    told = replayed(rows.select("source_id", "shot", "i", "value", "last"), "i", S.causal_slices)
+    return rows.join(told, ["source_id", "shot", "i"]).select("source_id", "shot", "slice", "i", "padded", F.round("causal", 6).alias("causal"))

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as X
-from framewise.sources.bindings import table
+from framewise.operators import budget as B
+from framewise.sources.bindings import FRAMES_SQL, frames, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,6 +169,53 @@ def _(spark, d):
     return costs(spark, d).where("need <= 8000").select("p_partkey", "cap")
 
 
+PHASES = "ph as (select p_partkey, cap, unnest(['encode', 'sample', 'decode']) as phase, unnest([cast(800 + p_size * 40 as bigint), cast(need as bigint), cast(500 + cap * p_size * 3 as bigint)]) as need, 100 - cap as rank from (select p_partkey, p_size, cap, need from k join part using (p_partkey)))"
+
+
+@query("flt14_first_fit", f"with {COSTS}, {PHASES}, l as (select p_partkey, rank, phase, case phase when 'encode' then 2600 when 'sample' then 15000 else 5000 end - need as rest from ph), w as (select p_partkey, rank, min(rest) as worst, arg_min(phase, (rest, phase)) as tight from l group by 1, 2) select p_partkey, cast(min(case when worst >= 0 then rank end) as bigint) as rank, arg_min(tight, rank) filter (where worst >= 0) as tight from w group by 1")
+def _(spark, d):
+    """Of five caps, the longest first, the first that encode, sampling and decode all have room for."""
+    k = costs(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size")), "p_partkey")
+    phases = F.create_map(F.lit("encode"), 800 + F.col("size") * 40, F.lit("sample"), F.col("need"), F.lit("decode"), 500 + F.col("cap") * F.col("size") * 3)
+    needs = k.select("p_partkey", (100 - F.col("cap")).alias("rank"), F.explode(phases).alias("phase", "need"))
+    free = spark.createDataFrame([("encode", 2600), ("sample", 15000), ("decode", 5000)], "phase string, bytes long")
+    return B.first_fit(needs, free, ["p_partkey"])
+
+
+@query("st06_largest_with_fewest", "with c as (select p_partkey, p_size, unnest(range(1, 82)) as cap from part), e as (select p_partkey, cap, unnest(range(0, 37)) as away, p_size from c), f as (select * from e where 1000 + cap * p_size * 12 + greatest(cap - 21, 0) * 40 - case when away > 2 then (away - 2) * 150 else 0 end <= 12000) select p_partkey, cast(max(cap) as bigint) as cap, cast(min(away) filter (where cap = m) as bigint) as away from (select *, max(cap) over (partition by p_partkey) as m from f) group by 1")
+def _(spark, d):
+    """The longest window that fits with blocks moved away (one or two save nothing), and the fewest that must be."""
+    size = F.col("p_size").cast("long")
+    need = lambda cap, away: 1000 + cap * size * 12 + F.greatest(cap - 21, F.lit(0)) * 40 - F.greatest(away - 2, F.lit(0)) * 150
+    caps = F.sequence(F.lit(1).cast("long"), F.lit(81).cast("long"))
+    out = B.largest_with_fewest(table(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], caps, 36, need, F.lit(12000))
+    return out.select("p_partkey", "cap", F.col("away").cast("long").alias("away"))
+
+
+@query("st10_last_lines", f"with {FRAMES_SQL}, r as (select source_id, frame, value, row_number() over (partition by source_id order by frame desc) as i from frames where error) select source_id, cast(count(*) as bigint) as shown, string_agg(cast(frame as varchar), ' / ' order by frame) as lines from r where i <= 20 group by 1")
+def _(spark, d):
+    """The last twenty lines of each source's errors, in order."""
+    by = Window.partitionBy("source_id").orderBy(F.desc("frame"))
+    r = frames(spark, d).where("error").withColumn("i", F.row_number().over(by)).where("i <= 20")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("frame")), lambda x: x.cast("string")), " / ")
+    return r.groupBy("source_id").agg(F.count("*").alias("shown"), lines.alias("lines"))
+
+
+@query("sc05_zone_deadlines", """with o as (select o_orderkey, o_orderdate + to_minutes(cast(o_orderkey % 1440 as bigint)) as at_utc from orders), l as (select *, timezone('Europe/Berlin', timezone('UTC', at_utc)) as here from o),
+c as (select o_orderkey, at_utc, unnest([0, 1, 2]) as d, here from l), w as (select *, date_trunc('day', here) + to_days(d) + interval 150 minute as shown from c),
+i as (select o_orderkey, at_utc, shown, timezone('UTC', timezone('Europe/Berlin', shown)) + to_hours(unnest([-1, 0, 1])) as instant from w)
+select o_orderkey, strftime(min(instant), '%Y-%m-%d %H:%M') as deadline from i where instant > at_utc and timezone('Europe/Berlin', timezone('UTC', instant)) = shown group by 1""")
+def _(spark, d):
+    """The next time that a clock in Berlin shows 02:30: an hour that is skipped in spring shows no such time, one that
+    comes twice in autumn shows it twice."""
+    utc = F.expr("cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, 0, cast(o_orderkey % 1440 as int))")
+    o = table(spark, d, "orders").select("o_orderkey", utc.alias("at"))
+    here = lambda c: F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), c)
+    w = o.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("shown", F.expr("cast(date_trunc('DAY', convert_timezone('UTC', 'Europe/Berlin', at)) as timestamp_ntz) + make_dt_interval(d, 2, 30)"))
+    i = w.withColumn("h", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("instant", F.expr("convert_timezone('Europe/Berlin', 'UTC', shown) + make_dt_interval(0, h)"))
+    return i.where((F.col("instant") > F.col("at")) & (here(F.col("instant")) == F.col("shown"))).groupBy("o_orderkey").agg(F.date_format(F.min("instant"), "yyyy-MM-dd HH:mm").alias("deadline"))
+
+
 @query("snk15_record", "select p_partkey, 'brand=' || p_brand || ';size=' || p_size || ';type=' || p_type as fields from part")
 def _(spark, d):
     m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type"))

@@ -52,6 +52,28 @@ def batch(frames: DataFrame, side: int = 2) -> DataFrame:
     return frames.select("source_id", "frame", F.avg("value").over(by).alias("score"))
 
 
+def _causal(reach: int):
+    def slice_(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("i")
+        values = held + rows["value"].tolist()
+        sums = [sum(near) / len(near) for near in (values[max(j - reach, 0) : j + 1] for j in range(len(held), len(values)))]
+        if bool(rows["last"].any()):
+            state.remove()  # a shot's memory ends with it
+        else:
+            state.update((values[-reach:],))
+        yield pd.DataFrame({"source_id": key[0], "shot": key[1], "i": rows["i"].to_numpy(), "causal": sums})
+
+    return slice_
+
+
+def causal_slices(stream: DataFrame, reach: int = 2) -> DataFrame:
+    """(source_id, shot, i, causal) of ``stream(source_id, shot, i, value, last)``: the mean of a frame and up to
+    ``reach`` before it in its shot. What a slice leaves to the next is the last ``reach`` values; they are forgotten at the
+    end of the shot. Slices of a shot must arrive in order."""
+    return stream.groupBy("source_id", "shot").applyInPandasWithState(_causal(reach), "source_id long, shot long, i long, causal double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     before, count = state.get if state.exists else ("new", 0)
     out = []
