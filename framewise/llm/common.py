@@ -44,7 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         if spark.conf.get(self.BATCH) == "10000":
             spark.conf.set(self.BATCH, "2000")
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.staged = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -55,8 +55,15 @@ class Workspace:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._framewise_path = path
+        self.staged.append(path)
         return out
 
+    def keep_only(self, *frames: DataFrame, since: int = 0) -> None:
+        """Removes the tables staged from number ``since`` on but for ``frames``."""
+        kept = {f._framewise_path for f in frames}
+        self.drop(*[p for p in self.staged[since:] if p not in kept])
+        self.staged[since:] = [p for p in self.staged[since:] if p in kept]
+
     def drop(self, *frames: DataFrame | str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame in frames:

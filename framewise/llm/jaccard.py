@@ -316,7 +316,7 @@ def join_components(documents: DataFrame, work: Workspace, k: int = 3, num: int
 
 def _components(docs: DataFrame, work: Workspace, k: int, num: int, den: int, block: int, few: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
     """The result of ``join_components`` by hashes of one seed, and the links that made its components."""
-    schema = "doc_id long, n long, sig_a long, sig_b long, head binary"
+    began, schema = len(work.staged), "doc_id long, n long, sig_a long, sig_b long, head binary"
     heads = work.stage(docs.mapInPandas(_read_sets(k, num, den, False, seed), schema), "heads", "none")
     same = ["n", "sig_a", "sig_b"]
     keys = work.stage(heads.select("doc_id", *same), "keys")
@@ -339,9 +339,12 @@ def _components(docs: DataFrame, work: Workspace, k: int, num: int, den: int, bl
     links = work.stage(_links(_smallest(sets, parts, num, den), sets.join(parts, "doc_id"), work, True, num, den, block), "links")
     parts = work.stage(sets.select("doc_id").join(connected_components(links, work), F.col("node") == F.col("doc_id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "parts")
     more = work.stage(_links(_still_open(sets, parts, work, num, den), sets.join(parts, "doc_id"), work, False, num, den, block), "links")
+    told = [links, more]
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = work.stage(sets.select("doc_id").join(connected_components(links, work), F.col("node") == F.col("doc_id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "parts")
+    # what follows reads no sets or hashes, so their room is free for the texts that are looked at again
+    work.keep_only(keys, classes, parts, *told, since=began)
     # a class has the component of its smallest document
     classes = classes.join(parts.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = keys.join(classes, same, "left")
