@@ -60,7 +60,7 @@ class WordEncoder:
     add_special_tokens=False)``: such a string is that token, as the library reads it.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -151,7 +151,7 @@ def cuts(marked: list[int], n: int, least: int, most: int) -> list[int]:
     return ends
 
 
-def _blocks(texts: pa.Array, limit: int = 1 << 23) -> Iterator[pa.Array]:
+def _blocks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[pa.Array]:
     """Texts in stretches of about ``limit`` bytes."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -188,6 +188,7 @@ def _encode(path: str, end_id: int, bits: int, least: int, most: int) -> Callabl
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], [f.split(" ")[0] for f in STORED.split(", ")])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return read
 
