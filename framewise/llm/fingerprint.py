@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 
-#: Characters of scripts that put no spaces between words.
-ALONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-SYMBOL = rf"[^\s{ALONE}]{{1,12}}+(?![^\s{ALONE}])|\S"
+#: What makes words, by blocks, the signs of most texts first, as a class is tried in order. Left out, so
+#: symbols of their own, are scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, Han, Kana.
+INSIDE = r"[!-~\x{A1}-\x{DFF}\x{F00}-\x{FFF}\x{10A0}-\x{177F}\x{1800}-\x{1FFF}\x{2010}-\x{2027}\x{2030}-\x{2DFF}\x{A000}-\x{F8FF}\x{FB00}-\x{FEFF}\x{FF00}-\x{FFEF}\x{10000}-\x{1FFFF}]"
+SYMBOL = rf"{INSIDE}{{1,12}}+(?!{INSIDE})|\S"
 #: Bits of a packed number that hold a position in the text; the rest holds a hash. The longest text that Spark holds has
 #: fewer than 2 ** 31 bytes, so no more symbols.
 AT = 31
@@ -35,22 +36,24 @@ def fingerprints(texts: DataFrame, text: str, out: str, k: int = 3, keep: int =
     A null text is empty; an empty text, or one of spaces, has no numbers; a text of fewer than ``k`` symbols has one
     k-mer, all of it. Equal texts have equal fingerprints.
     """
-    t, p, s, c = f"_{out}_t", f"_{out}_p", f"_{out}_s", f"_{out}_c"
+    t, p, s, b, c = (f"_{out}_{x}" for x in "tpsbc")
     symbols, packed, chosen = F.col(t), F.col(p), F.col(s)
     df = texts.withColumn(t, F.regexp_extract_all(text_or_empty(text), F.lit(SYMBOL), F.lit(0)))
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(symbols) - k, F.lit(0))), lambda i: _pack(F.xxhash64(*[F.get(symbols, i + j) for j in range(k)]), i))
     df = df.withColumn(p, F.sort_array(F.when(F.size(symbols) > 0, grams).otherwise(F.array().cast("array<bigint>")))).drop(t)
-    high = F.transform(packed, lambda x: F.shiftright(x, AT))
+    high = lambda x: F.shiftright(x, AT)
+    # equal k-mers are neighbours in the order of the text: where runs of them begin, and from that the numbers within
+    # each run. Most short texts have no repeats and are spared both; a column used twice is not computed in here
+    repeats = F.size(F.array_distinct(F.transform(packed, high))) < F.size(packed)
+    begins = F.filter(F.sequence(F.lit(0), F.size(packed) - 1), lambda j: (j == 0) | (high(F.get(packed, j - 1)) != high(F.get(packed, j))))
+    df = df.withColumn(b, F.when(repeats, begins).otherwise(F.array().cast("array<int>")))
+    runs = F.transform(F.col(b), lambda start, k: F.sequence(F.lit(0), F.coalesce(F.get(F.col(b), k + 1), F.size(packed)) - start - 1))
+    df = df.withColumn(c, F.when(F.size(F.col(b)) > 0, F.flatten(runs)).otherwise(F.array().cast("array<int>")))
 
     def numbered(x: Column, j: Column) -> Column:
-        # equal k-mers are neighbours in the order of the text: only repeats look for the first of their run
-        # the size is asked first: it spares texts without repeats, and a column used twice is not computed in here
-        again = (F.size(F.col(c)) > 0) & (F.shiftright(F.get(packed, j - 1), AT) == F.shiftright(x, AT))
-        n = F.when(again, j - F.array_position(F.col(c), F.shiftright(x, AT)).cast("int") + 1).otherwise(F.lit(0))
-        return _pack(F.xxhash64(F.shiftright(x, AT), n), x)
-
-    df = df.withColumn(c, F.when(F.size(F.array_distinct(high)) < F.size(packed), high).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(s, F.sort_array(F.transform(packed, numbered))).drop(p, c)
+        return _pack(F.xxhash64(high(x), F.when(F.size(F.col(c)) > 0, F.get(F.col(c), j)).otherwise(0)), x)
+
+    df = df.withColumn(s, F.sort_array(F.transform(packed, numbered))).drop(p, b, c)
     bucket = lambda x: F.shiftright(x, 64 - bits)
     least = F.filter(chosen, lambda x, j: (j < keep) | (bucket(F.get(chosen, j - keep)) != bucket(x)))
     # again by bucket, now in the order of the text: (bucket, position, hash)
