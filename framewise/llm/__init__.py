@@ -1 +1 @@
-"""Training-data operators: ten jobs over text tables, each a plain function of DataFrames."""
+"""Training-data operators: thirteen jobs over text tables, each a plain function of DataFrames."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, lines, mixing, pii, tokens, toxicity, urls
-from .common import Workspace, table
+from . import bpe, chat, decontaminate, fingerprint, jaccard, lines, manifest, mixing, pii, repair, tokens, toxicity, urls
+from .common import Workspace, ascii_lower, table
 
 
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,46 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op3_line_templates": op3_line_templates, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The turns with the damage of the contract: by a hash of conversation and turn, some are dropped, emptied, robbed of
+    their sentence ends, repeated or given to the user. Nulls, but for those in turn and conversation themselves, are a
+    space."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    text = F.when(lot == 1, "").when(lot == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    role = F.when(lot == 4, "user").otherwise(known("role"))
+    copies = F.when(lot == 0, 0).when(lot == 3, 2).otherwise(1)
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    told = repair.repaired(damaged(turns), Workspace(spark, "op11")).conversations
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(told, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    leaves = documents.select("doc_id", "source", manifest.leaf(*values, F.col("text")).alias("digest"), manifest.leaf(*values, tampered).alias("shown"))
+    made = manifest.manifest(leaves, "source", ["doc_id"], Workspace(spark, "op12")).proofs
+    found = made.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), manifest.folded(F.col("shown"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = codec.decode(codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_personal_data": op2_personal_data, "op3_line_templates": op3_line_templates, "op4_order_minhash": op4_order_minhash, "op5_url_rules": op5_url_rules, "op6_toxicity": op6_toxicity, "op7_token_store": op7_token_store, "op8_chat_format": op8_chat_format, "op9_jaccard_join": op9_jaccard_join, "op10_soft_mix": op10_soft_mix, "op11_conversation_repair": op11_conversation_repair, "op12_merkle_manifest": op12_merkle_manifest, "op13_byte_bpe": op13_byte_bpe}
 #: Words that DuckDB's patterns and Java's see alike: runs of letters and digits.
 OP1 = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null and text is not null),
 b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark where item_id is not null and text is not null),
