@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -40,9 +41,11 @@ LATE = (
     "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
     "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
 )
+#: Any character from the first of them on; texts without one, as most in Latin letters, are not searched for each.
+HIGH = re.compile("[\u0558-\U0010ffff]")
 #: Cuts that are looked up together.
 BLOCK = 1 << 18
-#: Merged cuts of at most so many bytes are kept for later blocks, at most so many of them.
+#: Merged cuts of at most so many bytes are kept for later blocks, at most twice so many of them.
 KEPT_BYTES, KEPT = 64, 1 << 18
 #: Keys a bucket of the perfect hash has on average, and seeds that are tried before a larger first seed is taken.
 LOAD, TRIES = 4, 1 << 16
@@ -150,9 +153,17 @@ class Vocabulary:
         return np.cumsum(self.sizes) - self.sizes
 
     @cached_property
-    def kept(self) -> dict[bytes, np.ndarray]:
+    def kept(self) -> dict[bytes, bytes]:
         return {}
 
+    @cached_property
+    def older(self) -> dict[bytes, bytes]:
+        return {}
+
+    @cached_property
+    def single(self) -> list[int]:
+        return [self.ranks[bytes([b])] for b in range(256)]
+
     @cached_property
     def flat(self) -> np.ndarray:
         return np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -173,35 +184,44 @@ class Vocabulary:
     def merged(self, cut: bytes) -> list[int]:
         """Tier two: the ids of a cut that is no token. Of neighbours whose joint bytes are a token, those of least rank are
         joined first, and of equal ones the leftmost."""
-        n, ranks = len(cut), self.ranks
+        n, ranks, shift = len(cut), self.ranks, len(cut).bit_length()
+        most = (1 << shift) - 1
+        ids = [self.single[b] for b in cut]  # of the part that begins here
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # where the part that begins here ends; where the one before it begins
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(cut[i : i + 2])) is not None]
+        heap = [(r << shift | i) << shift | i + 2 for i in range(n - 1) if (r := ranks.get(cut[i : i + 2])) is not None]  # rank, begin, end
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            first = heapq.heappop(heap)
+            end = first & most
+            first >>= shift
+            i = first & most
             middle = after[i]
             if middle < 0 or middle >= end or after[middle] != end:
                 continue  # one of the two has been joined with another since
+            ids[i] = first >> shift
             after[i], after[middle] = end, -1
             if end < n:
                 before[end] = i
                 if (r := ranks.get(cut[i : after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
+                    heapq.heappush(heap, (r << shift | i) << shift | after[end])
             j = before[i]
             if j >= 0 and (r := ranks.get(cut[j:end])) is not None:
-                heapq.heappush(heap, (r, j, end))
+                heapq.heappush(heap, (r << shift | j) << shift | end)
         out, i = [], 0
         while i < n:
-            out.append(ranks[cut[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
-    def merged_once(self, cut: bytes) -> np.ndarray:
-        """``merged``, remembered for short cuts; what is kept is forgotten when it is full."""
-        if (ids := self.kept.get(cut)) is None:
-            ids = np.array(self.merged(cut), "<u4")
+    def merged_once(self, cut: bytes) -> bytes:
+        """``merged``, remembered for short cuts: those since the last time that so many were kept, and those before."""
+        ids = self.kept.get(cut)
+        if ids is None:
+            ids = self.older.pop(cut, None) or array("I", self.merged(cut)).tobytes()  # four bytes, little-endian, on these machines
             if len(cut) <= KEPT_BYTES:
                 if len(self.kept) >= KEPT:
+                    self.older.clear()
+                    self.older.update(self.kept)
                     self.kept.clear()
                 self.kept[cut] = ids
         return ids
@@ -209,7 +229,7 @@ class Vocabulary:
     def cuts_of(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         """(number of the text, some of its cuts), in order; a long text comes in several pieces."""
         for at, text in enumerate(texts):
-            late = self.late.search(text)
+            late = HIGH.search(text) and self.late.search(text)
             if len(text) < 1 << 20 and not late:
                 yield at, self.cut.findall(text)
             else:
@@ -253,13 +273,13 @@ class Vocabulary:
         missing = np.flatnonzero(rank < 0)
         more = [self.merged_once(data[a:b]) for a, b in zip(np.where(missing, ends[missing - 1], 0).tolist(), ends[missing].tolist(), strict=True)]
         sizes = np.ones(len(ends), np.int64)
-        sizes[missing] = [len(m) for m in more]
+        sizes[missing] = np.fromiter(map(len, more), np.int64, len(more)) // 4
         starts = np.cumsum(sizes) - sizes
         flat = np.zeros(int(sizes.sum()), "<u4")
         found = np.flatnonzero(rank >= 0)
         flat[starts[found]] = rank[found]
         if more:
-            flat[_ragged(starts[missing], sizes[missing])] = np.concatenate(more)
+            flat[_ragged(starts[missing], sizes[missing])] = np.frombuffer(b"".join(more), "<u4")
         n_ids = sizes[which]
         return flat[_ragged(starts[which], n_ids)], n_ids
 
