@@ -35,13 +35,6 @@ def e4m3(x: Column) -> Column:
     return F.least(F.greatest(F.rint(x / step) * step, F.lit(-448.0)), F.lit(448.0))
 
 
-def rotated(v: str, n: int) -> Column:
-    """Walsh-Hadamard transform of n = 2^k values over sqrt(n): the sign of a term is the parity of the common bits."""
-    idx = F.sequence(F.lit(0), F.lit(n - 1))
-    term = lambda i: F.aggregate(F.transform(F.col(v), lambda x, j: F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x) / n**0.5
-    return F.transform(idx, term)
-
-
 def low_band(v: str, d: int, n: int) -> Column:
     """One à-trous stage: 1-2-1 weights at distance d, edges repeated."""
     at = lambda i: F.get(F.col(v), F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)))

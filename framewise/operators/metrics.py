@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,29 +51,6 @@ def allocated(strata: DataFrame, size: str, total: int) -> DataFrame:
     return one.withColumn("take", F.least(F.greatest(take, F.lit(1).cast("long")), F.col(size))).drop("_one", "_share", "_rest", "_given")
 
 
-def bootstrap(block: int, draws: int, seed: int = 0):
-    """Function for applyInPandas over (group, seq, value): mean and 95 % interval from moving-block draws."""
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values("seq")["value"].to_numpy(float)
-        group = rows["grp"].iloc[0]
-        rng = np.random.default_rng([seed, int(group)])
-        n, size = len(v), min(block, len(v))
-        # a draw's sum is that of its blocks, which differences of running sums give; the last block is cut to length
-        whole, rest, before = n // size, n % size, np.concatenate([[0.0], np.cumsum(v)])
-        means = np.empty(draws)
-        for k in range(draws):  # one draw at a time: memory for one a group, however long it is
-            starts = rng.integers(0, n - size + 1, math.ceil(n / size))
-            ends = starts + size
-            if rest:
-                ends[whole] = starts[whole] + rest
-            means[k] = (before[ends] - before[starts]).sum() / n
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"grp": [group], "mean": [v.mean()], "low": [low], "high": [high]})
-
-    return draw
-
-
 def column_sums(vectors: DataFrame) -> DataFrame:
     """(pos, sum2, count) over all vectors: partial sums in each task, then their sum, so the shuffle carries a row for
     each column and task."""

@@ -20,72 +20,10 @@ def gaussian(size: int, sigma: float) -> tuple[float, ...]:
     return tuple(x / sum(raw) for x in raw)
 
 
-def _mirrored(p: Column, n: int) -> Column:
-    """A place beyond an edge as the one that mirrors it; the edge itself is not repeated."""
-    p = F.abs(p)
-    return F.when(p > n - 1, 2 * (n - 1) - p).otherwise(p)
-
-
-def filtered(df: DataFrame, name: str, out: str, width: int, height: int, kernel: tuple[float, ...]) -> DataFrame:
-    """Adds ``out``: the picture in column ``name`` through a kernel along both sides, one side after the other. Each
-    pass is a column of its own, as every place looks into it."""
-    reach, places = len(kernel) // 2, F.sequence(F.lit(0), F.lit(width * height - 1))
-    if reach >= min(width, height):
-        raise ValueError(f"a kernel of {len(kernel)} is too long for pictures of {width} x {height}")
-
-    def along(v: Column, i: Column, x: bool) -> Column:
-        row, col = F.floor(i / width).cast("int"), i % width
-        at = lambda k: row * width + _mirrored(col + k, width) if x else _mirrored(row + k, height) * width + col
-        total = None
-        for k, weight in enumerate(kernel, -reach):
-            term = F.lit(weight) * F.get(v, at(k).cast("int"))
-            total = term if total is None else total + term
-        return total
-
-    df = df.withColumn(f"_{out}", F.transform(places, lambda i: along(F.col(name), i, True)))
-    return df.withColumn(out, F.transform(places, lambda i: along(F.col(f"_{out}"), i, False))).drop(f"_{out}")
-
-
-def product(a: str, b: str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x * y)
-
-
 def mean(v: Column | str) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
 
 
-def ssim(df: DataFrame, a: str, b: str, width: int, height: int, peak: float = 255.0) -> DataFrame:
-    """Adds ssim: mean structural similarity of two pictures, by a Gaussian window of 11 with a deviation of 1.5."""
-    kernel, c1, c2 = gaussian(11, 1.5), (0.01 * peak) ** 2, (0.03 * peak) ** 2
-    columns = df.columns
-    df = df.withColumn("_aa", product(a, a)).withColumn("_bb", product(b, b)).withColumn("_ab", product(a, b))
-    for name in (a, b, "_aa", "_bb", "_ab"):
-        df = filtered(df, name, f"_m{name}", width, height, kernel)
-    each = F.transform(F.arrays_zip(F.col(f"_m{a}").alias("a"), F.col(f"_m{b}").alias("b"), F.col("_m_aa").alias("aa"), F.col("_m_bb").alias("bb"), F.col("_m_ab").alias("ab")), lambda m: (2 * m["a"] * m["b"] + c1) * (2 * (m["ab"] - m["a"] * m["b"]) + c2) / ((m["a"] * m["a"] + m["b"] * m["b"] + c1) * (m["aa"] - m["a"] * m["a"] + m["bb"] - m["b"] * m["b"] + c2)))
-    return df.withColumn("_each", each).select(*columns, mean("_each").alias("ssim"))
-
-
-def laplacian_variance(df: DataFrame, name: str, width: int, height: int) -> DataFrame:
-    """Adds laplacian: variance of the sum of a place's four neighbours less four times itself."""
-    v = F.col(name)
-
-    def at(i: Column) -> Column:
-        row, col = F.floor(i / width).cast("int"), i % width
-        near = [row * width + _mirrored(col + k, width) for k in (-1, 1)] + [_mirrored(row + k, height) * width + col for k in (-1, 1)]
-        return F.get(v, near[0].cast("int")) + F.get(v, near[1].cast("int")) + F.get(v, near[2].cast("int")) + F.get(v, near[3].cast("int")) - 4 * F.get(v, i)
-
-    df = df.withColumn("_lap", F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)).withColumn("_m", mean("_lap"))
-    return df.withColumn("laplacian", mean(F.transform("_lap", lambda x: (x - F.col("_m")) * (x - F.col("_m"))))).drop("_lap", "_m")
-
-
-def local_deviation(df: DataFrame, name: str, width: int, height: int, size: int = 9) -> DataFrame:
-    """Adds deviation: the mean over all places of the standard deviation within a square of ``size``."""
-    box = (1.0 / size,) * size
-    df = filtered(filtered(df.withColumn("_sq", product(name, name)), name, "_mean", width, height, box), "_sq", "_mean2", width, height, box)
-    each = F.zip_with("_mean2", "_mean", lambda s, m: F.sqrt(F.greatest(s - m * m, F.lit(0.0))))
-    return df.withColumn("deviation", mean(each)).drop("_sq", "_mean", "_mean2")
-
-
 def block_means(name: str, width: int, height: int, block: int) -> Column:
     """Means of squares of ``block`` places, row by row; sides are multiples of it."""
     across = width // block

@@ -76,3 +76,22 @@ def deep_diff(a: DataFrame, b: DataFrame, keys: list[str], record: str, store: S
     for more in found[1:]:
         out = out.unionByName(more)
     return out.select(*columns)
+
+
+def read_once(rows: DataFrame, file: str, order: str, payload: list[str], store: Store, chunk: int = 1024) -> DataFrame:
+    """(file, order, place, offset, size, file_size, file_digest): where each row's payload lies in its file, and a digest of
+    the file, from one scan that reads each payload once: it leaves a size and a SHA-256 a row, and all else follows from
+    those. A payload is its columns as texts, each behind its length in bytes, null as ``-``. The digest of a file is that of
+    the digests of its chunks of ``chunk`` rows in order, put together as text, a chunk's that of its rows'; so it does not
+    depend on how rows lie in tasks. Orders are unique in a file."""
+    from .sampling import running  # the running sums there stage what they are given: the only scan
+
+    text = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    whole = F.concat(*map(text, payload))
+    seen = rows.select(file, order, F.octet_length(whole).cast("long").alias("size"), F.sha2(whole, 256).alias("_digest"), F.lit(1).alias("_one"))
+    placed = store.stage(running(seen, [file], [order], {"_upto": "size", "_place": "_one"}, store), "placed")
+    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "_digest"))), lambda x: x["_digest"]), ""), 256)
+    chunks = placed.groupBy(file, F.expr(f"(_place - 1) div {chunk}").alias("_chunk")).agg(joined("_place").alias("_digest"), F.max("_upto").alias("_end"))
+    files = chunks.groupBy(F.col(file).alias("_file")).agg(joined("_chunk").alias("file_digest"), F.max("_end").alias("file_size"))
+    out = placed.join(files, F.col(file).eqNullSafe(F.col("_file")))
+    return out.select(file, order, (F.col("_place") - 1).alias("place"), (F.col("_upto") - F.col("size")).alias("offset"), "size", "file_size", "file_digest")

@@ -65,6 +65,15 @@ def stratified(labelled: DataFrame, sizes: DataFrame, stratum: list[str], row: l
     return told.select("rule", "metric", "point", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"), "difference", F.get("g", F.lit(0)).alias("difference_low"), F.get("g", F.lit(1)).alias("difference_high"))
 
 
+def meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` joined with ``b`` on equal keys, nulls too."""
+    other = b.withColumnsRenamed({k: f"_{k}_b" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_b"))
+    return a.join(other, same).drop(*[f"_{k}_b" for k in keys])
+
+
 def running(rows: DataFrame, groups: list[str], order: list, sums: dict[str, str], store: Store) -> DataFrame:
     """Adds, for each ``name: value`` of ``sums``, the sum of the value over the rows of the group up to and with this one.
     Ranges of rows are summed apart and a row a range and group is brought together, so no group meets in one task.
@@ -75,7 +84,7 @@ def running(rows: DataFrame, groups: list[str], order: list, sums: dict[str, str
     parts = parts.select(*groups, "_part", *[F.coalesce(F.sum(f"_before_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
     inside = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = dealt.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()})
-    return own.join(parts, [*groups, "_part"]).withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop("_part", *[f"_before_{n}" for n in sums])
+    return meet(own, parts, [*groups, "_part"]).withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop("_part", *[f"_before_{n}" for n in sums])
 
 
 def blocks(series: DataFrame, group: str, at: str, value: str, block: int, store: Store, draws: int = 200, seed: int = 0, span: float = 0.95) -> DataFrame:
@@ -106,7 +115,7 @@ def thresholds(scored: DataFrame, groups: list[str], score: str, truth: str, wei
     each = scored.groupBy(*groups, score).agg(right.alias("_right"), (F.sum(weight) - right).alias("_wrong"))
     there = each.groupBy(*groups).agg(F.sum("_right").alias("_there"))
     sums = running(each.where(F.col(score).isNotNull()), groups, [F.desc(score)], {"right": "_right", "wrong": "_wrong"}, store)
-    out = sums.join(there, groups).join(hours, groups)
+    out = meet(meet(sums, there, groups), hours, groups)
     per_hour = lambda c: F.try_divide(c, F.col("hours"))
     return out.select(*groups, F.col(score).alias("threshold"), (F.col("right") + F.col("wrong")).alias("found"), F.try_divide(F.col("right"), F.col("_there")).alias("recall"), F.try_divide(F.col("right"), F.col("right") + F.col("wrong")).alias("precision"), per_hour(F.col("_there") - F.col("right")).alias("missed_per_hour"), per_hour(F.col("wrong")).alias("false_per_hour"))
 

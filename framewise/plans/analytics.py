@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators import codecs as K
 from framewise.operators import metrics as M
+from framewise.operators import rasters as R
 from framewise.sources.bindings import FRAMES_SQL, VECTORS_SQL, frames, table, vectors
 
 QUERIES, ORACLES = {}, {}
@@ -146,12 +147,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.count_if(F.col("l_linenumber") != 1) * 1080 * 6).alias("bytes"))
 
 
-@query("ag17_bootstrap")
-def _(spark, d):
-    rows = frames(spark, d).select(F.col("source_id").alias("grp"), F.col("frame").alias("seq"), "value")
-    return rows.groupBy("grp").applyInPandas(lambda p: M.bootstrap(10, 200)(p), "grp long, mean double, low double, high double")
-
-
 PAIR = f"with {VECTORS_SQL}, pair as (select a.vec_id, a.v as a, b.v as b from vectors a join vectors b on b.vec_id = a.vec_id + 1)"
 
 
@@ -195,7 +190,7 @@ def _(spark, d):
 
 @query("sc10_rotated", f"with {VECTORS_SQL}, x as (select vec_id, unnest(v) as x, unnest(range(0, 64)) as j from vectors), r as (select vec_id, x, j, unnest(range(0, 64)) as i from x) select vec_id, i, round(sum(case when bit_count(i & j) % 2 = 0 then x else -x end) / 8, 5) + 0.0 as x from r group by 1, 2")
 def _(spark, d):
-    out = vectors(spark, d).select("vec_id", F.posexplode(K.rotated("v", 64)).alias("i", "x"))
+    out = R.rotated(vectors(spark, d), "v", "r").select("vec_id", F.posexplode("r").alias("i", "x"))
     return out.select("vec_id", F.col("i").cast("long").alias("i"), (F.round("x", 5) + 0.0).alias("x"))
 
 

@@ -86,14 +86,15 @@ MOVING = f"""with {FRAMES_SQL}, cents as (select source_id, frame, cast(round(va
 k as (select *, unnest(range(1, {DRAWS + 1})) as draw from n), b as (select *, unnest(range(0, (n + size - 1) // size)) as block from k),
 s as (select *, {lot_sql("'5:' || grp || ':' || draw || ':' || block")} % (n - size + 1) as start, least(size, n - block * size) as length from b),
 m as (select grp, draw, sum(cents) / any_value(n) as m from s join cents f on f.source_id = grp and f.frame >= start and f.frame < start + length group by 1, 2),
-q as (select grp, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by 1) select grp, mean, low, high from n join q using (grp)"""
+q as (select grp, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by 1) select grp, mean / 100 as mean, low / 100 as low, high / 100 as high from n join q using (grp)"""
 
 
-@query("ag17_moving_blocks", MOVING)
-def ag17_moving_blocks(spark, d):
+@query("ag17_bootstrap", MOVING)
+def ag17_bootstrap(spark, d):
     """In whole cents, so that every sum is exact in any order."""
     rows = frames(spark, d).select(F.col("source_id").alias("grp"), "frame", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return S.blocks(rows, "grp", "frame", "cents", 10, Store(spark, "blocks"), DRAWS, 5)
+    out = S.blocks(rows, "grp", "frame", "cents", 10, Store(spark, "blocks"), DRAWS, 5)
+    return out.select("grp", *[(F.col(c) / 100).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("ag14_thresholds", DOUBLES + """, e as (select lang, n_chars, sum(case when truth then wt else 0 end) as r, sum(wt) - sum(case when truth then wt else 0 end) as x from v group by 1, 2),
@@ -119,3 +120,11 @@ t as (select lang, source, size, least(greatest(share + cast(i <= 100 - given as
 select doc_id, r.lang, r.source, size as stratum_size, size / take as weight from r join t on t.lang is not distinct from r.lang and t.source is not distinct from r.source where i <= take""")
 def st03_sample(spark, d):
     return S.sampled(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"], 100, 7)
+
+
+@query("src14_read_once", """with p as (select source, doc_id, coalesce(strlen(text) || ':' || text, '-') || coalesce(strlen(lang) || ':' || lang, '-') as whole from documents),
+r as (select source, doc_id, cast(strlen(whole) as bigint) as size, sha256(whole) as digest, row_number() over (partition by source order by doc_id) - 1 as place from p),
+c as (select source, place // 64 as chunk, sha256(string_agg(digest, '' order by place)) as digest from r group by 1, 2), f as (select source, sha256(string_agg(digest, '' order by chunk)) as file_digest from c group by 1)
+select source, doc_id, place, cast(sum(size) over (partition by source order by doc_id) - size as bigint) as "offset", size, cast(sum(size) over (partition by source) as bigint) as file_size, file_digest from r join f using (source)""")
+def src14_read_once(spark, d):
+    return R.read_once(table(spark, d, "documents"), "source", "doc_id", ["text", "lang"], Store(spark, "once"), 64)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators import metrics as M
 from framewise.operators import pictures as P
+from framewise.operators import rasters as R
 from framewise.plans.analytics import PAIR, pairs
 from framewise.plans.frames import SAMPLES, samples
 
@@ -52,7 +53,7 @@ select vec_id, round(list_sum(list_transform(list_zip(a, b), lambda x: (x[1] - x
 def ag18_quality(spark, d):
     """Pictures of eight by eight against the next one: error, structure, sharpness, local deviation, change, blocks."""
     p = pairs(spark, d).select("vec_id", *[F.transform(c, lambda x: x * 100 + 128).alias(c) for c in "ab"])
-    p = P.local_deviation(P.laplacian_variance(P.ssim(p, "a", "b", SIDE, SIDE), "a", SIDE, SIDE), "a", SIDE, SIDE)
+    p = R.quality(p, "a", "b", (SIDE, SIDE), G11)
     change = P.mean(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
     p = p.withColumn("blocks", P.block_means("a", SIDE, SIDE, 4))
     blocks = [F.round(F.col("blocks")[k], 4).alias(f"block_{k}") for k in range(4)]

@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from framewise.operators import records, sampling
 from framewise.sources.shared import Store

@@ -5,7 +5,6 @@ import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewise import registry
-from framewise.operators import codecs, cuts, layout, ledger, metrics, pictures, timeline
+from framewise.operators import cuts, layout, ledger, pictures, rasters, timeline
 from framewise.sources import shared
 from framewise.sources.bindings import frames
 from framewise.sources.shared import Store
@@ -211,29 +210,17 @@ def test_colour_differences_are_the_published_ones(spark):
 
 def test_equal_pictures_are_alike(spark):
     df = spark.createDataFrame([([float(i * 7 % 50) for i in range(144)],)], "a array<double>").withColumn("b", F.col("a")).withColumn("c", F.transform("a", lambda x: 50 - x))
-    assert abs(pictures.ssim(df, "a", "b", 12, 12).first()["ssim"] - 1) < 1e-9 > pictures.ssim(df, "a", "c", 12, 12).first()["ssim"] - 0.9
-    with pytest.raises(ValueError, match="too long"):
-        pictures.ssim(df, "a", "b", 36, 4)
+    kernel = pictures.gaussian(11, 1.5)
+    assert abs(rasters.quality(df, "a", "b", (12, 12), kernel).first()["ssim"] - 1) < 1e-9 > rasters.quality(df, "a", "c", (12, 12), kernel).first()["ssim"] - 0.9
+    with pytest.raises(ValueError, match="too small"):
+        rasters.quality(df, "a", "b", (36, 4), kernel)
 
 
 def test_rotation_is_that_of_the_matrix(spark):
     df = spark.createDataFrame([([float(i * i % 13) for i in range(64)],)], "v array<double>")
     v = df.first()["v"]
     h = [[(-1) ** bin(i & j).count("1") / 8 for j in range(64)] for i in range(64)]
-    once = df.select(codecs.rotated("v", 64).alias("v"))
-    assert np.allclose(once.first()["v"], np.array(h) @ v)
-
-
-def test_bootstrap_draws_blocks():
-    rng = np.random.default_rng(3)
-    v = rng.normal(5, 2, 400)
-    rows = pd.DataFrame({"grp": 1, "seq": range(400), "value": v}).sample(frac=1, random_state=1)
-    out = metrics.bootstrap(10, 500)(rows).iloc[0]
-    assert abs(out["mean"] - v.mean()) < 1e-9 and out["low"] < v.mean() < out["high"] and 0.2 < out["high"] - out["low"] < 0.8
-    short = metrics.bootstrap(10, 50)(pd.DataFrame({"grp": 1, "seq": [0, 1, 2], "value": [1.0, 2.0, 3.0]})).iloc[0]
-    assert short["low"] == short["high"] == 2.0  # one block holds them all
-    alternating = metrics.bootstrap(2, 50)(pd.DataFrame({"grp": 1, "seq": range(100), "value": [0.0, 1.0] * 50})).iloc[0]
-    assert alternating["low"] == alternating["high"] == 0.5  # a block of two always has one of each
+    assert np.allclose(rasters.rotated(df, "v", "r").first()["r"], np.array(h) @ v)
 
 
 def test_seeded_noise_is_normal_and_does_not_depend_on_partitions(spark, data):
