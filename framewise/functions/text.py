@@ -49,3 +49,16 @@ def chosen_media(accepts: DataFrame, key: str, accept: str, offered: tuple[str,
     rank = F.when(F.col("range") == F.col("media"), 3).when(F.col("range") == kind, 2).when(F.col("range") == "*/*", 1)
     best = each.withColumn("rank", rank).where("rank is not null").withColumn("i", F.row_number().over(Window.partitionBy(key, "media").orderBy(F.desc("rank"), F.desc("q"))))
     return best.where("i = 1 and q > 0").select(key, "media", "q")
+
+
+def fractions_near(rows: DataFrame, value: str, scale: int, hundredths: int, most: int) -> DataFrame:
+    """``rows`` with num and den: all fractions in lowest terms, with denominators up to ``most``, that lie within
+    ``hundredths`` of a hundredth part of the positive ``value / scale``. Bounds are whole numbers, so they are exact."""
+    each = rows.withColumn("den", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))))
+    ends = [F.expr(f"({100 - hundredths} * {value} * den + {100 * scale - 1}) div {100 * scale}"), F.expr(f"{100 + hundredths} * {value} * den div {100 * scale}")]
+    low = F.greatest(ends[0], F.lit(1).cast("long"))
+    each = each.where(low <= ends[1]).withColumn("num", F.explode(F.sequence(low, ends[1])))
+    prime = lambda p: ~((F.col("num") % p == 0) & (F.col("den") % p == 0))
+    for p in [p for p in range(2, most + 1) if all(p % q for q in range(2, p))]:
+        each = each.where(prime(p))
+    return each

@@ -24,8 +24,10 @@ def first_fit(needs: DataFrame, free: DataFrame, keys: list[str]) -> DataFrame:
 
 def largest_with_fewest(jobs: DataFrame, keys: list[str], caps: Column, most_away: int, need, budget: Column) -> DataFrame:
     """(keys, cap, away): the largest of ``caps`` (an array) that fits into ``budget`` with up to ``most_away`` parts moved
-    away, and the fewest that it takes; ``need(cap, away)`` is a column that falls as ``away`` rises. Jobs that nothing
-    fits are left out."""
-    each = jobs.withColumn("cap", F.explode(caps))
-    each = each.withColumn("away", F.explode(F.sequence(F.lit(0), F.lit(most_away)))).where(need(F.col("cap"), F.col("away")) <= budget)
-    return each.groupBy(*keys).agg(F.max(F.struct(F.col("cap"), (-F.col("away")).alias("kept"))).alias("best")).select(*keys, F.col("best.cap").alias("cap"), (-F.col("best.kept")).alias("away"))
+    away, and the fewest that it takes; ``need(cap, away)`` is a column that falls as ``away`` rises. So a cap fits if it does
+    with all parts away, and a job looks at each cap and at each number of parts once, in its own row. Jobs that nothing fits
+    are left out."""
+    most = F.array_max(F.filter(caps, lambda cap: need(cap, F.lit(most_away)) <= budget))
+    best = jobs.withColumn("cap", most).where("cap is not null")
+    fewest = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(most_away)), lambda away: need(F.col("cap"), away) <= budget))
+    return best.withColumn("away", fewest).select(*keys, "cap", "away")

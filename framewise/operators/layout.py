@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import heapq
 from collections.abc import Iterator
 
@@ -178,9 +180,9 @@ def chosen_options(options: DataFrame, budget: int, store: Store) -> DataFrame:
     first = steps.where("more is null").select("item", "bytes", "error")
     left = budget - (first.agg(F.sum("bytes")).first()[0] or 0)
     if left < 0:
-        raise ValueError(f"the cheapest options take {budget - left} bytes, over the budget of {budget}")
+        raise ValueError(f"needs {budget - left} bytes at least, has {budget}")
     order = [F.desc("gain"), F.asc("item"), F.asc("bytes")]
-    todo, taken = steps.where("more is not null"), first
+    todo, taken = steps.where("more is not null"), [first]
     while True:
         blocked = F.max((F.col("more") > left).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
         todo = todo.withColumn("_out", blocked).where("_out = 0").drop("_out")
@@ -196,7 +198,7 @@ def chosen_options(options: DataFrame, budget: int, store: Store) -> DataFrame:
         running = todo.withColumn("_inside", inside).join(F.broadcast(store.spark.createDataFrame(offsets, "_part int, _before long")), "_part").withColumn("_sum", F.col("_before") + F.col("_inside"))
         running = store.stage(running.drop("_part", "_before", "_inside"), "running")
         now = running.where(F.col("_sum") <= left)
-        taken = store.stage(taken.unionByName(now.select("item", "bytes", "error")), "taken")
+        taken.append(now.select("item", "bytes", "error"))
         spent = now.agg(F.sum("more")).first()[0] or 0
         todo, left = running.where(F.col("_sum") > left).drop("_sum"), left - spent
-    return taken.groupBy("item").agg(F.max_by("error", "bytes").alias("error"), F.max("bytes").alias("bytes")).select("item", "bytes", "error")
+    return reduce(DataFrame.unionByName, taken).groupBy("item").agg(F.max_by("error", "bytes").alias("error"), F.max("bytes").alias("bytes")).select("item", "bytes", "error")

@@ -84,26 +84,31 @@ def with_ciede2000(df: DataFrame, one: tuple[str, str, str], other: tuple[str, s
         made.append(f"_d_{name}")
         return F.col(f"_d_{name}")
 
-    (l1, a1, b1), (l2, a2, b2) = ([F.col(c) for c in x] for x in (one, other))
-    seventh = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
-    half = keep("half", (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2)
-    grow = keep("grow", 1.5 - 0.5 * seventh(half))
-    p1, p2 = keep("p1", a1 * grow), keep("p2", a2 * grow)
-    c1, c2 = keep("c1", F.sqrt(p1 * p1 + b1 * b1)), keep("c2", F.sqrt(p2 * p2 + b2 * b2))
-    hue = lambda b, a: F.when((b == 0) & (a == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
-    h1, h2 = keep("h1", hue(b1, p1)), keep("h2", hue(b2, p2))
-    grey, turn = c1 * c2 == 0, h2 - h1
-    by = keep("by", F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn))
-    dh = keep("dh", 2 * F.sqrt(c1 * c2) * F.sin(F.radians(by / 2)))
-    both = h1 + h2
-    h = keep("h", F.when(grey, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2))
-    cos = lambda k, shift: F.cos(F.radians(k * h + shift))
-    t = keep("t", 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63))
-    light, chroma = keep("light", (l1 + l2) / 2 - 50), keep("chroma", (c1 + c2) / 2)
-    tl = keep("tl", (l2 - l1) / (1 + 0.015 * light * light / F.sqrt(20 + light * light)))
-    tc, th = keep("tc", (c2 - c1) / (1 + 0.045 * chroma)), keep("th", dh / (1 + 0.015 * chroma * t))
-    turned = 2 * seventh(chroma) * F.sin(F.radians(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0)))))
-    return df.withColumn(out, F.sqrt(F.greatest(tl * tl + tc * tc + th * th - turned * tc * th, F.lit(0.0)))).select(*names, out)
+    # the published formula, step by step and by its symbols; `keep` makes a column of what is used more than once
+    (lightness1, a1, b1), (lightness2, a2, b2) = ([F.col(c) for c in x] for x in (one, other))
+    length = lambda x, y: F.sqrt(x * x + y * y)
+    root7 = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + F.lit(25.0**7)))
+    g = keep("g", 0.5 * (1 - root7((length(a1, b1) + length(a2, b2)) / 2)))
+    a1p, a2p = keep("a1p", (1 + g) * a1), keep("a2p", (1 + g) * a2)
+    c1p, c2p = keep("c1p", length(a1p, b1)), keep("c2p", length(a2p, b2))
+    angle = lambda y, x: F.when((x == 0) & (y == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0)))
+    h1p, h2p = keep("h1p", angle(b1, a1p)), keep("h2p", angle(b2, a2p))
+    no_hue, apart = (c1p == 0) | (c2p == 0), F.abs(h1p - h2p) > 180
+    delta_h = keep("delta_h", F.when(no_hue, 0.0).when(~apart, h2p - h1p).when(h2p <= h1p, h2p - h1p + 360).otherwise(h2p - h1p - 360))
+    delta_lp, delta_cp = lightness2 - lightness1, c2p - c1p
+    delta_hp = keep("delta_hp", 2 * F.sqrt(c1p * c2p) * F.sin(F.radians(delta_h) / 2))
+    sum_h = h1p + h2p
+    mean_h = keep("mean_h", F.when(no_hue, sum_h).when(~apart, sum_h / 2).when(sum_h < 360, sum_h / 2 + 180).otherwise(sum_h / 2 - 180))
+    mean_l, mean_c = keep("mean_l", (lightness1 + lightness2) / 2), keep("mean_c", (c1p + c2p) / 2)
+    cosine = lambda degrees: F.cos(F.radians(degrees))
+    t = 1 - 0.17 * cosine(mean_h - 30) + 0.24 * cosine(2 * mean_h) + 0.32 * cosine(3 * mean_h + 6) - 0.20 * cosine(4 * mean_h - 63)
+    delta_theta = 30 * F.exp(-F.pow((mean_h - 275) / 25, F.lit(2.0)))
+    r_t = -F.sin(F.radians(2 * delta_theta)) * 2 * root7(mean_c)
+    from_50 = F.pow(mean_l - 50, F.lit(2.0))
+    s_l, s_c, s_h = 1 + 0.015 * from_50 / F.sqrt(20 + from_50), 1 + 0.045 * mean_c, 1 + 0.015 * mean_c * t
+    lightness, chroma, hue = keep("lightness", delta_lp / s_l), keep("chroma", delta_cp / s_c), keep("hue", delta_hp / s_h)
+    square = lightness * lightness + chroma * chroma + hue * hue + r_t * chroma * hue
+    return df.withColumn(out, F.sqrt(F.greatest(square, F.lit(0.0)))).select(*names, out)
 
 
 def histograms(values: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int = 256) -> DataFrame:

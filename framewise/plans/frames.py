@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,14 +182,11 @@ def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.sha2(F.concat(F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("digest"), (F.col("o_custkey") % 4).alias("unit"))
     store = Store(spark, "ss06")
 
-    def run(most: int) -> Units:
+    def run(todo: DataFrame) -> Units:
         units = Units(Store(spark, "ss06", store.root), o.drop("unit").schema)
-        done = {r["unit"] for r in units.ledger().collect()}  # a line a unit
-        for k in [k for k in range(4) if str(k) not in done][:most]:
-            units.save(str(k), o.where(F.col("unit") == k).drop("unit"))
+        done = units.ledger().select(F.col("unit").cast("long").alias("unit"))
+        units.save_all(todo.join(F.broadcast(done), "unit", "left_anti"), "unit")  # a line a unit
         return units
 
-    run(2)
-    units = run(4)
-    every = [units.take(str(k)) for k in range(4)]
-    return reduce(DataFrame.unionByName, every)
+    run(o.where("unit < 2"))
+    return run(o).take_all().select("o_orderkey", "o_custkey", "digest")

@@ -78,9 +78,10 @@ def _(spark, d):
     return L.chosen_runs(idx, (0, 1, 2, 3), ("source_id", "shot"))
 
 
-@query("sc08_ramps", "with n as (select unnest(range(1, 33)) as n), i as (select n, unnest(range(0, n)) as i from n) select n, i, round(case when n = 1 then 0.5 else 0.5 - 0.5 * cos(pi() * i / (n - 1)) end, 6) as weight from i")
-def _(spark, d):
-    n = spark.range(1, 33).select(F.col("id").alias("n"))
+@query("sc08_ramps", "with n as (select distinct p_size as n from part where p_size > 0), i as (select n, unnest(range(0, n)) as i from n) select cast(n as bigint) as n, i, round(case when n = 1 then 0.5 else 0.5 - 0.5 * cos(pi() * i / (n - 1)) end, 6) as weight from i")
+def sc08_ramps(spark, d):
+    """A ramp of each length that the parts have."""
+    n = table(spark, d, "part").where("p_size > 0").select(F.col("p_size").cast("long").alias("n")).distinct()
     return n.select("n", F.posexplode(L.ramp(F.col("n"))).alias("i", "weight")).select("n", F.col("i").cast("long").alias("i"), F.round("weight", 6).alias("weight"))
 
 

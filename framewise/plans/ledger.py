@@ -56,11 +56,11 @@ def _(spark, d):
     return p.select((F.col("p_size") * 64).alias("side")).union(p.where("p_size < 20").select((F.col("p_size") * 128).alias("side"))).distinct()
 
 
-@query("set02_union_all", "select l_orderkey, l_linenumber, 1 as part from lineitem where l_returnflag = 'A' union all select l_orderkey, l_linenumber, 2 from lineitem where l_returnflag = 'R'")
+@query("set02_union_all", "select l_orderkey, l_linenumber, 1 as part from lineitem where l_returnflag = 'A' union all select l_orderkey, l_linenumber, 2 from lineitem where l_returnflag = 'R' union all select l_orderkey, l_linenumber, 3 from lineitem where l_returnflag not in ('A', 'R')")
 def _(spark, d):
     i = table(spark, d, "lineitem")
-    one = lambda flag, n: i.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_linenumber", F.lit(n).alias("part"))
-    return one("A", 1).unionByName(one("R", 2))
+    one = lambda rows, n: i.where(rows).select("l_orderkey", "l_linenumber", F.lit(n).alias("part"))
+    return one("l_returnflag = 'A'", 1).unionByName(one("l_returnflag = 'R'", 2)).unionByName(one("l_returnflag not in ('A', 'R')", 3))
 
 
 @query("jn11_packet_check", """with a as (select l_orderkey, l_linenumber, min(l_partkey) as v from lineitem group by 1, 2), b as (select l_orderkey, l_linenumber, case when l_linenumber = 3 and l_orderkey % 5 = 0 then -1 else v end as v from a where not (l_linenumber = 2 and l_orderkey % 7 = 0)),
@@ -168,8 +168,7 @@ def _(spark, d):
     """Units saved, one taken and consumed: its rows are gone, its line in the ledger stays."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     units = Units(Store(spark, "snk16"), o.schema)
-    for unit in ("F", "O", "P"):  # the states of an order
-        units.save(unit, o.where(F.col("o_orderstatus") == unit))
+    units.save_all(o.withColumn("unit", F.col("o_orderstatus")), "unit")
     units.take("F")
     units.consume("F")
     return units.ledger().select("unit", "rows", "state")

@@ -82,9 +82,9 @@ def _(spark, d):
     return X.chosen_media(table(spark, d, "pages").select("page_id", accept.alias("accept")), "page_id", "accept", ("image/webp", "image/png"))
 
 
-@query("sc17_digests", "select doc_id, sha256(text) as sha256, md5(text) as md5, n_chars from documents where lang = 'en'")
+@query("sc17_digests", "select doc_id, sha256(text) as sha256, md5(text) as md5, n_chars from documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), "n_chars")
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), "n_chars")
 
 
 @query("sc05_deadlines", "select o_orderkey, strftime(case when cast(o_orderdate as time) < time '08:30' then date_trunc('day', o_orderdate) else date_trunc('day', o_orderdate) + interval 1 day end + interval 510 minute, '%Y-%m-%d %H:%M') as deadline from orders")
@@ -103,14 +103,14 @@ def _(spark, d):
     return r.groupBy("l_suppkey").agg(F.concat(names, F.when(F.max("n") > 5, ", ...").otherwise("")).alias("named"))
 
 
-@query("st09_simplest_fractions", "with d as (select unnest(range(1, 31)) as den), f as (select den, unnest(range(1, 61)) as num from d) select num, den, row_number() over (order by den, num) as seq from f where gcd(num, den) = 1 and num * 100 >= 96 * den and num * 100 <= 128 * den")
-def _(spark, d):
-    dens = spark.range(1, 31).select(F.col("id").alias("den")).withColumn("num", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))))
-    # a fraction is in lowest terms where no smaller denominator says it: few candidates, one small window
-    value = F.col("num") / F.col("den")
-    first = F.min("den").over(Window.partitionBy(value))
-    low = dens.withColumn("first", first).where((F.col("den") == F.col("first")) & (F.col("num") * 100 >= 96 * F.col("den")) & (F.col("num") * 100 <= 128 * F.col("den")))
-    return low.withColumn("one", F.lit(1)).select("num", "den", F.row_number().over(Window.partitionBy("one").orderBy("den", "num")).cast("long").alias("seq"))
+@query("st09_simplest_fractions", """with p as (select p_partkey, cast(round(p_retailprice * 100) as bigint) as x from part), f as (select p_partkey, x, unnest(range(1, 31)) as den from p), n as (select p_partkey, x, den, unnest(range((96 * x * den + 9999999) // 10000000, 104 * x * den // 10000000 + 1)) as num from f)
+select p_partkey, num, den, seq from (select p_partkey, num, den, row_number() over (partition by p_partkey order by den, num) as seq from n where gcd(num, den) = 1 and num > 0) where seq <= 3""")
+def st09_simplest_fractions(spark, d):
+    """For each part the three fractions of least denominator within four hundredths of its price in thousands."""
+    x = F.round(F.col("p_retailprice") * 100).cast("long")
+    near = X.fractions_near(table(spark, d, "part").select("p_partkey", x.alias("x")), "x", 100_000, 4, 30)
+    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("den", "num"))
+    return near.withColumn("seq", place.cast("long")).where("seq <= 3").select("p_partkey", "num", "den", "seq")
 
 
 SIZES = "s as (select p_partkey, cast(320 + p_size * 16 as bigint) as w, cast(240 + p_size * 9 as bigint) as h, cast(720 as bigint) as short from part)"

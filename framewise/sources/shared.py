@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -85,41 +86,90 @@ class Units:
     """Units of work kept for a resume: a unit's rows are written whole, then named in the ledger, so the ledger only
     names whole ones; a consumed unit's rows are dropped, its line stays."""
 
-    LEDGER = "unit string, rows long, checksum decimal(38,0), state string"
+    LEDGER = "unit string, rows long, checksum decimal(38,0), state string, folder string"
 
     def __init__(self, store: Store, schema):
         self.store, self.schema = store, schema
 
-    def _note(self, rows: list[tuple]) -> None:
-        self.store.spark.createDataFrame(rows, self.LEDGER).coalesce(1).write.mode("append").parquet(self.store.path("ledger"))
+    def _note(self, lines: DataFrame) -> None:
+        lines.coalesce(1).write.mode("append").parquet(self.store.path("ledger"))
 
     def ledger(self) -> DataFrame:
-        """(unit, rows, checksum, state), the last state of each unit; ``kept`` comes before ``consumed``."""
+        """(unit, rows, checksum, folder, state), the last state of each unit; ``kept`` comes before ``consumed``."""
         spark = self.store.spark
         if not self.store.exists("ledger"):
             return spark.createDataFrame([], self.LEDGER)
         rows = spark.read.schema(self.LEDGER).parquet(self.store.path("ledger"))
-        return rows.groupBy("unit").agg(F.max("rows").alias("rows"), F.max("checksum").alias("checksum"), F.max(F.when(F.col("state") == "consumed", "consumed").otherwise("a kept")).alias("state")).withColumn("state", F.regexp_replace("state", "^a ", ""))
+        return rows.groupBy("unit").agg(F.max("rows").alias("rows"), F.max("checksum").alias("checksum"), F.max("folder").alias("folder"), F.max(F.when(F.col("state") == "consumed", "consumed").otherwise("a kept")).alias("state")).withColumn("state", F.regexp_replace("state", "^a ", ""))
+
+    def _sums(self, rows: DataFrame, unit: str) -> DataFrame:
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(f.name for f in self.schema)]).cast("decimal(38,0)")
+        return rows.groupBy(F.col(unit).cast("string").alias("unit")).agg(F.count("*").alias("rows"), F.sum(hashed).cast("decimal(38,0)").alias("checksum"))
+
+    def save_all(self, df: DataFrame, unit: str) -> None:
+        """Saves every unit of ``df`` at once: the rows in one write, parted by the column ``unit``, which is no column of
+        theirs; what is read back is summed by unit in one pass and held against what was to be written; then all lines
+        come into the ledger in one write. ``df`` must be deterministic. A failed try leaves no line."""
+        folder = f"units-{uuid.uuid4().hex}"
+        wanted = self._sums(df, unit)
+        df.withColumn("_unit", F.col(unit).cast("string")).drop(unit).write.partitionBy("_unit").parquet(self.store.path(folder))
+        kept = self.store.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_unit", T.StringType())])).parquet(self.store.path(folder))
+        found = self.store.stage(self._sums(kept, "_unit"), f"sums-{uuid.uuid4().hex}")
+        wrong = wanted.exceptAll(found).unionByName(found.exceptAll(wanted)).select("unit").distinct().limit(5).collect()
+        if wrong:
+            self.store.drop(folder)
+            raise ValueError(f"units {sorted(str(r['unit']) for r in wrong)} were not written as they are")
+        self._note(found.select("unit", "rows", "checksum", F.lit("kept").alias("state"), F.lit(folder).alias("folder")))
 
     def save(self, unit: str, df: DataFrame) -> DataFrame:
+        """Saves one unit, which may be empty."""
         kept = checked_write(self.store, df, f"unit={unit}")
         n, x = checksum(kept)
-        self._note([(unit, n, Decimal(x), "kept")])
+        self._note(self.store.spark.createDataFrame([(unit, n, Decimal(x), "kept", None)], self.LEDGER))
         return kept
 
-    def take(self, unit: str) -> DataFrame:
-        """The rows of a kept unit, refused if they are not those that were saved."""
+    def _path(self, unit: str, folder: str | None) -> str:
+        return f"{folder}/_unit={unit}" if folder else f"unit={unit}"
+
+    def _told(self, unit: str):
         told = self.ledger().where((F.col("unit") == unit) & (F.col("state") == "kept")).first()
         if not told:
             raise KeyError(unit)
-        rows = self.store.spark.read.schema(self.schema).parquet(self.store.path(f"unit={unit}"))
+        return told
+
+    def take(self, unit: str) -> DataFrame:
+        """The rows of a kept unit, refused if they are not those that were saved."""
+        told = self._told(unit)
+        rows = self.store.spark.read.schema(self.schema).parquet(self.store.path(self._path(unit, told["folder"])))
         if checksum(rows) != (told["rows"], int(told["checksum"])):
             raise ValueError(f"unit {unit} is not what was saved")
         return rows
 
+    def take_all(self) -> DataFrame:
+        """The rows of all kept units with their ``unit``: a read a folder of ``save_all``, one pass that sums them by unit,
+        and an error if any unit's sums are not those in its line."""
+        lines = self.store.stage(self.ledger().where("state = 'kept'"), f"kept-{uuid.uuid4().hex}")
+        folders = [r["folder"] for r in lines.where("folder is not null").select("folder").distinct().collect()]  # one a save
+        schema, rows = T.StructType([*self.schema.fields, T.StructField("_unit", T.StringType())]), None
+        for folder in folders:
+            part = self.store.spark.read.schema(schema).parquet(self.store.path(folder))
+            part = part.join(lines.where(F.col("folder") == folder).select(F.col("unit").alias("_unit")), "_unit", "left_semi").select(*[f.name for f in schema])
+            rows = part if rows is None else rows.unionByName(part)
+        for r in lines.where("folder is null").select("unit").collect():
+            part = self.store.spark.read.schema(self.schema).parquet(self.store.path(self._path(r["unit"], None))).withColumn("_unit", F.lit(r["unit"]))
+            rows = part if rows is None else rows.unionByName(part)
+        if rows is None:
+            return self.store.spark.createDataFrame([], schema).withColumnRenamed("_unit", "unit")
+        sums = self._sums(rows, "_unit")
+        wrong = sums.exceptAll(lines.where("rows > 0").select("unit", "rows", "checksum")).limit(5).collect()
+        if wrong or sums.count() != lines.where("rows > 0").count():
+            raise ValueError(f"units {sorted(r['unit'] for r in wrong)} are not what was saved")
+        return rows.withColumnRenamed("_unit", "unit")
+
     def consume(self, unit: str) -> None:
-        self._note([(unit, None, None, "consumed")])
-        self.store.drop(f"unit={unit}")
+        folder = self._told(unit)["folder"]
+        self._note(self.store.spark.createDataFrame([(unit, None, None, "consumed", None)], self.LEDGER))
+        self.store.drop(self._path(unit, folder))
 
 
 class Replay:
@@ -145,10 +195,9 @@ class Replay:
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str, versions: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """The manifests (JSON, one object a file) in ``path``; one that can't be read, or is of no version that this reads,
-    is an error that names its file."""
+    """The manifests (JSON, one object a file) in ``path``. One that does not parse, or whose version is not among
+    ``versions``, ends the read with an error of three fields: file, version (``null`` without one), reason."""
     rows = spark.read.schema(f"version long, _bad string, {schema}").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.input_file_name())
-    said = F.coalesce(F.concat(F.lit("manifest version "), F.col("version").cast("string")), F.lit("no manifest version"))
-    why = F.when(F.col("_bad").isNotNull(), F.lit("not readable as a manifest")).otherwise(F.concat(said, F.lit(f", where this reads {list(versions)}")))
-    ok = F.col("version").isin(*versions) & F.col("_bad").isNull()
-    return rows.withColumn("version", F.when(F.coalesce(ok, F.lit(False)), F.col("version")).otherwise(F.raise_error(F.concat(F.col("_file"), F.lit(": "), why)))).drop("_bad", "_file")
+    reason = F.when(F.col("_bad").isNotNull(), "unparsed").when(F.col("version").isNull(), "unversioned").when(~F.col("version").isin(*versions), "unsupported")
+    report = F.concat_ws(" ", F.concat(F.lit("MANIFEST_REFUSED file="), "_file"), F.concat(F.lit("version="), F.coalesce(F.col("version").cast("string"), F.lit("null"))), F.concat(F.lit("reason="), reason))
+    return rows.withColumn("version", F.when(reason.isNull(), F.col("version")).otherwise(F.raise_error(report))).drop("_bad", "_file")
