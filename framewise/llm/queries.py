@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, jaccard, lines, manifest, mixing, pii, repair, tokens, toxicity, urls
+from . import bpe, chat, decontaminate, fingerprint, jaccard, lines, manifest, mixing, pii, repair, tokens, toxicity, twins, urls
 from .common import Workspace, ascii_lower, table
 
 
@@ -139,4 +139,4 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.node) as component_id fro
 
 #: The other operators' results can't be said in SQL: tests/llm holds them against brute force, exact round trips and
 #: held-out accuracy.
-ORACLES = {"op1_benchmark_leaks": OP1, "op8_chat_format": OP8, "op9_jaccard_join": OP9}
+ORACLES = {"op1_benchmark_leaks": OP1, "op8_chat_format": OP8, "op9_jaccard_join": OP9, "op11_conversation_repair": twins.OP11, "op12_merkle_manifest": twins.OP12}
