@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewise.operators import codecs as K
+from framewise.operators import planes as P
 from framewise.operators import rasters as R
 from framewise.plans.analytics import PAIR, pairs
 from framewise.sources.bindings import VECTORS_SQL, vectors
@@ -108,3 +109,64 @@ def st11_windows_apart(spark, d):
     picks = R.apart(w, "vec_id", (3, 2), Store(spark, "apart"))
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "y", "x")).cast("long")
     return picks.withColumn("place", place).where("place <= 5").select("vec_id", "x", "y", (F.round("score", 6) + 0.0).alias("score"), "place")
+
+
+BYTES = f"{VECTORS_SQL}, y8 as (select vec_id, list_transform(v, lambda x: cast(least(greatest(floor((x + 0.5) * 255), 0), 255) as bigint)) as y from vectors)"
+
+
+def bytes_of(spark, d):
+    code = lambda x: F.least(F.greatest(F.floor((x + 0.5) * 255), F.lit(0).cast("long")), F.lit(255).cast("long"))
+    return vectors(spark, d).select("vec_id", F.transform("v", code).alias("y"))
+
+
+def chroma_sql(c: str) -> str:
+    """Four by four samples, sited left and between two rows, at each of the 64 places."""
+    at = f"(({c}[greatest(least(cast(floor((j - 0.5::double) / 2) as bigint) {{0}}, 3), 0) * 4 + least(i // 2 {{1}}, 3) + 1] - 128) / 224.0::double)"
+    wx, wy = "(i % 2) * 0.5::double", "((j - 0.5::double) / 2 - floor((j - 0.5::double) / 2))"
+    return f"((1 - {wy}) * ((1 - {wx}) * {at.format('', '')} + {wx} * {at.format('', '+ 1')}) + {wy} * ((1 - {wx}) * {at.format('+ 1', '')} + {wx} * {at.format('+ 1', '+ 1')}))"
+
+
+@query("prj01_colours_of_planes", f"with {BYTES}, p as (select vec_id, y, list_transform(range(0, 16), lambda k: y[k * 4 + 2]) as u, list_transform(range(0, 16), lambda k: y[k * 4 + 3]) as v, unnest(range(0, 64)) as place from y8), s as (select vec_id, place, (y[place + 1] - 16) / 219.0::double as l, u, v, place % 8 as i, place // 8 as j from p),\n"
+       f"c as (select vec_id, place, l, {chroma_sql('u')} as u, {chroma_sql('v')} as v from s), t as (select vec_id, place, l, l + 1.5748::double * v as r, l + 1.8556::double * u as b from c), g as (select *, (l - 0.2126::double * r - 0.0722::double * b) / 0.7152::double as g from t)\n"
+       "select vec_id, place, " + ", ".join(f"cast(round_even(least(greatest({c}, 0), 1) * 65535, 0) as int) as {c}" for c in "rgb") + " from g")
+def prj01_colours_of_planes(spark, d):
+    """Luma of eight by eight and colour differences of four by four, in limited range, as 16-bit colours."""
+    third = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("y", i * 4 + k))
+    p = bytes_of(spark, d).withColumn("u", third(1)).withColumn("v", third(2))
+    out = P.colours(p, ("y", "u", "v"), "rgb", SIDE, (2, 2), site=(0.5, 1.0))
+    each = out.select("vec_id", "rgb", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return each.select("vec_id", F.col("p").cast("long").alias("place"), *[F.get("rgb", F.col("p") * 3 + k).alias(c) for k, c in enumerate("rgb")])
+
+
+@query("prj02_stored_planes", f"with {VECTORS_SQL}, e as (select vec_id, unnest(range(0, 64)) as place, v from vectors), c as (select vec_id, place, least(greatest(v[place + 1] + 0.5::double, 0), 1) as r, least(greatest(v[64 - place] + 0.5::double, 0), 1) as g, least(greatest(v[place * 7 % 64 + 1] + 0.5::double, 0), 1) as b from e), l as (select *, 0.2126::double * r + 0.7152::double * g + 0.0722::double * b as l from c)\n"
+       "select vec_id, place, cast(round_even(4096 + 56064 * l, 0) as int) as y, cast(round_even(32768 + 57344 * (b - l) / 1.8556::double, 0) as int) as u, cast(round_even(32768 + 57344 * (r - l) / 1.5748::double, 0) as int) as v from l")
+def prj02_stored_planes(spark, d):
+    up = lambda pick: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("v", pick(i)) + 0.5)
+    c = vectors(spark, d).select("vec_id", up(lambda i: i).alias("r"), up(lambda i: 63 - i).alias("g"), up(lambda i: i * 7 % 64).alias("b"))
+    out = P.stored(c, ("r", "g", "b"), ("y", "u", "v")).select("vec_id", F.posexplode(F.arrays_zip("y", "u", "v")).alias("place", "e"))
+    return out.select("vec_id", F.col("place").cast("long").alias("place"), "e.y", "e.u", "e.v")
+
+
+@query("prj12_padded_pictures", f"with {VECTORS_SQL}, e as (select vec_id, v, unnest(range(0, 256)) as place from vectors), p as (select vec_id, place, v, place % 16 as x, place // 16 as y from e) select vec_id, place, case when y >= 14 or x >= 14 then 0.0 else v[case when y > 7 then 14 - y else y end * 8 + case when x > 7 then 14 - x else x end + 1] end + 0.0::double as x from p")
+def prj12_padded_pictures(spark, d):
+    """Eight by eight to a multiple of seven with five mirrored at least, and two rows and columns of nought."""
+    out = P.padded(vectors(spark, d), "v", "p", SIDE, multiple=7, least=5, black=2)
+    return out.select("vec_id", F.posexplode("p").alias("place", "x")).select("vec_id", F.col("place").cast("long").alias("place"), (F.col("x") + 0.0).alias("x"))
+
+
+@query("prj12_in_fours", f"with {VECTORS_SQL}, c as (select vec_id, v[1:60 + vec_id % 4] as v from vectors), p as (select vec_id, v, len(v) as n, unnest(range(0, len(v) + (4 - (len(v) - 1) % 4) % 4)) as i from c) select vec_id, i, v[least(i, n - 1) + 1] as x from p")
+def prj12_in_fours(spark, d):
+    cut = vectors(spark, d).select("vec_id", F.slice("v", F.lit(1), (60 + F.col("vec_id") % 4).cast("int")).alias("v"))
+    return cut.select("vec_id", F.posexplode(P.in_fours("v")).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("snk05_row_filters", f"with {BYTES}, e as (select vec_id, unnest(y) as x, unnest(range(0, 64)) as i from y8), n as (select vec_id, i // 8 as line, i, x, case when i % 8 = 0 then 0 else lag(x) over w end as a, coalesce(lag(x, 8) over w, 0) as b, case when i % 8 = 0 then 0 else coalesce(lag(x, 9) over w, 0) end as c from e window w as (partition by vec_id order by i)),\n"
+       "q as (select *, case when abs(b - c) <= abs(a - c) and abs(b - c) <= abs(a + b - 2 * c) then a when abs(a - c) <= abs(a + b - 2 * c) then b else c end as p from n), f as (select vec_id, line, i, unnest([0, 1, 2, 3, 4]) as kind, unnest([x, (x - a + 256) % 256, (x - b + 256) % 256, (x - (a + b) // 2 + 256) % 256, (x - p + 256) % 256]) as y from q),\n"
+       "s as (select vec_id, line, kind, sum(least(y, 256 - y)) as s from f group by 1, 2, 3), k as (select vec_id, line, arg_min(kind, s * 8 + kind) as kind from s group by 1, 2) select f.vec_id, f.i, cast(f.kind as int) as kind, cast(f.y as int) as code from f join k on k.vec_id = f.vec_id and k.line = f.line and k.kind = f.kind")
+def snk05_row_filters(spark, d):
+    """Each row by the filter that suits it, and the samples come back."""
+    out = P.unfiltered_rows(P.filtered_rows(bytes_of(spark, d), "y", "f", SIDE), "f", "back", SIDE)
+    same = F.transform("back", lambda x: x.cast("long")) == F.col("y")
+    codes = F.when(same, F.col("f")).otherwise(F.raise_error(F.lit("filtered samples did not come back")))
+    each = out.select("vec_id", "f_kind", F.posexplode(codes).alias("i", "code"))
+    return each.select("vec_id", F.col("i").cast("long").alias("i"), F.get("f_kind", F.floor(F.col("i") / 8).cast("int")).alias("kind"), "code")
