@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framewise.operators import reading as G
 from framewise.operators import records as R
 from framewise.operators import sampling as S
 from framewise.plans.analytics import LABELLED, labelled
@@ -128,3 +130,27 @@ c as (select source, place // 64 as chunk, sha256(string_agg(digest, '' order by
 select source, doc_id, place, cast(sum(size) over (partition by source order by doc_id) - size as bigint) as "offset", size, cast(sum(size) over (partition by source) as bigint) as file_size, file_digest from r join f using (source)""")
 def src14_read_once(spark, d):
     return R.read_once(table(spark, d, "documents"), "source", "doc_id", ["text", "lang"], Store(spark, "once"), 64)
+
+
+#: Reads that start at a keyframe with an odd event come out wrong up to the frame 8 * (event mod 5) behind it.
+FALLBACK = f"""with recursive {FRAMES_SQL}, keys as (select source_id, frame as start, event_id, row_number() over (partition by source_id order by frame) - 1 as k from frames where is_key),
+wants as (select source_id, frame as first, least(frame + 6, n) as "end" from (select *, count(*) over (partition by source_id) as n from frames) where frame % 5 = 0),
+t0 as (select w.source_id, w.first, w."end", max(k.k) as k from wants w left join keys k on k.source_id = w.source_id and k.start <= w.first group by 1, 2, 3),
+t as (select source_id, first, "end", k, cast(1 as bigint) as step, 1 as tries from t0 where k is not null union all select source_id, first, "end", greatest(k - step, 0), step * 2, tries + 1 from t where k > 0),
+j as (select t.*, k.start, case when k.event_id % 2 = 1 then t.first >= k.start + 8 * (k.event_id % 5) else true end as ok from t join keys k on k.source_id = t.source_id and k.k = t.k),
+b as (select source_id, first, "end", arg_min(tries, case when ok then tries else 1000 - tries end) as tries, arg_min(start, case when ok then tries else 1000 - tries end) as start, bool_or(ok) as found from j group by 1, 2, 3)
+select source_id, first, "end", tries, start, found from b union all select source_id, first, "end", 0, null, false from t0 where k is null"""
+
+
+@query("src07_fallback", FALLBACK)
+def src07_fallback(spark, d):
+    """Ranges of six frames from every fifth one on, each read from a keyframe that gives them right."""
+    f = Store(spark, "frames").stage(frames(spark, d).select("source_id", "frame", "is_key", "event_id", "props"), "frames")
+    n = F.count("*").over(Window.partitionBy("source_id"))
+    wants = f.withColumn("n", n).where("frame % 5 = 0").select("source_id", F.col("frame").alias("first"), F.least(F.col("frame") + 6, "n").alias("end"))
+    bad = f.where("is_key and event_id % 2 = 1").select("source_id", F.col("frame").alias("bad"), (F.col("frame") + 8 * (F.col("event_id") % 5)).alias("until"))
+    wrong = bad.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("bad", "until"))).alias("wrong"))  # the keyframes of one source
+    rows = f.join(wrong, "source_id", "left").drop("event_id", "is_key")
+    decoded = lambda start: F.md5(F.concat("props", F.when(F.col("frame") < F.coalesce(F.get(F.map_values(F.map_filter("wrong", lambda k, v: k == start)), F.lit(0)), F.lit(0)), "?").otherwise("")))
+    index = f.select("source_id", "frame", F.md5("props").alias("digest"))
+    return G.verified_ranges(rows, f.where("is_key"), index, wants, decoded, Store(spark, "ranges"))

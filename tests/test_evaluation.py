@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from framewise.operators import records, sampling
+from framewise.operators import reading, records, sampling
 from framewise.sources.shared import Store
 
 
@@ -180,3 +181,14 @@ def test_samples_weigh_what_they_stand_for(spark):
 def test_errors_by_label(spark):
     rows = spark.createDataFrame([("cut", 2.0, True, None), ("cut", 1.0, False, True), ("fade", 3.0, True, True)], "label string, w double, one boolean, two boolean")
     assert {tuple(r) for r in sampling.errors_by_label(rows, ["one", "two"], "label", "cut", "w").collect()} == {("one", "cut", 2.0, 1.0), ("one", "fade", 3.0, 0.0), ("two", "cut", 1.0, 2.0), ("two", "fade", 3.0, 0.0)}
+
+
+def test_reads_go_back_until_they_agree(spark):
+    """One try a keyframe, then two, four, ... before it; ranges before all keyframes, with a frame missing, and never right."""
+    keys, digest = [2, 10, 20, 30, 40, 50, 60, 70], {i: f"d{i}" for i in range(90) if i != 85}
+    good = {75: 70, 65: 50, 45: 10, 33: 99}  # the latest keyframe from which a range comes out right
+    frames = spark.createDataFrame([("a", i, d) for i, d in digest.items()], "source_id string, frame long, digest string")
+    wants = spark.createDataFrame([("a", first, first + 4) for first in (0, 75, 65, 45, 33, 83)], "source_id string, first long, end long")
+    rows = frames.withColumn("_bound", F.coalesce(*[F.when(F.col("frame").between(k, k + 3), F.lit(v if v < 99 else -1)) for k, v in good.items()], F.lit(1000)))
+    out = reading.verified_ranges(rows, spark.createDataFrame([("a", k) for k in keys], "source_id string, frame long"), frames, wants, lambda start: F.when(start <= F.col("_bound"), F.col("digest")), Store(spark, "reads"))
+    assert {(r["first"], r["tries"], r["start"], r["found"]) for r in out.collect()} == {(0, 0, None, False), (75, 1, 70, True), (65, 2, 50, True), (45, 3, 10, True), (33, 3, 2, False), (83, 4, 2, False)}
