@@ -219,20 +219,39 @@ def fit_rates(documents: DataFrame, labels: DataFrame, work: Workspace, weights:
     return mix
 
 
-def kept(documents: DataFrame, mix: Mix) -> DataFrame:
+def kept(documents: DataFrame, mix: Mix, work: Workspace, few: int = 2_000_000) -> DataFrame:
     """The documents that their rates draw, with all their columns: the whole part of a rate as so many copies, and one
-    more where a hash of the doc_id, as a number from 0 to 1, lies below what is left of it. The rate follows from the
-    text again, so texts are not shuffled to their rates; a null doc_id is drawn by the hash of null."""
+    more where a hash of doc_id and text, as a number from 0 to 1, lies below what is left of it; so rows without a doc_id,
+    or with a shared one, are drawn each for itself. Rows that are equal in both are told apart by their place in the table;
+    which there are is broadcast up to ``few`` of them, else joined by a shuffle. The rate follows from the text again, so
+    texts are not shuffled to their rates."""
     model, steps = mix.model, mix.steps
 
     def rates(texts: list[str | None]) -> np.ndarray:
         return steps.rates(posteriors_of(model, texts)[0].astype("<f4").astype(float))
 
-    name = free_name(documents, "_rate")
+    name, same, mark = (free_name(documents, n) for n in ("_rate", "_same", "_again"))
+    keyed = documents.withColumn(same, F.xxhash64("doc_id", "text", F.lit("draw")))
+    again = work.stage(keyed.groupBy(same).count().where("count > 1").select(F.col(same).alias(mark)), "again")
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.count() <= few else again.hint("merge")
+        keyed = keyed.join(again, F.col(same) == F.col(mark), "left")
+        keyed = keyed.withColumn(same, F.when(F.col(mark).isNull(), F.col(same)).otherwise(F.xxhash64(same, F.monotonically_increasing_id()))).drop(mark)
     rate = F.col(name)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
+    draw = F.pmod(F.col(same), F.lit(1 << 40)) / (1 << 40)
     copies = F.floor(rate).cast("int") + (draw < rate - F.floor(rate)).cast("int")
-    drawn = with_column_from_text(documents, name, pa.float64(), rates).withColumn(name, copies).where(rate > 0)
+    drawn = with_column_from_text(keyed, name, pa.float64(), rates).withColumn(name, copies).where(rate > 0)
     if steps.most is None or steps.most > 1:
         drawn = drawn.withColumn(name, F.explode(F.sequence(F.lit(1), rate)))
-    return drawn.drop(name)
+    return drawn.drop(name, same)
+
+
+def drawn_misses(kept: DataFrame, mix: Mix) -> dict[str, float]:
+    """By how much, as shares, the expected tokens of the documents that were in fact drawn miss each domain's target.
+    ``unmet`` says what the rates give on average; a draw of few documents is off by chance, too."""
+    k = len(mix.domains)
+    soft = kept.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(_posteriors(mix.model), "doc_id long, tokens long, posteriors binary")
+    totals = soft.mapInPandas(_totals(Steps(np.zeros((0, k)), 1.0, None), k, False), ", ".join(f"m{i} double" for i in range(k)))
+    reached = np.array([x or 0.0 for x in totals.agg(*[F.sum(f"m{i}") for i in range(k)]).first()])
+    base = np.where(mix.targets > 0, mix.targets, max(mix.targets.sum(), 1e-9))
+    return dict(zip(mix.domains, ((reached - mix.targets) / base).tolist(), strict=True))

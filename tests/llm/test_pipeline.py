@@ -105,10 +105,13 @@ def test_rates_are_drawn(spark, corpus, docs):
     fitted = mixing.fit_rates(docs, labels, Workspace(spark, "again"), {"quality=1": 0.9, "quality=0": 0.1}, "concat('quality=', quality)", 0.9, most=1.0)
     rates = fitted.rates.collect()
     assert all(0 <= r["rate"] <= 1 for r in rates) and len(rates) == docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)) / (1 << 40)
     by_text = {t: mixing.Steps.rates(fitted.steps, mixing.posteriors_of(fitted.model, [t])[0].astype("<f4").astype(float))[0] for t in {t for _, t in rows_of(docs)}}
-    want = Counter((r["doc_id"], r["text"]) for r in docs.withColumn("draw", draw).collect() if r["draw"] < by_text[r["text"]])
-    assert kept.columns == docs.columns and rows_of(kept) == want
+    had, got = rows_of(docs), rows_of(kept)
+    assert kept.columns == docs.columns and not got - had
+    assert all(got[k] == (n if by_text[k[1]] >= 1 else 0) for k, n in had.items() if not 0 < by_text[k[1]] < 1)
+    for some in (lambda d: True, lambda d: d is not None, lambda d: d is not None and d % 2):  # as many as the rates say, but for chance
+        p = np.array([by_text[t] for d, t in had.elements() if some(d)])
+        assert abs(sum(n for (d, _), n in got.items() if some(d)) - p.sum()) <= 5 * np.sqrt((p * (1 - p)).sum()) + 1e-9
 
 
 def test_the_whole_pipeline(spark, corpus):
