@@ -41,8 +41,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by rates that bring the qualities of texts to target shares of nine tenths of the words. No rate is
     above one, as copies were just removed; a share that this leaves unmet is logged as a warning."""
-    fitted = mixing.fit_rates(docs, table(spark, sf_dir, "labels"), Workspace(spark, "mix"), {"quality=1": 0.9, "quality=0": 0.1}, "concat('quality=', quality)", 0.9, most=1.0)
-    return mixing.kept(docs, fitted)
+    work = Workspace(spark, "mix")
+    fitted = mixing.fit_rates(docs, table(spark, sf_dir, "labels"), work, {"quality=1": 0.9, "quality=0": 0.1}, "concat('quality=', quality)", 0.9, most=1.0)
+    return mixing.kept(docs, fitted, work)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
