@@ -94,12 +94,12 @@ def sc12_block_scales(spark, d):
 
 #: Greedy picks one by one, a step of the recursion for each map and rank.
 PICKS = f"""with recursive {VECTORS_SQL}, g as (select vec_id, x, y, v from vectors, unnest(range(0, 6)) as a(x), unnest(range(0, 7)) as b(y)),
-w as (select vec_id, x, y, list_sum(list_transform(range(0, 6), lambda k: v[(y + k // 3) * 8 + x + k % 3 + 1])) / 6 as score from g),
-o as (select vec_id, x, y, score, row_number() over (partition by vec_id order by round(score, 9) desc, y, x) as n from w), l as (select vec_id, list(x order by n) as xs, list(y order by n) as ys, list(score order by n) as ss from o group by 1),
+w as (select vec_id, x, y, round(list_sum(list_transform(range(0, 6), lambda k: v[(y + k // 3) * 8 + x + k % 3 + 1])) / 6, 9) as score from g),
+o as (select vec_id, x, y, score, row_number() over (partition by vec_id order by score desc, y, x) as n from w), l as (select vec_id, list(x order by n) as xs, list(y order by n) as ys, list(score order by n) as ss from o group by 1),
 r as (select vec_id, cast(1 as bigint) as n, xs, ys, ss, cast([] as bigint[]) as px, cast([] as bigint[]) as py, cast([] as double[]) as ps from l union all
  select vec_id, n + 1, xs, ys, ss, case when ok then list_append(px, xs[n]) else px end, case when ok then list_append(py, ys[n]) else py end, case when ok then list_append(ps, ss[n]) else ps end
  from (select *, len(list_filter(range(1, len(px) + 1), lambda k: abs(px[k] - xs[n]) < 3 and abs(py[k] - ys[n]) < 2)) = 0 as ok from r where n <= len(xs))),
-e as (select vec_id, unnest(px) as x, unnest(py) as y, unnest(ps) as score, unnest(range(1, len(px) + 1)) as place from r where n = len(xs) + 1) select vec_id, x, y, round(score, 6) + 0.0 as score, cast(place as bigint) as place from e where place <= 5"""
+e as (select vec_id, unnest(px) as x, unnest(py) as y, unnest(ps) as score, unnest(range(1, len(px) + 1)) as place from r where n = len(xs) + 1) select vec_id, x, y, score, cast(place as bigint) as place from e where place <= 5"""
 
 
 @query("st11_windows_apart", PICKS)
@@ -108,7 +108,7 @@ def st11_windows_apart(spark, d):
     w = R.window_scores(vectors(spark, d), "vec_id", "v", SIDE, (3, 2), 1).withColumn("score", F.round("score", 9))
     picks = R.apart(w, "vec_id", (3, 2), Store(spark, "apart"))
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "y", "x")).cast("long")
-    return picks.withColumn("place", place).where("place <= 5").select("vec_id", "x", "y", (F.round("score", 6) + 0.0).alias("score"), "place")
+    return picks.withColumn("place", place).where("place <= 5").select("vec_id", "x", "y", "score", "place")
 
 
 BYTES = f"{VECTORS_SQL}, y8 as (select vec_id, list_transform(v, lambda x: cast(least(greatest(floor((x + 0.5) * 255), 0), 255) as bigint)) as y from vectors)"
