@@ -10,8 +10,8 @@ from .components import connected_components
 
 #: The rules of the registered query, (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Addresses of more path segments are taken as they are written.
-SEGMENTS = 1000
+#: Characters of a path that are put together before they are laid aside, so that a step never copies the whole.
+PIECE = 2000
 
 
 def rest_of(url: Column) -> Column:
@@ -28,17 +28,22 @@ def path_of(url: Column) -> Column:
 
 
 def plain_path(path: Column) -> Column:
-    """A path without its ``.`` and ``..`` segments."""
+    """A path without its ``.`` and ``..`` segments, read from its end: a ``..`` takes the next segment that nothing has
+    taken yet."""
     parts = F.split(path, "/")
     last = F.element_at(parts, -1)
     names = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
-    left = F.aggregate(
-        F.filter(F.slice(names, 2, F.size(names)), lambda x: x != "."),
-        F.array().cast("array<string>"),
-        lambda done, x: F.when(x != "..", F.array_append(done, x)).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))),
-    )
+    state = lambda gone, now, done: F.struct(gone.cast("int").alias("gone"), now.alias("now"), done.alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        kept = F.when(F.length(s["now"]) < PIECE, state(F.lit(0), F.concat(F.lit("/"), x, s["now"]), s["done"])).otherwise(state(F.lit(0), F.concat(F.lit("/"), x), F.array_append(s["done"], s["now"])))
+        taken = F.when(s["gone"] > 0, state(s["gone"] - 1, s["now"], s["done"])).otherwise(kept)
+        return F.when(x == ".", s).when(x == "..", state(s["gone"] + 1, s["now"], s["done"])).otherwise(taken)
+
+    none = state(F.lit(0), F.lit(""), F.array().cast("array<string>"))
+    left = F.aggregate(F.reverse(F.slice(names, 2, F.size(names))), none, step, lambda s: F.concat(s["now"], F.array_join(F.reverse(s["done"]), "")))
     dotted = F.rlike(path, F.lit(r"/\.{1,2}(?:/|$)"))
-    return F.when(dotted & (F.size(parts) <= SEGMENTS), F.concat(F.lit("/"), F.array_join(left, "/"))).otherwise(path)
+    return F.when(dotted, F.when(left == "", "/").otherwise(left)).otherwise(path)
 
 
 def canonical_key(url: Column) -> Column:
@@ -94,9 +99,11 @@ def links_in(html: Column, url: Column) -> Column:
 
 def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and decision: of the rules whose host is the row's or a parent of it and whose path starts the row's,
-    the longest; of equals, allow. An equality join on the host's suffixes, so the rule table may be long."""
+    the longest; of equals, allow. An equality join on the host's suffixes, so the rule table may be long; those of more
+    labels than any rule's host has can't match and are not made."""
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - (labels - 1)), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
     hosts = df.select("host", "path").where("host <> ''").distinct()
     told = rules.select(F.col("verdict").alias("decision"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
     fits = hosts.withColumn("rule_host", F.explode(suffixes)).join(told, "rule_host").where(F.startswith(F.col("path"), F.col("rule_path")))

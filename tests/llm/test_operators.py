@@ -298,7 +298,7 @@ def test_links_are_read_as_browsers_read_them(spark):
     }
     df = spark.createDataFrame([(h,) for h in cases], "html string").select("html", urls.links_in(F.col("html"), F.lit("https://a.b/c/d?e#f")).alias("links"))
     assert {r["html"]: (r["links"] or [None])[0] for r in df.collect()} == cases
-    same = {"http://A.b": "http://a.b/", "HTTP://a.B:80/#x": "http://a.b/", "https://a.b:80/": "https://a.b:80/", "http://a.b/c/../d/./e/..": "http://a.b/d/", "http://a.b/../..": "http://a.b/", "http://a.b/c..d?../x": "http://a.b/c..d?../x", "http://a.b/" + "x/" * 2000 + "..": "http://a.b/" + "x/" * 2000 + ".."}
+    same = {"http://A.b": "http://a.b/", "HTTP://a.B:80/#x": "http://a.b/", "https://a.b:80/": "https://a.b:80/", "http://a.b/c/../d/./e/..": "http://a.b/d/", "http://a.b/../..": "http://a.b/", "http://a.b/c..d?../x": "http://a.b/c..d?../x", "http://a.b/" + "x/" * 2000 + "..": "http://a.b/" + "x/" * 1999}
     df = spark.createDataFrame([(u,) for u in same], "u string")
     assert {r[0]: r[1] for r in df.select("u", urls.canonical_key(F.col("u"))).collect()} == same
 
@@ -549,5 +549,5 @@ def test_rates_meet_the_targets(spark, work):
     assert reached.sum() == pytest.approx(0.5 * mix.available.sum(), rel=0.01)
     right = [(r["posteriors"][0] > 0.5) == kinds[r["doc_id"]] for r in rows if r["doc_id"] < 600 and r["doc_id"] % 2 == 0]
     assert np.mean(right) > 0.95
-    assert 0 < mixing.kept(docs, mix).count() < 602 and mixing.kept(docs, mix).columns == docs.columns
+    assert 0 < mixing.kept(docs, mix, work).count() < 602 and mixing.kept(docs, mix, work).columns == docs.columns
     assert mixing.fit_rates(docs.limit(0), labels.limit(0), work, domain="kind").rates.count() == 0
