@@ -88,8 +88,9 @@ def edited_neighbours(documents: DataFrame, work: Workspace) -> DataFrame:
     (as many as partitions) joins the ranges. Texts move once by id, and a third of them once more as heads.
     """
     docs = documents.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).drop("doc_id")
-    # the same columns in both joins below, so that the texts are shuffled once for both
-    ids = docs.groupBy("id", "th").agg(F.max(F.length("text")).alias("n"))
+    # repeated rows go before anything is joined; the joins below are on the same columns, so the texts lie there already
+    docs = docs.dropDuplicates(["id", "th"])
+    ids = docs.select("id", "th", F.length("text").alias("n"))
     ids = work.stage(ids.repartitionByRange(F.desc("id"), F.desc("th")).withColumn("part", F.spark_partition_id()), "ids")
     key = F.struct("id", "th")
     firsts = ids.groupBy("part").agg(F.max(key).alias("first"))  # bounded by the number of partitions
@@ -105,7 +106,7 @@ def edited_neighbours(documents: DataFrame, work: Workspace) -> DataFrame:
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(F.col("n") / 3).cast("int")), F.col("head")))
     both = both.select("id", "th", F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "n", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
     both = fingerprints(fingerprints(both, "text", "fp").drop("text"), "edited", "edited_fp").drop("edited")
-    both = work.stage(both.dropDuplicates(["id", "th"]), "fingerprints")
+    both = work.stage(both, "fingerprints")
     after = both.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("next_fp"))
     out = both.join(ids.select("id", "th", "next_id", "next_th"), ["id", "th"]).join(after, ["next_id", "next_th"])
     return out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "fp", "edited_fp")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.llm import chat, decontaminate, fingerprint, jaccard, mixing, pii, tokens, toxicity
+from framewise.llm import chat, decontaminate, fingerprint, jaccard, mixing, pii, tokens, toxicity, urls
 from framewise.llm.common import Workspace, shared_dir
 
 CLASH = ["row", "id", "th", "hash", "component", "score", "tokens", "rate", "base", "fp", "n", "key", "label", "count"]
@@ -94,7 +94,7 @@ def test_mixing(spark, odd, work):
     mix = mixing.fit_rates(odd, labels, work, {"a": 0.5, "b": 0.5}, "kind", 0.5)
     rows = mix.rates.collect()
     assert Counter(r["doc_id"] for r in rows) == EVERY and all(r["rate"] >= 0 for r in rows)
-    assert mixing.kept(odd, mix).columns == odd.columns
+    assert mixing.kept(odd, mix, work).columns == odd.columns
 
 
 def test_rates_above_one_are_copies_and_missed_targets_are_told(spark, work):
@@ -104,11 +104,70 @@ def test_rates_above_one_are_copies_and_missed_targets_are_told(spark, work):
     labels = spark.createDataFrame([(i, "law" if k else "web") for i, k in enumerate(law)], "doc_id long, kind string")
     free = mixing.fit_rates(docs, labels, work, {"law": 0.5, "web": 0.5}, "kind", 0.8)
     rates = {r["doc_id"]: r["rate"] for r in free.rates.collect()}
-    copies = Counter(r["doc_id"] for r in mixing.kept(docs, free).collect())
+    copies = Counter(r["doc_id"] for r in mixing.kept(docs, free, work).collect())
     assert not free.unmet and max(rates.values()) > 2 and all(int(rates[d]) <= copies[d] <= int(rates[d]) + 1 for d in rates)
     bound = mixing.fit_rates(docs, labels, work, {"law": 0.5, "web": 0.5}, "kind", 0.8, most=1.0)
     assert max(r["rate"] for r in bound.rates.collect()) <= 1 and bound.unmet["law"] < -0.3
-    assert max(Counter(r["doc_id"] for r in mixing.kept(docs, bound).collect()).values()) == 1
+    assert max(Counter(r["doc_id"] for r in mixing.kept(docs, bound, work).collect()).values()) == 1
+
+
+def test_rows_without_an_id_of_their_own_are_drawn_each_for_itself(spark, work):
+    """Without an id, with one that they share, and equal in id and text: each group keeps what its rates say, but for
+    chance, and what was drawn meets the targets as nearly."""
+    rng = np.random.default_rng(21)
+    text = lambda: " ".join(f"w{rng.integers(300)}" for _ in range(20)) + (" legal" * 5 if rng.random() < 0.3 else "")
+    groups = {"none": [(None, text()) for _ in range(600)], "shared": [(7, text()) for _ in range(600)], "equal": [(None, "the same words again and again")] * 600, "equal id": [(8, "those words once more")] * 600, "own": [(1000 + i, text()) for i in range(600)]}
+    docs = spark.createDataFrame([(*r, g) for g, rows in groups.items() for r in rows], "doc_id long, text string, kind string").repartition(4)
+    labels = spark.createDataFrame([(d, "law" if "legal" in t else "web") for d, t in groups["own"][:300]], "doc_id long, kind string")
+    mix = mixing.fit_rates(docs, labels, work, {"law": 0.4, "web": 0.6}, "kind", 0.5, most=1.0)
+    rate = mixing.Steps.rates(mix.steps, mixing.posteriors_of(mix.model, [t for rows in groups.values() for _, t in rows])[0].astype("<f4").astype(float))
+    docs = work.stage(docs, "docs")
+    for few in (2_000_000, 0):
+        kept = mixing.kept(docs, mix, work, few)
+        got = Counter(r["kind"] for r in kept.collect())
+        for i, (g, rows) in enumerate(groups.items()):
+            p = rate[i * 600 : i * 600 + len(rows)]
+            assert 0.1 < p.mean() < 0.9 and abs(got[g] - p.sum()) <= 5 * np.sqrt((p * (1 - p)).sum())
+        assert all(abs(x) < 0.15 for x in mixing.drawn_misses(kept, mix).values())
+
+
+def test_repeated_documents_are_fingerprinted_once(spark, work):
+    """Two documents, each repeated 100,000 times."""
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("Words of document number "), F.col("id") % 2, F.lit(" and so on.")).alias("text"))
+    out = fingerprint.edited_neighbours(rows, work).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 1]
+
+
+def test_paths_and_hosts_of_any_length(spark):
+    """Dot segments as a stack from the left takes them away, over a hundred thousand segments; hosts of as many labels."""
+    rng = np.random.default_rng(5)
+    paths = ["".join(rng.choice(["/", "/.", "/..", "/a", "/bc", "/d.", "/..e"]) for _ in range(n)) for n in rng.integers(1, 30, 300)]
+    paths += ["/x" * 100_000 + "/../y", "/x" * 50_000 + "/.." * 49_999 + "/z", "/.." * 100_000]
+
+    def plain(path):
+        parts = path.split("/")
+        if not any(p in (".", "..") for p in parts[1:]):
+            return path
+        names, done = parts[1:] + ([""] if parts[-1] in (".", "..") else []), []
+        for x in names:
+            if x == "..":
+                done = done[:-1]
+            elif x != ".":
+                done.append(x)
+        return "/" + "/".join(done)
+
+    df = spark.createDataFrame([(p,) for p in paths], "path string").select("path", urls.plain_path(F.col("path")).alias("plain"))
+    for r in df.collect():
+        stack, parts = [], r["path"].split("/")[1:]
+        if len(parts) > 1000:  # the plain loop above copies too much
+            for x in parts + ([""] if parts[-1] in (".", "..") else []):
+                stack.pop() if x == ".." and stack else None if x in (".", "..") else stack.append(x)
+            assert r["plain"] == "/" + "/".join(stack)
+        else:
+            assert r["plain"] == plain(r["path"])
+    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    hosts = spark.createDataFrame([("a." * 100_000 + "example.org", "/es/x"), ("a." * 100_000 + "net", "/"), ("org", "/q")], "host string, path string")
+    assert {r["path"]: r["rule"] for r in urls.with_rule(hosts, rules).collect()} == {"/es/x": "example.org/es/", "/": None, "/q": "org/"}
 
 
 def test_risk_and_gradient_are_those_of_the_formula():
