@@ -37,14 +37,14 @@ def latents(spark, d):
 
 
 @query("wn06_balanced_windows", WINDOWS + 'select shot_id, n, "window", w_start, w_end from w')
-def _(spark, d):
+def wn06_balanced_windows(spark, d):
     return L.windows(latents(spark, d), "n", 12)
 
 
 @query("wn08_overlap_mix", WINDOWS + """, each as (select *, unnest(range(w_start, w_end)) as place from w),
 val as (select shot_id, place, "window", (place * 7 + "window" * 3) % 11 + 0.0 as x, case when "window" > 0 and place < w_start + 2 then 0.5 - 0.5 * cos(pi() * (place - w_start + 1) / 3) when place >= w_end - 2 and w_end < n then 0.5 + 0.5 * cos(pi() * (place - (w_end - 2) + 1) / 3) else 1.0 end as wt from each)
 select shot_id, place, round(sum(wt * x) / sum(wt), 6) + 0.0 as blended from val group by 1, 2""")
-def _(spark, d):
+def wn08_overlap_mix(spark, d):
     each = L.windows(latents(spark, d), "n", 12).withColumn("place", F.explode(F.sequence("w_start", F.col("w_end") - 1)))
     up = 0.5 - 0.5 * F.cos(F.pi() * (F.col("place") - F.col("w_start") + 1) / 3)
     down = 0.5 + 0.5 * F.cos(F.pi() * (F.col("place") - (F.col("w_end") - 2) + 1) / 3)
@@ -54,7 +54,7 @@ def _(spark, d):
 
 
 @query("wn19_batch_boundaries", WINDOWS + """select shot_id, "window", w_end - 2 + k as place, round(0.5 - 0.5 * cos(pi() * (k + 1) / 3), 6) as weight from (select *, unnest(range(0, 2)) as k from w where w_end < n)""")
-def _(spark, d):
+def wn19_batch_boundaries(spark, d):
     each = L.windows(latents(spark, d), "n", 12).where("w_end < n").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(1))))
     return each.select("shot_id", "window", (F.col("w_end") - 2 + F.col("k")).alias("place"), F.round(0.5 - 0.5 * F.cos(F.pi() * (F.col("k") + 1) / 3), 6).alias("weight"))
 
@@ -63,7 +63,7 @@ def _(spark, d):
 r as (select p_partkey, h, w, unnest(range(0, case when h <= 64 then 1 else cast(ceil((h - 8) / 56.0) as bigint) end)) as i from p),
 c as (select *, unnest(range(0, case when w <= 64 then 1 else cast(ceil((w - 8) / 56.0) as bigint) end)) as j from r)
 select p_partkey, i * 56 as top, cast(least(i * 56 + 64, h) as bigint) as bottom, j * 56 as "left", cast(least(j * 56 + 64, w) as bigint) as "right" from c""")
-def _(spark, d):
+def jn16_tile_grid(spark, d):
     p = table(spark, d, "part").select("p_partkey", (16 + F.col("p_size") * 3).cast("long").alias("h"), (24 + F.col("p_size") * 5).cast("long").alias("w"))
     return L.tiles(p, "h", "w", F.lit(64).cast("long")).drop("h", "w")
 
@@ -72,7 +72,7 @@ def _(spark, d):
 each as (select *, unnest([0, 1, 2, 3]) as run from idx), fit as (select *, case when i = run then -1 else (i - run - 1) % 4 end as place from each where i >= run),
 best as (select *, row_number() over (partition by source_id, shot, i order by list_position([-1, 3, 2, 0, 1], place), run) as k from fit)
 select source_id, shot, i, cast(run as bigint) as run from best where k = 1""")
-def _(spark, d):
+def wn14_run_choice(spark, d):
     i = F.col("frame") - F.min("frame").over(Window.partitionBy("source_id", "shot"))
     idx = C.with_shot(frames(spark, d)).select("source_id", "shot", i.alias("i"))
     return L.chosen_runs(idx, (0, 1, 2, 3), ("source_id", "shot"))
@@ -94,24 +94,24 @@ select source_id, k - 1 as segment, b[k] as start, b[k + 1] as "end" from e"""
 
 
 @query("st04_merged_segments", MERGED)
-def _(spark, d):
+def st04_merged_segments(spark, d):
     return L.merge_short(C.shots(frames(spark, d)), 5)
 
 
 @query("jn03_shot_to_segment", RUNS + ', seg as (select *, start // 20 as segment from shots) select source_id, shot, segment, start, "end", "end" > (segment + 1) * 20 as crosses from seg')
-def _(spark, d):
+def jn03_shot_to_segment(spark, d):
     segment = F.floor(F.col("start") / 20)
     return C.shots(frames(spark, d)).select("source_id", "shot", segment.alias("segment"), "start", "end", (F.col("end") > (segment + 1) * 20).alias("crosses"))
 
 
 @query("snk04_routed_segments", RUNS + "select source_id, frame // 20 as segment, count(*) as frames, min(frame) as first from frames group by 1, 2")
-def _(spark, d):
+def snk04_routed_segments(spark, d):
     return frames(spark, d).groupBy("source_id", F.floor(F.col("frame") / 20).alias("segment")).agg(F.count("*").alias("frames"), F.min("frame").alias("first"))
 
 
 @query("ag21_tile_mean", f"""with {VECTORS_SQL}, px as (select vec_id, unnest(v) as x, unnest(range(0, 64)) as i from vectors), t as (select *, unnest(range(0, 3)) as tile from px), ins as (select *, i - tile * 24 as o from t where i >= tile * 24 and i < least(tile * 24 + 32, 64)),
 w as (select *, least(o, least(32, 64 - tile * 24) - 1 - o) + 1.0 as wt from ins) select vec_id, i, round(sum(wt * (x + tile)) / sum(wt), 6) + 0.0 as mean from w group by 1, 2""")
-def _(spark, d):
+def ag21_tile_mean(spark, d):
     px = vectors(spark, d).select("vec_id", F.posexplode("v").alias("i", "x")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(2))))
     o, n = F.col("i") - F.col("tile") * 24, F.least(F.lit(32), 64 - F.col("tile") * 24)
     ins = px.where((o >= 0) & (o < n)).select("vec_id", F.col("i").cast("long").alias("i"), (F.least(o, n - 1 - o) + 1.0).alias("w"), (F.col("x") + F.col("tile")).alias("x"))
@@ -121,7 +121,7 @@ def _(spark, d):
 @query("st08_pool_load", """with r as (select o_custkey, epoch(o_orderdate) // 86400 as came, epoch(o_orderdate) // 86400 + 90 as gone, cast(floor(o_totalprice) as bigint) as need from orders),
 e as (select o_custkey, came as at_day, need as more from r union all select o_custkey, gone, -need from r), s as (select o_custkey, at_day, sum(more) as more from e group by 1, 2), u as (select o_custkey, sum(more) over (partition by o_custkey order by at_day) as used from s)
 select o_custkey, cast(max(used) as bigint) as peak, count(*) filter (where used > 300000) as over from u group by 1""")
-def _(spark, d):
+def st08_pool_load(spark, d):
     """What orders hold of a customer's limit, each for ninety days."""
     day = F.unix_date(F.col("o_orderdate").cast("date"))
     r = table(spark, d, "orders").select("o_custkey", day.alias("came"), (day + 90).alias("left"), F.floor("o_totalprice").alias("need"))
@@ -140,28 +140,28 @@ select item, max(bytes) as bytes, min(error) as error from got group by 1"""
 
 
 @query("st05_knapsack", KNAPSACK)
-def _(spark, d):
+def st05_knapsack(spark, d):
     options = table(spark, d, "part").select((F.col("p_partkey") % 40).alias("item"), (F.col("p_size") * 100).alias("bytes"), F.round(F.col("p_retailprice") * 100).cast("long").alias("error"))
     return L.chosen_options(options, 60_000, Store(spark, "st05"))
 
 
 @query("wn17_deadline", """with u as (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as cost from orders), s as (select *, sum(cost) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) - cost as begin from u)
 select o_custkey, cast(sum(cost) as bigint) as total, min(case when 100 * begin + 115 * cost > 90000000 then o_orderkey end) as first_missed from s group by 1""")
-def _(spark, d):
+def wn17_deadline(spark, d):
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     u = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("cost")).withColumn("begin", F.sum("cost").over(by) - F.col("cost"))
     return u.groupBy("o_custkey").agg(F.sum("cost").alias("total"), F.min(F.when(100 * F.col("begin") + 115 * F.col("cost") > 90000000, F.col("o_orderkey"))).alias("first_missed"))
 
 
 @query("st02_presentation_order", "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey) as place from lineitem")
-def _(spark, d):
+def st02_presentation_order(spark, d):
     by = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(by).cast("long").alias("place"))
 
 
 @query("st11_best_windows", """with g as (select l_suppkey, l_partkey, l_linenumber, l_partkey // 50 as cell, l_extendedprice as score from lineitem), b as (select *, row_number() over (partition by l_suppkey, cell order by score desc, l_partkey, l_linenumber) as i from g)
 select l_suppkey, cell, l_partkey, score from (select *, row_number() over (partition by l_suppkey order by score desc, cell, l_partkey) as k from b where i = 1) where k <= 3""")
-def _(spark, d):
+def st11_best_windows(spark, d):
     g = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", F.floor(F.col("l_partkey") / 50).alias("cell"), F.col("l_extendedprice").alias("score"))
     b = g.withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey", "cell").orderBy(F.desc("score"), "l_partkey", "l_linenumber"))).where("i = 1")
     k = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("score"), "cell", "l_partkey"))

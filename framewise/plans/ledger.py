@@ -21,43 +21,43 @@ def query(name: str, sql: str):
 
 
 @query("flt09_units_left", "select o_orderkey, o_custkey from orders where o_orderstatus <> 'F'")
-def _(spark, d):
+def flt09_units_left(spark, d):
     o = table(spark, d, "orders")
     return G.left_to_do(o, o.where("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("jn13_leftovers", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
-def _(spark, d):
+def jn13_leftovers(spark, d):
     named = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return G.left_to_do(table(spark, d, "customer"), named, ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("jn14_still_wanted", "select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
-def _(spark, d):
+def jn14_still_wanted(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return G.still_wanted(table(spark, d, "customer"), big, ["c_custkey"]).select("c_custkey", "c_nationkey")
 
 
 @query("set03_except", "select c_nationkey as nation, c_mktsegment as segment from customer except select c_nationkey, c_mktsegment from customer where c_acctbal < 1000")
-def _(spark, d):
+def set03_except(spark, d):
     every = table(spark, d, "customer")
     kinds = lambda df: df.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
     return kinds(every).subtract(kinds(every.where("c_acctbal < 1000")))
 
 
 @query("set04_intersect", "select c_nationkey as nation from customer where c_acctbal > 9000 intersect select s_nationkey from supplier")
-def _(spark, d):
+def set04_intersect(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
 @query("set01_union_distinct", "select p_size * 64 as side from part union select cast(p_size * 128 as int) from part where p_size < 20")
-def _(spark, d):
+def set01_union_distinct(spark, d):
     p = table(spark, d, "part")
     return p.select((F.col("p_size") * 64).alias("side")).union(p.where("p_size < 20").select((F.col("p_size") * 128).alias("side"))).distinct()
 
 
 @query("set02_union_all", "select l_orderkey, l_linenumber, 1 as part from lineitem where l_returnflag = 'A' union all select l_orderkey, l_linenumber, 2 from lineitem where l_returnflag = 'R' union all select l_orderkey, l_linenumber, 3 from lineitem where l_returnflag not in ('A', 'R')")
-def _(spark, d):
+def set02_union_all(spark, d):
     i = table(spark, d, "lineitem")
     one = lambda rows, n: i.where(rows).select("l_orderkey", "l_linenumber", F.lit(n).alias("part"))
     return one("l_returnflag = 'A'", 1).unionByName(one("l_returnflag = 'R'", 2)).unionByName(one("l_returnflag not in ('A', 'R')", 3))
@@ -66,7 +66,7 @@ def _(spark, d):
 @query("jn11_packet_check", """with a as (select l_orderkey, l_linenumber, min(l_partkey) as v from lineitem group by 1, 2), b as (select l_orderkey, l_linenumber, case when l_linenumber = 3 and l_orderkey % 5 = 0 then -1 else v end as v from a where not (l_linenumber = 2 and l_orderkey % 7 = 0)),
 j as (select a.l_orderkey, a.l_linenumber, a.v as x, b.v as y from a left join b using (l_orderkey, l_linenumber))
 select l_orderkey, count(*) as n_wrong, min(l_linenumber) as first from j where x is distinct from y group by 1""")
-def _(spark, d):
+def jn11_packet_check(spark, d):
     a = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("v"))
     b = a.where("not (l_linenumber = 2 and l_orderkey % 7 = 0)").withColumn("v", F.when((F.col("l_linenumber") == 3) & (F.col("l_orderkey") % 5 == 0), F.lit(-1).cast("long")).otherwise(F.col("v")))
     return G.first_mismatch(a, b, ["l_orderkey"], "l_linenumber", "v")
@@ -75,7 +75,7 @@ def _(spark, d):
 @query("jn12_record_diff", """with a as (select o_orderkey, map {'status': o_orderstatus, 'priority': o_orderpriority, 'cust': cast(o_custkey as varchar)} as m from orders), b as (select o_orderkey, case when o_orderkey % 3 = 0 then map {'status': 'X', 'cust': m['cust']} else m end as m from a),
 fa as (select o_orderkey, unnest(map_keys(m)) as path, unnest(map_values(m)) as old from a), fb as (select o_orderkey, unnest(map_keys(m)) as path, unnest(map_values(m)) as new from b)
 select o_orderkey, path, old, new from fa full join fb using (o_orderkey, path) where old is distinct from new""")
-def _(spark, d):
+def jn12_record_diff(spark, d):
     o = table(spark, d, "orders")
     m = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
     cust = F.col("o_custkey").cast("string")
@@ -87,7 +87,7 @@ def _(spark, d):
 @query("jn17_signatures", """with s as (select l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus, l_shipdate, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as i from lineitem),
 f as (select l_orderkey, l_returnflag as f1, l_linestatus as f2 from s where i = 1)
 select l_orderkey, i, case when l_returnflag <> f1 then 'returnflag' else '' end || case when l_returnflag <> f1 and l_linestatus <> f2 then ',' else '' end || case when l_linestatus <> f2 then 'linestatus' else '' end as differs from s join f using (l_orderkey) where l_returnflag <> f1 or l_linestatus <> f2""")
-def _(spark, d):
+def jn17_signatures(spark, d):
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
     s = table(spark, d, "lineitem").withColumn("i", F.row_number().over(by).cast("long"))
     s = s.withColumn("f1", F.first("l_returnflag").over(by)).withColumn("f2", F.first("l_linestatus").over(by))
@@ -96,33 +96,33 @@ def _(spark, d):
 
 
 @query("ag06_inventory_digest", "select l_orderkey, sha256(string_agg(line, chr(10) order by line)) as digest from (select l_orderkey, cast(l_partkey as varchar) || ' [' || cast(l_suppkey as varchar) || ']' as line from lineitem) group by 1")
-def _(spark, d):
+def ag06_inventory_digest(spark, d):
     line = F.concat(F.col("l_partkey").cast("string"), F.lit(" ["), F.col("l_suppkey").cast("string"), F.lit("]"))
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(G.digest(line).alias("digest"))
 
 
 @query("flt13_known_inventory", """with i as (select l_orderkey, sha256(string_agg(cast(l_suppkey as varchar), chr(10) order by cast(l_suppkey as varchar))) as digest from lineitem group by 1), known as (select digest, min(l_orderkey) as model from i group by 1 having count(*) > 1)
 select l_orderkey, model from i join known using (digest)""")
-def _(spark, d):
+def flt13_known_inventory(spark, d):
     i = table(spark, d, "lineitem").groupBy("l_orderkey").agg(G.digest(F.col("l_suppkey").cast("string")).alias("digest"))
     known = i.groupBy("digest").agg(F.min("l_orderkey").alias("model"), F.count("*").alias("n")).where("n > 1")
     return i.join(known, "digest").select("l_orderkey", "model")
 
 
 @query("flt12_setting_problems", """select p_partkey, list_aggregate(list_filter([case when p_size % 2 <> 0 then 'odd size' end, case when p_size > 40 then 'too large' end, case when p_retailprice < 920 then 'too cheap' end], lambda x: x is not null), 'string_agg', '; ') as problems from part where p_size % 2 <> 0 or p_size > 40 or p_retailprice < 920""")
-def _(spark, d):
+def flt12_setting_problems(spark, d):
     found = G.problems(**{"odd size": F.col("p_size") % 2 != 0, "too large": F.col("p_size") > 40, "too cheap": F.col("p_retailprice") < 920})
     return table(spark, d, "part").select("p_partkey", F.array_join(found, "; ").alias("problems")).where("problems <> ''")
 
 
 @query("flt07_refusals", "select c_custkey, coalesce(case when c_acctbal < 0 then 'negative' end, case when c_mktsegment = 'BUILDING' then 'interlaced' end, case when c_nationkey % 2 = 1 then 'odd side' end) as refusal from customer where c_acctbal < 0 or c_mktsegment = 'BUILDING' or c_nationkey % 2 = 1")
-def _(spark, d):
+def flt07_refusals(spark, d):
     why = F.coalesce(F.when(F.col("c_acctbal") < 0, "negative"), F.when(F.col("c_mktsegment") == "BUILDING", "interlaced"), F.when(F.col("c_nationkey") % 2 == 1, "odd side"))
     return table(spark, d, "customer").select("c_custkey", why.alias("refusal")).where("refusal is not null")
 
 
 @query("snk08_manifest", """select o_custkey, cast(count(*) as bigint) as segments, sha256(string_agg('seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || ':' || o_orderstatus, ',' order by 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || ':' || o_orderstatus)) as content from orders group by 1""")
-def _(spark, d):
+def snk08_manifest(spark, d):
     """A job's manifest, written whole and then named; what is returned is read from its files."""
     name = F.concat(F.lit("seg_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(":"), "o_orderstatus")
     made = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("segments"), F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256).alias("content"))
@@ -130,13 +130,13 @@ def _(spark, d):
 
 
 @query("prj14_names", "select o_orderkey, 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') as name, 'seg_' || lpad(cast(o_orderkey as varchar), 6, '0') || '.partial' as partial from orders")
-def _(spark, d):
+def prj14_names(spark, d):
     name = F.format_string("seg_%06d", "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", name.alias("name"), F.concat(name, F.lit(".partial")).alias("partial"))
 
 
 @query("snk09_checksums", "select doc_id, sha256(text) as sha256, md5(text) as md5, true as same from documents")
-def _(spark, d):
+def snk09_checksums(spark, d):
     """Checksums are written beside the texts; the texts are read again and held against them."""
     store, docs = Store(spark, "snk09"), table(spark, d, "documents").select("doc_id", "text")
     told = lambda df: df.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
@@ -146,7 +146,7 @@ def _(spark, d):
 
 
 @query("snk01_checked_frames", f"with {FRAMES_SQL} select source_id, frame // 64 as segment, count(*) as frames, cast(sum(event_id) as bigint) as ids from frames group by 1, 2")
-def _(spark, d):
+def snk01_checked_frames(spark, d):
     """Frames in segments: written beside their place, counted and summed against the source, then named."""
     f = frames(spark, d).select("source_id", "frame", "pts", "value", "event_id", F.floor(F.col("frame") / 64).alias("segment"))
     kept = checked_write(Store(spark, "snk01"), f.repartition("source_id", "segment").sortWithinPartitions("source_id", "frame"), "frames")
@@ -154,7 +154,7 @@ def _(spark, d):
 
 
 @query("snk02_numbered_outputs", f"with {FRAMES_SQL} select source_id, frame, 'segment=' || cast(frame // 100 as varchar) as folder, md5(props) as md5 from frames")
-def _(spark, d):
+def snk02_numbered_outputs(spark, d):
     """Frames by the folder of their segment, with what their file says of them when it is read again."""
     store = Store(spark, "snk02")
     f = frames(spark, d).select("source_id", "frame", "props", F.floor(F.col("frame") / 100).alias("segment"))
@@ -164,7 +164,7 @@ def _(spark, d):
 
 
 @query("snk16_unit_store", "select o_orderstatus as unit, cast(count(*) as bigint) as rows, case when o_orderstatus = 'F' then 'consumed' else 'kept' end as state from orders group by 1")
-def _(spark, d):
+def snk16_unit_store(spark, d):
     """Units saved, one taken and consumed: its rows are gone, its line in the ledger stays."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     units = Units(Store(spark, "snk16"), o.schema)
@@ -175,7 +175,7 @@ def _(spark, d):
 
 
 @query("src20_replay", f"with {FRAMES_SQL}, k as (select min(source_id) as k from frames) select source_id, frame, value, 'first' as pass from frames union all select source_id, frame, value, 'again' from frames, k where source_id = k and frame >= 10")
-def _(spark, d):
+def src20_replay(spark, d):
     """A source's first pass, and again from a place in one of its keys."""
     f = frames(spark, d).select("source_id", "frame", "value")
     replay = Replay(Store(spark, "src20"), f, "source_id", "frame")
@@ -184,7 +184,7 @@ def _(spark, d):
 
 
 @query("src15_manifest", "select n_nationkey % 2 + 2 as version, n_nationkey, n_name as name, cast(n_regionkey as bigint) as start, cast(n_nationkey as bigint) as stop from nation")
-def _(spark, d):
+def src15_manifest(spark, d):
     """Manifests of two versions, written as JSON and read back by the reader that refuses any other."""
     n = table(spark, d, "nation").select((F.col("n_nationkey") % 2 + 2).alias("version"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), F.array(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long")).alias("layout"))
     path = Store(spark, "src15").path("manifests")
@@ -194,14 +194,14 @@ def _(spark, d):
 
 
 @query("ag09_disk_totals", "with s as (select o_custkey, count(*) as n, sum(case when o_orderstatus = 'F' then cast(floor(o_totalprice) as bigint) end) as done, count(case when o_orderstatus = 'F' then 1 end) as k from orders group by 1) select o_custkey, cast(done as bigint) as done, round(done + (n - k) * (done / k), 2) as expected from s where k > 0")
-def _(spark, d):
+def ag09_disk_totals(spark, d):
     done = F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice"))
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(done).alias("done"), F.count(done).alias("k")).where("k > 0")
     return s.select("o_custkey", "done", F.round(F.col("done") + (F.col("n") - F.col("k")) * (F.col("done") / F.col("k")), 2).alias("expected"))
 
 
 @query("ag07_time_totals", "select l_returnflag, case when bool_and(l_linenumber < 13) then cast(sum(cast(l_quantity as bigint)) as bigint) end as seconds from lineitem group by 1")
-def _(spark, d):
+def ag07_time_totals(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.when(F.bool_and(F.col("l_linenumber") < 13), F.sum(F.col("l_quantity").cast("long"))).alias("seconds"))
 
 
@@ -210,7 +210,7 @@ edge as (select a, min(b) as b from pair group by 1 union select a, max(b) from
 
 
 @query("jn19_closure", f"with recursive {NEEDS}, reach(root, node) as (select s_suppkey, s_suppkey from supplier union select r.root, e.b from reach r join edge e on r.node = e.a) select root, cast(count(*) as bigint) as needs, max(node) as last from reach group by 1")
-def _(spark, d):
+def jn19_closure(spark, d):
     """What each supplier needs, over a table of edges: the first and the last of those that it follows in an order."""
     i = table(spark, d, "lineitem")
     at = lambda n, name: i.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_suppkey").alias(name))
@@ -221,7 +221,7 @@ def _(spark, d):
 
 
 @query("jn18_lookup", "select s_suppkey, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
-def _(spark, d):
+def jn18_lookup(spark, d):
     # nations and regions are a fixed 25 and 5 rows
     n = F.broadcast(table(spark, d, "nation"))
     r = F.broadcast(table(spark, d, "region"))
@@ -230,33 +230,33 @@ def _(spark, d):
 
 @query("src12_offsets", """with t as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as size, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between unbounded preceding and current row) as stop from lineitem)
 select l_orderkey, l_linenumber, cast(stop - size as bigint) as start, cast(stop as bigint) as stop from t""")
-def _(spark, d):
+def src12_offsets(spark, d):
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     t = table(spark, d, "lineitem").withColumn("size", F.col("l_quantity").cast("long")).withColumn("stop", F.sum("size").over(by))
     return t.select("l_orderkey", "l_linenumber", (F.col("stop") - F.col("size")).alias("start"), "stop")
 
 
 @query("src21_streams", "select o_orderkey, cast(count(l_orderkey) as bigint) as packets, cast(coalesce(sum(cast(l_quantity as bigint)), 0) as bigint) as bytes from orders left join lineitem on o_orderkey = l_orderkey group by 1")
-def _(spark, d):
+def src21_streams(spark, d):
     packets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("packets"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
     zero = F.lit(0).cast("long")
     return table(spark, d, "orders").select("o_orderkey").join(packets, "o_orderkey", "left").select("o_orderkey", F.coalesce("packets", zero).alias("packets"), F.coalesce("bytes", zero).alias("bytes"))
 
 
 @query("src23_global_numbers", "with o as (select l_orderkey, count(*) as n from lineitem group by 1) select l_orderkey, n, cast(sum(n) over (order by l_orderkey rows between unbounded preceding and current row) - n as bigint) as base from o")
-def _(spark, d):
+def src23_global_numbers(spark, d):
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return G.running_base(o, ["l_orderkey"], "n", Store(spark, "src23"))
 
 
 @query("src01_declared", f"with {FRAMES_SQL} select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, nullif(coalesce(json_extract_string(props, '$.colour'), ''), '') as colour from frames")
-def _(spark, d):
+def src01_declared(spark, d):
     f = frames(spark, d)
     return f.select("event_id", F.from_json("props", "k bigint, colour string").alias("j")).select("event_id", "j.k", F.nullif("j.colour", F.lit("")).alias("colour"))
 
 
 @query("sc16_map_defaults", f"with {FRAMES_SQL} select event_id, coalesce(cast(json_extract_string(props, '$.missing') as varchar), json_extract_string(props, '$.k')) as v from frames")
-def _(spark, d):
+def sc16_map_defaults(spark, d):
     m = F.map_concat(F.create_map(F.lit("source"), F.lit("default")), F.from_json("props", "map<string,string>"))
     kept = F.map_filter(m, lambda k, v: k != "source")
     return frames(spark, d).select("event_id", kept.alias("m")).select("event_id", F.coalesce(F.try_element_at("m", F.lit("missing")), F.try_element_at("m", F.lit("k"))).alias("v"))

@@ -23,49 +23,49 @@ def query(name: str, sql: str):
 @query("sc03_said", """with s as (select o_orderkey, cast(floor(o_totalprice * 9000) as bigint) as b, cast(floor(o_totalprice / 30) as bigint) as s from orders)
 select o_orderkey, case when b >= 1099511627776 then printf('%.2f', b / 1099511627776.0::double) || ' TiB' when b >= 1073741824 then printf('%.2f', b / 1073741824::double) || ' GiB' when b >= 1048576 then printf('%.2f', b / 1048576::double) || ' MiB' when b >= 1024 then printf('%.2f', b / 1024::double) || ' KiB' else b || ' B' end as size,
  case when s >= 3600 then printf('%d h %02d min', s // 3600, s // 60 % 60) when s >= 60 then printf('%d min %02d s', s // 60, s % 60) else s || ' s' end as duration from s""")
-def _(spark, d):
+def sc03_said(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 9000).alias("b"), F.floor(F.col("o_totalprice") / 30).alias("s"))
     return o.select("o_orderkey", X.size_said(F.col("b")).alias("size"), X.duration_said(F.col("s")).alias("duration"))
 
 
 @query("sc04_escaped", """select page_id, case when regexp_full_match(url, '[A-Za-z0-9_@%+=:,./-]+') then url else '''' || replace(url, '''', '''"''"''') || '''' end as word, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as xml from pages""")
-def _(spark, d):
+def sc04_escaped(spark, d):
     return table(spark, d, "pages").select("page_id", X.shell_word(F.col("url")).alias("word"), F.md5(X.xml_text(F.col("html"))).alias("xml"))
 
 
 @query("src10_cut_lists", r"""with l as (select conv_id, turn, unnest(string_split(role || ' 7' || chr(10) || turn || ' x # y' || chr(10) || '# 5' || chr(10) || conv_id, chr(10))) as value, generate_subscripts(string_split(role || ' 7' || chr(10) || turn || ' x # y' || chr(10) || '# 5' || chr(10) || conv_id, chr(10)), 1) as line from conversations),
 c as (select conv_id * 100 + turn as list, cast(line as bigint) as line, regexp_extract(split_part(value, '#', 1), '^\s*(\d{1,15})(?:\s|$)', 1) as cut from l) select list, line, cast(cut as bigint) as cut from c where cut <> ''""")
-def _(spark, d):
+def src10_cut_lists(spark, d):
     text = F.concat("role", F.lit(" 7\n"), F.col("turn").cast("string"), F.lit(" x # y\n# 5\n"), F.col("conv_id").cast("string"))
     return X.cut_lines(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("list"), text.alias("t")), "list", "t")
 
 
 @query("src04_hash_lines", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines, cast(count_if(line not like '#%') as bigint) as data_lines, min(md5(line)) as least from l group by 1")
-def _(spark, d):
+def src04_hash_lines(spark, d):
     l = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(~F.startswith("line", F.lit("#"))).alias("data_lines"), F.min(F.md5("line")).alias("least"))
 
 
 @query("src11_sniffed", "select page_id, case when html like '<!DOCTYPE%' then 'html' when html like '{%' then 'json' else 'unknown' end as format, length(html) as n from pages")
-def _(spark, d):
+def src11_sniffed(spark, d):
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", F.when(F.startswith(h, F.lit("<!DOCTYPE")), "html").when(F.startswith(h, F.lit("{")), "json").otherwise("unknown").alias("format"), F.length(h).cast("long").alias("n"))
 
 
 @query("flt10_strict_lines", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, cast(count(*) as bigint) as refused from l where not (regexp_matches(line, '^[A-Z]') or regexp_matches(line, '^$')) group by 1")
-def _(spark, d):
+def flt10_strict_lines(spark, d):
     l = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     return l.where(~F.rlike("line", F.lit("^[A-Z]")) & (F.col("line") != "")).groupBy("doc_id").agg(F.count("*").alias("refused"))
 
 
 @query("flt11_leftover_names", "select page_id, url from pages where regexp_matches(url, '/[0-9]+\\.html$') or regexp_matches(url, '#[a-z]+$')")
-def _(spark, d):
+def flt11_leftover_names(spark, d):
     return table(spark, d, "pages").where(F.rlike("url", F.lit(r"/[0-9]+\.html$")) | F.rlike("url", F.lit("#[a-z]+$"))).select("page_id", "url")
 
 
 @query("sc06_options", """with o as (select o_orderkey, case o_orderkey % 4 when 0 then o_orderkey || 'x' || o_custkey when 1 then o_orderkey || '/' || o_custkey when 2 then o_orderkey || '.5' else 'none' end as t from orders)
 select o_orderkey, try_cast(nullif(regexp_extract(t, '^(\\d+)x(\\d+)$', 1), '') as bigint) as width, try_cast(nullif(regexp_extract(t, '^(\\d+)/(\\d+)$', 2), '') as bigint) as rate_den, try_cast(nullif(regexp_extract(t, '^\\d+\\.\\d+$', 0), '') as double) as seconds from o""")
-def _(spark, d):
+def sc06_options(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     t = F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit("x"), c)).when(k % 4 == 1, F.concat(k.cast("string"), F.lit("/"), c)).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(".5"))).otherwise("none")
     part = lambda p, i: F.nullif(F.regexp_extract("t", p, i), F.lit(""))
@@ -76,19 +76,19 @@ def _(spark, d):
 r as (select page_id, unnest(string_split(accept, ',')) as r from a), p as (select page_id, trim(split_part(r, ';', 1)) as range, cast(coalesce(nullif(regexp_extract(r, ';\\s*q=([0-9.]+)', 1), ''), '1') as double) as q from r),
 e as (select *, unnest(['image/webp', 'image/png']) as media from p), k as (select *, case when range = media then 3 when range = 'image/*' then 2 when range = '*/*' then 1 end as rank from e),
 b as (select *, row_number() over (partition by page_id, media order by rank desc, q desc) as i from k where rank is not null) select page_id, media, q from b where i = 1 and q > 0""")
-def _(spark, d):
+def sc14_negotiated(spark, d):
     k = F.col("page_id") % 3
     accept = F.when(k == 0, "image/*;q=0.5,image/png").when(k == 1, "*/*;q=0.1, image/webp;q=0").otherwise("text/html")
     return X.chosen_media(table(spark, d, "pages").select("page_id", accept.alias("accept")), "page_id", "accept", ("image/webp", "image/png"))
 
 
 @query("sc17_digests", "select doc_id, sha256(text) as sha256, md5(text) as md5, n_chars from documents")
-def _(spark, d):
+def sc17_digests(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), "n_chars")
 
 
 @query("sc05_deadlines", "select o_orderkey, strftime(case when cast(o_orderdate as time) < time '08:30' then date_trunc('day', o_orderdate) else date_trunc('day', o_orderdate) + interval 1 day end + interval 510 minute, '%Y-%m-%d %H:%M') as deadline from orders")
-def _(spark, d):
+def sc05_deadlines(spark, d):
     day = F.expr("cast(date_trunc('DAY', o_orderdate) as timestamp_ntz)")
     late = F.date_format("o_orderdate", "HH:mm") < "08:30"
     shift = F.when(late, F.expr("make_dt_interval(0, 8, 30)")).otherwise(F.expr("make_dt_interval(1, 8, 30)"))
@@ -96,7 +96,7 @@ def _(spark, d):
 
 
 @query("st10_first_named", "with r as (select l_suppkey, l_partkey, row_number() over (partition by l_suppkey order by l_partkey) as i, count(*) over (partition by l_suppkey) as n from (select distinct l_suppkey, l_partkey from lineitem)) select l_suppkey, string_agg(cast(l_partkey as varchar), ', ' order by l_partkey) || case when max(n) > 5 then ', ...' else '' end as named from r where i <= 5 group by 1")
-def _(spark, d):
+def st10_first_named(spark, d):
     by = Window.partitionBy("l_suppkey")
     r = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().withColumn("i", F.row_number().over(by.orderBy("l_partkey"))).withColumn("n", F.count("*").over(by)).where("i <= 5")
     names = F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda x: x.cast("string")), ", ")
@@ -117,7 +117,7 @@ SIZES = "s as (select p_partkey, cast(320 + p_size * 16 as bigint) as w, cast(24
 
 
 @query("prj05_sizes", f"with {SIZES}, t as (select *, w * short // least(w, h) as tw, h * short // least(w, h) as th from s) select p_partkey, tw - tw % 2 as out_w, th - th % 2 as out_h, (16 - tw % 16) % 16 as pad_w, (16 - th % 16) % 16 as pad_h, (w % 97 + 2) // 4 * 4 + 1 as padded_length from t")
-def _(spark, d):
+def prj05_sizes(spark, d):
     size = F.col("p_size").cast("long")
     s = table(spark, d, "part").select("p_partkey", (320 + size * 16).alias("w"), (240 + size * 9).alias("h"))
     t = s.withColumn("tw", F.floor(F.col("w") * 720 / F.least("w", "h"))).withColumn("th", F.floor(F.col("h") * 720 / F.least("w", "h")))
@@ -127,13 +127,13 @@ def _(spark, d):
 
 
 @query("prj06_tokens", f"with {SIZES} select p_partkey, 5 * (w // 16) * (h // 16) as tokens from s")
-def _(spark, d):
+def prj06_tokens(spark, d):
     size = F.col("p_size").cast("long")
     return table(spark, d, "part").select("p_partkey", (5 * F.floor((320 + size * 16) / 16) * F.floor((240 + size * 9) / 16)).alias("tokens"))
 
 
 @query("prj13_stages", f"with {SIZES}, f as (select p_partkey, short * short * 1000000 // (least(w, h) * least(w, h)) as ff from s) select p_partkey, case when ff <= 1000000 // 2 then 1 when ff <= 2000000 then 2 when ff <= 8000000 then 3 else 4 end as stages from f")
-def _(spark, d):
+def prj13_stages(spark, d):
     size = F.col("p_size").cast("long")
     least = F.least(320 + size * 16, 240 + size * 9)
     ff = F.floor(F.lit(720 * 720 * 1_000_000).cast("long") / (least * least))
@@ -144,7 +144,7 @@ COSTS = "c as (select p_partkey, p_size, unnest([5, 9, 21, 45, 81]) as cap from
 
 
 @query("ag12_cost_model", f"with {COSTS} select p_partkey, cast(cap as bigint) as cap, cast(need as bigint) as need from k")
-def _(spark, d):
+def ag12_cost_model(spark, d):
     return costs(spark, d)
 
 
@@ -155,17 +155,17 @@ def costs(spark, d):
 
 
 @query("ag11_worst_need", f"with {COSTS} select cast(cap as bigint) as cap, cast(max(need) as bigint) as need from k group by 1")
-def _(spark, d):
+def ag11_worst_need(spark, d):
     return costs(spark, d).groupBy("cap").agg(F.max("need").alias("need"))
 
 
 @query("st06_largest_feasible", f"with {COSTS} select p_partkey, cast(max(cap) as bigint) as cap from k where need <= 12000 group by 1")
-def _(spark, d):
+def st06_largest_feasible(spark, d):
     return costs(spark, d).where("need <= 12000").groupBy("p_partkey").agg(F.max("cap").alias("cap"))
 
 
 @query("flt14_fits", f"with {COSTS} select p_partkey, cast(cap as bigint) as cap from k where need <= 8000")
-def _(spark, d):
+def flt14_fits(spark, d):
     return costs(spark, d).where("need <= 8000").select("p_partkey", "cap")
 
 
@@ -173,7 +173,7 @@ PHASES = "ph as (select p_partkey, cap, unnest(['encode', 'sample', 'decode']) a
 
 
 @query("flt14_first_fit", f"with {COSTS}, {PHASES}, l as (select p_partkey, rank, phase, case phase when 'encode' then 2600 when 'sample' then 15000 else 5000 end - need as rest from ph), w as (select p_partkey, rank, min(rest) as worst, arg_min(phase, (rest, phase)) as tight from l group by 1, 2) select p_partkey, cast(min(case when worst >= 0 then rank end) as bigint) as rank, arg_min(tight, rank) filter (where worst >= 0) as tight from w group by 1")
-def _(spark, d):
+def flt14_first_fit(spark, d):
     """Of five caps, the longest first, the first that encode, sampling and decode all have room for."""
     k = costs(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size")), "p_partkey")
     phases = F.create_map(F.lit("encode"), 800 + F.col("size") * 40, F.lit("sample"), F.col("need"), F.lit("decode"), 500 + F.col("cap") * F.col("size") * 3)
@@ -183,7 +183,7 @@ def _(spark, d):
 
 
 @query("st06_largest_with_fewest", "with c as (select p_partkey, p_size, unnest(range(1, 82)) as cap from part), e as (select p_partkey, cap, unnest(range(0, 37)) as away, p_size from c), f as (select * from e where 1000 + cap * p_size * 12 + greatest(cap - 21, 0) * 40 - case when away > 2 then (away - 2) * 150 else 0 end <= 12000) select p_partkey, cast(max(cap) as bigint) as cap, cast(min(away) filter (where cap = m) as bigint) as away from (select *, max(cap) over (partition by p_partkey) as m from f) group by 1")
-def _(spark, d):
+def st06_largest_with_fewest(spark, d):
     """The longest window that fits with blocks moved away (one or two save nothing), and the fewest that must be."""
     size = F.col("p_size").cast("long")
     need = lambda cap, away: 1000 + cap * size * 12 + F.greatest(cap - 21, F.lit(0)) * 40 - F.greatest(away - 2, F.lit(0)) * 150
@@ -193,7 +193,7 @@ def _(spark, d):
 
 
 @query("st10_last_lines", f"with {FRAMES_SQL}, r as (select source_id, frame, value, row_number() over (partition by source_id order by frame desc) as i from frames where error) select source_id, cast(count(*) as bigint) as shown, string_agg(cast(frame as varchar), ' / ' order by frame) as lines from r where i <= 20 group by 1")
-def _(spark, d):
+def st10_last_lines(spark, d):
     """The last twenty lines of each source's errors, in order."""
     by = Window.partitionBy("source_id").orderBy(F.desc("frame"))
     r = frames(spark, d).where("error").withColumn("i", F.row_number().over(by)).where("i <= 20")
@@ -205,7 +205,7 @@ def _(spark, d):
 c as (select o_orderkey, at_utc, unnest([0, 1, 2]) as d, here from l), w as (select *, date_trunc('day', here) + to_days(d) + interval 150 minute as shown from c),
 i as (select o_orderkey, at_utc, shown, timezone('UTC', timezone('Europe/Berlin', shown)) + to_hours(unnest([-1, 0, 1])) as instant from w)
 select o_orderkey, strftime(min(instant), '%Y-%m-%d %H:%M') as deadline from i where instant > at_utc and timezone('Europe/Berlin', timezone('UTC', instant)) = shown group by 1""")
-def _(spark, d):
+def sc05_zone_deadlines(spark, d):
     """The next time that a clock in Berlin shows 02:30: an hour that is skipped in spring shows no such time, one that
     comes twice in autumn shows it twice."""
     utc = F.expr("cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, 0, cast(o_orderkey % 1440 as int))")
@@ -217,18 +217,18 @@ def _(spark, d):
 
 
 @query("snk15_record", "select p_partkey, 'brand=' || p_brand || ';size=' || p_size || ';type=' || p_type as fields from part")
-def _(spark, d):
+def snk15_record(spark, d):
     m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type"))
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
 @query("sc18_tag_lookup", "select p_partkey, coalesce(case p_brand when 'Brand#11' then 'bt709' when 'Brand#12' then 'bt601' when 'Brand#13' then 'bt2020' end, case when p_size > 25 then 'bt709' else 'bt601' end) as matrix from part")
-def _(spark, d):
+def sc18_tag_lookup(spark, d):
     tags = F.create_map(*[F.lit(x) for pair in (("Brand#11", "bt709"), ("Brand#12", "bt601"), ("Brand#13", "bt2020")) for x in pair])
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(tags, F.col("p_brand")), F.when(F.col("p_size") > 25, "bt709").otherwise("bt601")).alias("matrix"))
 
 
 @query("sc19_readings", "select p_partkey, least(p_retailprice, p_size * 30.0) as usable, ceil(p_retailprice * 100) / 100 as over from part")
-def _(spark, d):
+def sc19_readings(spark, d):
     p = F.col("p_retailprice")
     return table(spark, d, "part").select("p_partkey", F.least(p, F.col("p_size") * F.lit(30.0)).alias("usable"), (F.ceil(p * 100) / 100).alias("over"))

@@ -6,8 +6,5 @@ PLANS = (cuts, timeline, layout, ledger, analytics, text, streams, frames, pictu
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _plan in PLANS:
-    for _name, _query in _plan.QUERIES.items():  # so that a stack trace says which query it is
-        _query.__name__ = _query.__qualname__ = _name
-        _query.__code__ = _query.__code__.replace(co_name=_name, co_qualname=_name)
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
