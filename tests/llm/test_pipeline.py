@@ -7,7 +7,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewise.llm import mixing, toxicity
