@@ -36,7 +36,7 @@ def verified_ranges(frames: DataFrame, keyframes: DataFrame, index: DataFrame, w
     of, told = ["source_id", "first", "end"], index.select("source_id", "frame", F.col("digest").alias("_told"))
     while not open_.isEmpty():
         placed = open_.join(keys.select("source_id", F.col("k").alias("_k"), F.col("frame").alias("start")), ["source_id", "_k"])
-        read = placed.withColumn("frame", F.explode(F.sequence("first", F.col("end") - 1))).join(frames, ["source_id", "frame"])
+        read = placed.withColumn("frame", F.explode(F.sequence("first", F.col("end") - 1))).hint("merge").join(frames, ["source_id", "frame"])  # larger than Spark takes it for
         same = read.withColumn("_seen", decoded(F.col("start"))).join(told, ["source_id", "frame"], "left").groupBy(*of).agg(F.count_if(F.col("_seen").eqNullSafe(F.col("_told"))).alias("_same"))
         judged = store.stage(placed.join(same, of, "left").withColumn("found", F.coalesce("_same", F.lit(0)) == F.col("end") - F.col("first")), "judged")
         over = F.col("found") | (F.col("_k") == 0)

@@ -101,7 +101,8 @@ def blocks(series: DataFrame, group: str, at: str, value: str, block: int, store
     length = F.least(F.col("_size"), F.col("_n") - F.col("_block") * F.col("_size"))
     ends = F.array(F.struct((start + length).alias("_at"), F.lit(1).alias("_sign")), F.struct(start.alias("_at"), F.lit(-1).alias("_sign")))
     cut = drawn.select(group, "_n", "_draw", F.explode(ends).alias("e")).select(group, "_n", "_draw", "e.*").where("_at > 0")
-    means = cut.join(points, [group, "_at"]).groupBy(group, "_n", "_draw").agg((F.sum(F.col("_sign") * F.col("_sum")) / F.first("_n")).alias("_mean"))
+    # what is exploded is many times what Spark takes it for, so it must not be broadcast
+    means = cut.hint("merge").join(points, [group, "_at"]).groupBy(group, "_n", "_draw").agg((F.sum(F.col("_sign") * F.col("_sum")) / F.first("_n")).alias("_mean"))
     tails = [round((1 - span) / 2, 9), round((1 + span) / 2, 9)]
     told = means.groupBy(group).agg(F.percentile("_mean", tails).alias("_p"))
     return n.join(told, group).select(group, "mean", F.get("_p", F.lit(0)).alias("low"), F.get("_p", F.lit(1)).alias("high"))
