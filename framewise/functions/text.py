@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 
 def size_said(count: Column) -> Column:
-    """Bytes in the largest unit of 1,024 that leaves at least one, two places from KiB on."""
+    """Whole bytes in the largest unit of 1,024 that leaves at least one, two places from KiB on; exact halves of the last
+    place go to the even one, as printf has them (Java's format rounds them up)."""
     out = F.concat(count.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(count >= 1024**power, F.concat(F.format_string("%.2f", count / 1024**power), F.lit(f" {unit}"))).otherwise(out)
+        size, bits = 1024**power, 10 * power
+        parts = count.bitwiseAND(F.lit(size - 1)) * 100
+        down, twice = F.shiftright(count, bits) * 100 + F.shiftright(parts, bits), parts.bitwiseAND(F.lit(size - 1)) * 2
+        hundredths = down + F.when((twice > size) | ((twice == size) & (down % 2 == 1)), 1).otherwise(0)
+        out = F.when(count >= size, F.concat(F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def duration_said(seconds: Column) -> Column:
     """1 h 02 min, 3 min 04 s or 5 s."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
-    return F.when(h > 0, F.format_string("%d h %02d min", h, m)).when(m > 0, F.format_string("%d min %02d s", m, s)).otherwise(F.format_string("%d s", s))
+    return F.when(h > 0, F.format_string("%d h %02d min", h, m)).when(m > 0, F.format_string("%d min %02d s", m, s)).otherwise(F.concat(s.cast("string"), F.lit(" s")))
 
 
 def shell_word(text: Column) -> Column:
