@@ -92,13 +92,14 @@ def ag25_value_counts(spark, d):
     return c.groupBy("p_brand").agg(F.array_join(F.transform(each, lambda x: F.concat(x["p_type"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("listing"))
 
 
-@query("jn09_seed_pairs", f"""with {FRAMES_SQL}, s as (select event_type as clip, source_id // 6 as study, source_id as seed, frame, cast(floor(value) as bigint) as v from frames)
-select a.clip, a.seed as a, b.seed as b, count(*) as n, cast(sum(abs(a.v - b.v)) as bigint) as difference from s a join s b on a.clip = b.clip and a.study = b.study and a.frame = b.frame and a.seed < b.seed group by 1, 2, 3""")
+@query("jn09_seed_pairs", f"""with {FRAMES_SQL}, s as (select event_type as clip, source_id as seed, frame, cast(floor(value) as bigint) as v from frames)
+select a.clip, a.seed as a, b.seed as b, count(*) as n, cast(sum(abs(a.v - b.v)) as bigint) as difference from s a join s b on a.clip = b.clip and a.frame = b.frame and a.seed < b.seed and b.seed <= a.seed + 5 group by 1, 2, 3""")
 def jn09_seed_pairs(spark, d):
-    """All pairs of the seeds of a study, of which it has six, on each clip and frame."""
-    s = frames(spark, d).select(F.col("event_type").alias("clip"), F.expr("source_id div 6").alias("study"), F.col("source_id").alias("a"), "frame", F.floor("value").alias("v"))
-    other = s.select("clip", "study", "frame", F.col("a").alias("b"), F.col("v").alias("w"))
-    j = s.join(other, ["clip", "study", "frame"]).where("a < b")
+    """All pairs of the seeds of a study, which are those within five of each other, on each clip and frame: seeds lie in
+    strips of five, and each is dealt to its own and the one before, so the band is an equality."""
+    s = frames(spark, d).select(F.col("event_type").alias("clip"), F.floor(F.col("source_id") / 5).alias("strip"), F.col("source_id").alias("a"), "frame", F.floor("value").alias("v"))
+    other = s.select("clip", F.explode(F.array(F.col("strip"), F.col("strip") - 1)).alias("strip"), "frame", F.col("a").alias("b"), F.col("v").alias("w"))
+    j = s.join(other, ["clip", "strip", "frame"]).where("a < b and b <= a + 5")
     return j.groupBy("clip", "a", "b").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("w") - F.col("v"))).alias("difference"))
 
 

@@ -38,3 +38,18 @@ def test_names_of_long_keys_are_those_of_the_sql(spark, tmp_path):
     assert (1_000_000, "seg_100000", "seg_100000.partial") in same_as_sql(spark, "prj14_names", written(spark, tmp_path, orders=rows), "orders")
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def events(spark, rows):
+    """(source, kind, value), in order."""
+    return spark.createDataFrame([(i, s, k, v) for i, (s, k, v) in enumerate(rows)], "event_id long, user_id long, event_type string, value double").select(
+        "event_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)").alias("ts"), "user_id", "event_type", "value", F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit("}")).alias("props"))
+
+
+def test_seeds_within_five_are_pairs_wherever_they_lie(spark, tmp_path):
+    rows = [(s, "view", float(s * s % 17)) for s in (-7, -3, 0, 3, 4, 5, 6, 9, 11, 17) for _ in range(2)]
+    told = same_as_sql(spark, "jn09_seed_pairs", written(spark, tmp_path, events=events(spark, rows)), "events")
+    assert {(r[1], r[2]) for r in told} == {(-7, -3), (-3, 0), (0, 3), (0, 4), (0, 5), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (4, 9), (5, 6), (5, 9), (6, 9), (6, 11), (9, 11)}
+
+
