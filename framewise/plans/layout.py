@@ -45,12 +45,10 @@ def wn06_balanced_windows(spark, d):
 val as (select shot_id, place, "window", (place * 7 + "window" * 3) % 11 + 0.0 as x, case when "window" > 0 and place < w_start + 2 then 0.5 - 0.5 * cos(pi() * (place - w_start + 1) / 3) when place >= w_end - 2 and w_end < n then 0.5 + 0.5 * cos(pi() * (place - (w_end - 2) + 1) / 3) else 1.0 end as wt from each)
 select shot_id, place, round(sum(wt * x) / sum(wt), 6) + 0.0 as blended from val group by 1, 2""")
 def wn08_overlap_mix(spark, d):
-    each = L.windows(latents(spark, d), "n", 12).withColumn("place", F.explode(F.sequence("w_start", F.col("w_end") - 1)))
-    up = 0.5 - 0.5 * F.cos(F.pi() * (F.col("place") - F.col("w_start") + 1) / 3)
-    down = 0.5 + 0.5 * F.cos(F.pi() * (F.col("place") - (F.col("w_end") - 2) + 1) / 3)
-    weight = F.when((F.col("window") > 0) & (F.col("place") < F.col("w_start") + 2), up).when((F.col("place") >= F.col("w_end") - 2) & (F.col("w_end") < F.col("n")), down).otherwise(1.0)
-    rows = each.select("shot_id", "place", ((F.col("place") * 7 + F.col("window") * 3) % 11).cast("double").alias("x"), weight.alias("w"))
-    return L.blended(rows, ("shot_id",), "place", "w", "x").select("shot_id", "place", (F.round("blended", 6) + 0.0).alias("blended"))
+    # the SQL gives a place of a shot once, however often the shot is listed
+    value = lambda place, window: ((place * 7 + window * 3) % 11).cast("double")
+    mixed = L.blended_windows(latents(spark, d).distinct(), "n", 12, value)
+    return mixed.select("shot_id", "place", (F.round("blended", 6) + 0.0).alias("blended"))
 
 
 @query("wn19_batch_boundaries", WINDOWS + """select shot_id, "window", w_end - 2 + k as place, round(0.5 - 0.5 * cos(pi() * (k + 1) / 3), 6) as weight from (select *, unnest(range(0, 2)) as k from w where w_end < n)""")

@@ -53,3 +53,12 @@ def test_seeds_within_five_are_pairs_wherever_they_lie(spark, tmp_path):
     assert {(r[1], r[2]) for r in told} == {(-7, -3), (-3, 0), (0, 3), (0, 4), (0, 5), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (4, 9), (5, 6), (5, 9), (6, 9), (6, 11), (9, 11)}
 
 
+def test_mixed_windows_are_those_of_the_sql_without_a_shuffle_of_places(spark, tmp_path):
+    keys = spark.createDataFrame([(k,) for k in (*range(-62, 130), 7, 7, 59, None)], "o_orderkey long")
+    folder = written(spark, tmp_path, orders=keys)
+    assert len(same_as_sql(spark, "wn08_overlap_mix", folder, "orders")) > 3000
+    # the one shuffle is that of the shots, under all that is exploded
+    plan = registry.QUERIES["wn08_overlap_mix"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.rindex("Generate")
+
+
