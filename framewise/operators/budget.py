@@ -22,6 +22,18 @@ def first_fit(needs: DataFrame, free: DataFrame, keys: list[str]) -> DataFrame:
     return settings.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.rank", "best.tight")
 
 
+def first_fit_of(jobs: DataFrame, keys: list[str], settings: list, rank, needs: dict, free: dict[str, int]) -> DataFrame:
+    """``first_fit`` for needs that are formulas: (keys, rank, tight) of ``jobs``, a row each. Of the plain ``settings``, tried
+    by rising ``rank(setting)``, the first whose every phase of ``needs`` (name: need(setting), a column) fits into ``free``
+    (name: bytes). A job looks at its settings in its own row, so none are exploded, sorted or shuffled."""
+    out = F.lit(None)
+    for setting in sorted(settings, key=rank, reverse=True):
+        left = [F.struct((F.lit(free.get(name, 0)).cast("long") - need(setting)).alias("left"), F.lit(name).alias("phase")) for name, need in needs.items()]
+        worst = F.array_min(F.array(*left))
+        out = F.when(worst["left"] >= 0, F.struct(F.lit(rank(setting)).cast("long").alias("rank"), worst["phase"].alias("tight"))).otherwise(out)
+    return jobs.select(*keys, out.alias("best")).select(*keys, "best.rank", "best.tight")
+
+
 def largest_with_fewest(jobs: DataFrame, keys: list[str], caps: Column, most_away: int, need, budget: Column) -> DataFrame:
     """(keys, cap, away): the largest of ``caps`` (an array) that fits into ``budget`` with up to ``most_away`` parts moved
     away, and the fewest that it takes; ``need(cap, away)`` is a column that falls as ``away`` rises. So a cap fits if it does

@@ -62,3 +62,14 @@ def test_mixed_windows_are_those_of_the_sql_without_a_shuffle_of_places(spark, t
     assert plan.index("Aggregate") > plan.rindex("Generate")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_fit_of_listed_twice_and_unsized_parts_without_exploded_settings(spark, tmp_path):
+    parts = spark.createDataFrame([(1, 1), (2, 12), (2, 30), (3, None), (4, 50), (5, None), (5, 7), (None, 3), (6, 45), (7, 46)], "p_partkey long, p_size int")
+    folder = written(spark, tmp_path, part=parts)
+    assert len(same_as_sql(spark, "flt14_first_fit", folder, "part")) == 7
+    assert "Generate" not in plan_of(registry.QUERIES["flt14_first_fit"](spark, folder))
+
+
