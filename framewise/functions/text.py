@@ -67,3 +67,16 @@ def fractions_near(rows: DataFrame, value: str, scale: int, hundredths: int, mos
     for p in [p for p in range(2, most + 1) if all(p % q for q in range(2, p))]:
         each = each.where(prime(p))
     return each
+
+
+def simplest_near(rows: DataFrame, value: str, scale: int, hundredths: int, most: int, take: int) -> DataFrame:
+    """Of ``fractions_near`` the first ``take`` of each row, by denominator, then numerator. They are found within the row, and
+    denominators are tried only until there are as many, so no more than these are exploded."""
+    low = f"greatest(({100 - hundredths} * {value} * den + {100 * scale - 1}) div {100 * scale}, 1L)"
+    high = f"{100 + hundredths} * {value} * den div {100 * scale}"
+    prime = " and ".join(f"not (num % {p} = 0 and den % {p} = 0)" for p in range(2, most + 1) if all(p % q for q in range(2, p)))
+    kind = "array<struct<den: bigint, num: bigint>>"
+    of_den = f"transform(filter(case when {low} <= {high} then sequence({low}, {high}) else cast(array() as array<bigint>) end, num -> {prime}), num -> struct(den, num))"
+    found = f"aggregate(sequence(1L, {most}L), cast(array() as {kind}), (got, den) -> case when size(got) >= {take} then got else concat(got, cast({of_den} as {kind})) end)"
+    each = rows.withColumn("_f", F.explode(F.expr(f"slice({found}, 1, {take})")))
+    return each.select(*rows.columns, "_f.den", "_f.num")

@@ -73,3 +73,14 @@ def test_first_fit_of_listed_twice_and_unsized_parts_without_exploded_settings(s
     assert "Generate" not in plan_of(registry.QUERIES["flt14_first_fit"](spark, folder))
 
 
+def test_three_simplest_fractions_are_found_in_the_row(spark, tmp_path):
+    parts = spark.createDataFrame([(1, 1000.0), (2, 31.0), (3, 333.33), (4, 0.01), (5, None), (6, 2099.99), (6, 1500.0), (6, 1500.0)], "p_partkey long, p_retailprice double")
+    told = same_as_sql(spark, "st09_simplest_fractions", written(spark, tmp_path, part=parts), "part")
+    assert (6, 3, 2, 1) in told and (6, 3, 2, 2) in told
+    rows = spark.createDataFrame([(x,) for x in (0, 1, 3100, 33333, 100000, 199999, None)], "x long")
+    every = text.fractions_near(rows, "x", 100_000, 4, 30).collect()
+    first = {x: sorted((r["den"], r["num"]) for r in every if r["x"] == x)[:3] for x in (3100, 33333, 100000, 199999)}
+    found = text.simplest_near(rows, "x", 100_000, 4, 30, 3).collect()
+    assert {x: sorted((r["den"], r["num"]) for r in found if r["x"] == x) for x in first} == first and len(found) == sum(map(len, first.values()))
+
+
