@@ -96,6 +96,8 @@ def blocks(series: DataFrame, group: str, at: str, value: str, block: int, store
     n = series.groupBy(group).agg(F.count("*").alias("_n"), F.avg(value).alias("mean"))
     size = F.least(F.lit(block), F.col("_n"))
     drawn = n.select(group, "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"), size.alias("_size"))
+    # groups are few bytes, so they would be one task; a task a draw, and no group has all its draws in one
+    drawn = drawn.repartition(draws, group, "_draw")
     drawn = drawn.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr("cast((_n + _size - 1) div _size as int) - 1"))))
     start = F.pmod(lot(seed, group, "_draw", "_block"), F.col("_n") - F.col("_size") + 1)
     length = F.least(F.col("_size"), F.col("_n") - F.col("_block") * F.col("_size"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise import registry
 from framewise.functions import text
-from framewise.operators import ledger, records
+from framewise.operators import ledger, records, sampling
 from framewise.sources.shared import Store
 
 
@@ -111,3 +111,11 @@ def test_totals_of_a_closure_are_those_of_its_pairs_but_follow_rings_as_one(spar
     assert found.where("root >= 200 and root < 250").count() == 150
 
 
+def test_draws_of_a_few_series_are_spread_over_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(g, i, i * i % 7) for g in range(3) for i in range(30)], "g long, i long, v long")
+    out = sampling.blocks(rows, "g", "i", "v", 10, Store(spark, "blocks", str(tmp_path)), 60, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [g" in plan and plan.index("RepartitionByExpression") > plan.index("Generate")
+    assert out.count() == 3
+
+
