@@ -161,11 +161,12 @@ def src16_checksums(spark, d):
 @query("src07_verified_range", f"with {FRAMES_SQL}, k as (select source_id, max(frame) as seek from frames where is_key and frame <= 30 group by 1) select f.source_id, f.frame, f.frame - k.seek as from_key, f.event_id % 11 <> 0 as same from frames f join k using (source_id) where f.frame >= k.seek and f.frame < 40")
 def src07_verified_range(spark, d):
     f = frames(spark, d)
-    k = f.where("is_key and frame <= 30").groupBy("source_id").agg(F.max("frame").alias("seek"))
+    # frames lie by source already, and of a source only those before the range's end meet
+    seek = F.max(F.when(F.col("is_key") & (F.col("frame") <= 30), F.col("frame"))).over(Window.partitionBy("source_id"))
     # the checksum list is a file of its own, in which some lines are of other frames
     told = F.md5(F.when(F.col("event_id") % 11 == 0, F.concat("props", F.lit("?"))).otherwise(F.col("props")))
     g = Store(spark, "src07").stage(f.select("source_id", "frame", told.alias("told")), "checksums")
-    r = f.where("frame < 40").join(k, "source_id").where("frame >= seek").join(g, ["source_id", "frame"])
+    r = f.where("source_id is not null and frame < 40").select("source_id", "frame", "props", seek.alias("seek")).where("frame >= seek").hint("merge").join(g, ["source_id", "frame"])  # packed, they are far smaller than in a hash table
     return r.select("source_id", "frame", (F.col("frame") - F.col("seek")).alias("from_key"), (F.md5("props") == F.col("told")).alias("same"))
 
 

@@ -42,7 +42,6 @@ def test_names_of_long_keys_are_those_of_the_sql(spark, tmp_path):
     assert (1_000_000, "seg_100000", "seg_100000.partial") in same_as_sql(spark, "prj14_names", written(spark, tmp_path, orders=rows), "orders")
 
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark, rows):
@@ -119,3 +118,12 @@ def test_draws_of_a_few_series_are_spread_over_tasks(spark, tmp_path):
     assert out.count() == 3
 
 
+def test_verified_ranges_meet_their_checksums_without_a_hash_table(spark, tmp_path):
+    rows = [(s, "signup" if (s, i) in {(1, 0), (1, 30), (2, 31), (3, 7), (None, 2)} else "view", 1.0) for i in range(45) for s in (1, 2, 3, None)]
+    folder = written(spark, tmp_path, events=events(spark, rows))
+    told = same_as_sql(spark, "src07_verified_range", folder, "events")
+    assert {(r[0], r[1] - r[2]) for r in told} == {(1, 30), (3, 7)} and {r[3] for r in told} == {True, False}
+    plan = registry.QUERIES["src07_verified_range"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashJoin" not in plan
+
+
