@@ -73,7 +73,8 @@ def ss02_shot_slices(spark, d):
     sliced = T.slices(idx, ["source_id", "shot"])
     ends = F.max("i").over(Window.partitionBy("source_id", "shot"))
     rows = Store(spark, "slices").stage(sliced.withColumn("last", F.col("i") == ends), "rows")
-    told = replayed(rows.select("source_id", "shot", "i", "value", "last"), "i", S.causal_slices)
+    deals = max(64, rows.count() // 50_000)
+    told = replayed(rows.select("source_id", "shot", "i", "value", "last"), "i", lambda s: S.causal_slices(s, deals=deals))
     return rows.join(told, ["source_id", "shot", "i"]).select("source_id", "shot", "slice", "i", "padded", F.round("causal", 6).alias("causal"))
 
 

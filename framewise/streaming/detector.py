@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,26 +53,46 @@ def batch(frames: DataFrame, side: int = 2) -> DataFrame:
     return frames.select("source_id", "frame", F.avg("value").over(by).alias("score"))
 
 
+OPEN = "source array<long>, shot array<long>, held array<double>"
+
+
 def _causal(reach: int):
     def slice_(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("i")
-        values = held + rows["value"].tolist()
-        sums = [sum(near) / len(near) for near in (values[max(j - reach, 0) : j + 1] for j in range(len(held), len(values)))]
-        if bool(rows["last"].any()):
-            state.remove()  # a shot's memory ends with it
-        else:
-            state.update((values[-reach:],))
-        yield pd.DataFrame({"source_id": key[0], "shot": key[1], "i": rows["i"].to_numpy(), "causal": sums})
+        rows = pd.concat(list(batches))
+        source, shot, value = (np.array(x, t) for x, t in zip(state.get if state.exists else ([], [], []), ("int64", "int64", "float64"), strict=True))
+        n = len(source)  # what is held comes before all new rows of its shot
+        source, shot, value = (np.concatenate([x, rows[c].to_numpy(x.dtype)]) for x, c in ((source, "source_id"), (shot, "shot"), (value, "value")))
+        i, last = np.concatenate([np.arange(-n, 0), rows["i"].to_numpy("int64")]), np.concatenate([np.zeros(n, bool), rows["last"].to_numpy(bool)])
+        order = np.lexsort((i, shot, source))
+        source, shot, value, i, last = source[order], shot[order], value[order], i[order], last[order]
+        begins = np.r_[True, (source[1:] != source[:-1]) | (shot[1:] != shot[:-1])]
+        starts = np.flatnonzero(begins)
+        of = np.cumsum(begins) - 1
+        place = np.arange(len(i))
+        total, count, there = np.zeros(len(i)), np.zeros(len(i), "int64"), ~np.isnan(value)
+        for back in range(reach, -1, -1):
+            near = np.flatnonzero(place - starts[of] >= back)
+            near = near[there[near - back]]
+            total[near] += value[near - back]
+            count[near] += 1
+        new = i >= 0
+        yield pd.DataFrame({"source_id": source, "shot": shot, "i": i, "causal": np.where(count > 0, total / np.maximum(count, 1), np.nan)})[new]
+        keep = ~np.logical_or.reduceat(last, starts)[of] & (np.r_[starts[1:], len(i)][of] - place <= reach)
+        if keep.any():
+            state.update((source[keep].tolist(), shot[keep].tolist(), value[keep].tolist()))
+        elif state.exists:
+            state.remove()
 
     return slice_
 
 
-def causal_slices(stream: DataFrame, reach: int = 2) -> DataFrame:
+def causal_slices(stream: DataFrame, reach: int = 2, deals: int = 256) -> DataFrame:
     """(source_id, shot, i, causal) of ``stream(source_id, shot, i, value, last)``: the mean of a frame and up to
     ``reach`` before it in its shot. What a slice leaves to the next is the last ``reach`` values; they are forgotten at the
-    end of the shot. Slices of a shot must arrive in order."""
-    return stream.groupBy("source_id", "shot").applyInPandasWithState(_causal(reach), "source_id long, shot long, i long, causal double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    end of the shot. Slices of a shot must arrive in order. Shots are short and many, so they are dealt over ``deals``
+    groups, each computed at once; a group's state is the open shots of its own, its memory their rows of one batch."""
+    dealt = stream.withColumn("deal", F.pmod(F.xxhash64("source_id", "shot"), F.lit(deals)).cast("int"))
+    return dealt.groupBy("deal").applyInPandasWithState(_causal(reach), "source_id long, shot long, i long, causal double", OPEN, "append", GroupStateTimeout.NoTimeout)
 
 
 def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.sources.shared import Store
-from framewise.streaming import lateness, ordering, progress, replay, requests
+from framewise.streaming import detector, lateness, ordering, progress, replay, requests
 
 EVENTS = "key string, seq long, at long, event string, batch int"
 
@@ -122,3 +122,24 @@ def test_state_store_setting_is_put_back(spark, conf):
         assert spark.conf.get(name, None) == (conf or before)
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+SHOTS = "source_id long, shot long, i long, value double, last boolean, batch int"
+
+
+def test_slices_of_many_shots_share_groups(spark):
+    """A few groups hold all shots, not a state a shot; open shots go on over batches that lack them; a null is no value."""
+    lot, rows = random.Random(5), []
+    for shot in range(300):
+        n, cut = lot.randrange(1, 9), sorted(lot.randrange(4) for _ in range(8))
+        rows += [(shot % 7, shot, i, None if lot.random() < 0.2 else float(lot.randrange(100)), i == n - 1, cut[i]) for i in range(n)]
+    store, states = Store(spark, "slices"), []
+    replay.replayed(spark.createDataFrame(rows, SHOTS), "batch", replay.to_table(lambda s: detector.causal_slices(s.drop("batch"), deals=5)), store, lambda run, _: states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"]))
+    values, want = {r[:3]: r[3] for r in rows}, {}
+    for source, shot, i in values:
+        near = [x for x in (values.get((source, shot, j)) for j in range(i - 2, i + 1)) if x is not None]
+        want[source, shot, i] = sum(near) / len(near) if near else None
+    out = spark.read.schema("source_id long, shot long, i long, causal double").parquet(store.path("out")).collect()
+    assert len(out) == len(want) and {(r.source_id, r.shot, r.i) for r in out} == set(want)
+    assert all(r.causal == pytest.approx(want[r.source_id, r.shot, r.i]) for r in out)
+    assert 0 < max(states) <= 5 and states[-1] == 0
