@@ -143,3 +143,23 @@ def test_slices_of_many_shots_share_groups(spark):
     assert len(out) == len(want) and {(r.source_id, r.shot, r.i) for r in out} == set(want)
     assert all(r.causal == pytest.approx(want[r.source_id, r.shot, r.i]) for r in out)
     assert 0 < max(states) <= 5 and states[-1] == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 50])
+def test_waiting_rows_share_entries_of_the_state(spark, most):
+    """A state has entries by key and a thousand numbers, not by row, also where a part of a batch has to go back to it;
+    rows behind a key's end are forgotten with it."""
+    lot, long = random.Random(3), 2_600
+    rows = [("long", i, float(i), i == long - 1, 2 if i == 1 else lot.randrange(3)) for i in range(long)]
+    rows += [(f"k{k}", i, None if i == 4 else float(i), i == 29, 2 if i == 0 else lot.randrange(2)) for k in range(20) for i in range(30)]
+    rows += [("ends", i, float(i), i == 5, 0 if i > 5 else 1) for i in (0, 1, 2, 3, 4, 5, 7, 3_000)]
+    store, states = Store(spark, "ordered"), []
+    replay.replayed(spark.createDataFrame(rows, ROWS), "batch", replay.to_table(lambda s: ordering.in_order(s, "key", 3, most)), store, lambda run, _: states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"]))
+    out = sorted(tuple(r) for r in spark.read.schema(ordering.ORDERED.format(kind="key string")).parquet(store.path("out")).collect())
+    gone, want = {}, []
+    for key, at, value, _, batch in sorted(r[:5] for r in rows if r[:2] not in (("ends", 7), ("ends", 3_000))):
+        gone[key] = max(gone.get(key, 0), batch)
+        want.append((key, at, value, at, gone[key]))
+    assert [(*r[:2], r[3], r[4]) for r in out] == [(*r[:2], r[3], r[4]) for r in want]
+    assert all(a[2] == b[2] for a, b in zip(out, want, strict=True))
+    assert 0 < max(states) <= 2 * 21 + 3 + 4 and states[-1] == 0
