@@ -113,7 +113,8 @@ def ss10_request_lifecycle(spark, d):
     turns = table(spark, d, "conversations").selectExpr("conv_id", "turn as seq", f"cast({AT} as bigint) as at", f"{EVENT} as event", f"cast(floor((({ARRIVES}) - 1704067200000) / 150000.0) as int) as batch")
     ticks = spark.createDataFrame([(-1, 0, 1704067200000 + (1 + i) * 86_400_000, None, 1_000_000 + i) for i in range(2)], "conv_id long, seq long, at long, event string, batch int")
     store = Store(spark, "lives")
-    RP.replayed(turns.unionByName(ticks), "batch", RP.to_table(lambda s: R.lives(s.drop("batch"), "conv_id")), store)
+    deals = max(64, turns.count() // 5_000)
+    RP.replayed(turns.unionByName(ticks), "batch", RP.to_table(lambda s: R.lives(s.drop("batch"), "conv_id", deals=deals)), store)
     return spark.read.schema(R.CHANGES.format(kind="conv_id long")).parquet(store.path("out"))
 
 
