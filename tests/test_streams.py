@@ -163,3 +163,29 @@ def test_waiting_rows_share_entries_of_the_state(spark, most):
     assert [(*r[:2], r[3], r[4]) for r in out] == [(*r[:2], r[3], r[4]) for r in want]
     assert all(a[2] == b[2] for a, b in zip(out, want, strict=True))
     assert 0 < max(states) <= 2 * 21 + 3 + 4 and states[-1] == 0
+
+
+def test_events_and_deadlines_share_entries_of_the_state(spark):
+    """What waits for the watermark is an entry a group and span of time, not an entry and a timer an event."""
+    lot, end, base = random.Random(2), 10**9, 600_000
+    events = [(f"r{k}", seq, base + seq * 12_000 + lot.randrange(3) * 1_000, lot.choice(["loaded", "asked", "answered", "broken", "closed"]), 0) for k in range(300) for seq in range(4)]
+    ticks = [("tick", i, end + 60_000 + i, None, 1 + i) for i in range(2)]
+    store, states = Store(spark, "lives"), []
+    replay.replayed(spark.createDataFrame(events + ticks, EVENTS), "batch", replay.to_table(lambda s: requests.lives(s.drop("batch"), "key", deals=4)), store, lambda run, _: states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"]))
+    out = spark.read.schema(requests.CHANGES.format(kind="key string")).parquet(store.path("out")).collect()
+    assert sorted(tuple(r) for r in out) == lived(requests.PICTURE, events, end)
+    assert 0 < states[0] <= 4 * 6 and states[-1] == 0
+
+
+def test_state_has_partitions_for_its_rows(spark):
+    """A small stream opens and commits a state for each core, however many partitions the session shuffles to."""
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    try:
+        for session, rows, want in ((600, 1_000, cores), (600, replay.STATE_ROWS * cores * 10, cores * 10), (2, 1_000, 2)):
+            spark.conf.set(name, session)
+            with replay.keyed_state(spark, rows):
+                assert spark.conf.get(name) == str(want)
+            assert spark.conf.get(name) == str(session)
+    finally:
+        spark.conf.set(name, before)
